@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ORDERS = tuple(range(2, 65))
+ORDERS = (*range(2, 65), 80, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
 
 
 def rdp(settings: DataFrame, orders: Sequence[int] = ORDERS,
@@ -26,7 +26,7 @@ def rdp(settings: DataFrame, orders: Sequence[int] = ORDERS,
         .withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in orders])))
     )
     q, s, a = F.col("rate"), F.col("sigma"), F.col("alpha")
-    log_fact = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(max(orders) + 1)])
+    log_fact = F.lit([math.lgamma(i + 1) for i in range(max(orders) + 1)])
     log_fact_at = lambda i: F.get(log_fact, i)
 
     def term(k: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import lookup
+from sentinel.functions.storage import small_table
 from sentinel.schema import BENIGN, CIC_LABELS, UNKNOWN, UNSW_LABELS
 
 
@@ -62,6 +63,6 @@ def fit_encoder(df: DataFrame, label: str = "label_multiclass") -> DataFrame:
 
 def encode(df: DataFrame, encoder: DataFrame, label: str = "label_multiclass") -> DataFrame:
     """Add ``code``; a label the encoder has not seen raises when the row is evaluated."""
-    joined = df.join(F.broadcast(encoder), label, "left")
+    joined = df.join(small_table(encoder), label, "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(label), F.lit("null"))))
     return joined.withColumn("code", F.coalesce("code", unseen.cast("int")))

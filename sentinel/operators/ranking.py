@@ -187,11 +187,11 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     counts = rows.groupBy("feature", "coarse").agg(F.count(F.lit(1)).alias("_rows"))
     spots = small_table(locate(counts, ["feature"], "coarse", None))
 
-    near = rows.join(F.broadcast(spots.select("feature", "coarse").distinct()), ["feature", "coarse"])
+    near = rows.join(spots.select("feature", "coarse").distinct(), ["feature", "coarse"])
     counts = near.groupBy("feature", "coarse", "fine").agg(F.count(F.lit(1)).alias("_rows"))
     spots = small_table(locate(counts, ["feature", "coarse"], "fine", spots))
 
-    near = rows.join(F.broadcast(spots.select("feature", "fine").distinct()), ["feature", "fine"])
+    near = rows.join(spots.select("feature", "fine").distinct(), ["feature", "fine"])
     counts = near.groupBy("feature", "fine", "value").agg(F.count(F.lit(1)).alias("_rows"))
     ends = locate(counts, ["feature", "fine"], "value", spots)
     low = F.max(F.when(F.col("_side") == 0, F.col("value")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinel.functions.rand import uniform
+from sentinel.functions.storage import small_table
 from sentinel.operators.ranking import mark_smallest
 
 
@@ -49,7 +50,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_class_weight(df: DataFrame, label: str) -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    return df.join(small_table(class_weights(df, label).select(label, "weight")), label)
 
 
 def resample_by_weight(df: DataFrame, weight: str, key: str, seed: int = 42) -> DataFrame:

@@ -19,7 +19,7 @@ def result_rows(preds: DataFrame, runs: DataFrame | None = None, label_type: str
     """
     scored = evaluate(preds, ["run_id", "split"], label_type, auc)
     names = preds.select(*RUN_COLUMNS).distinct() if runs is None else runs
-    return scored.join(F.broadcast(names), "run_id")
+    return scored.join(names, "run_id")
 
 
 def score_runs(scored: DataFrame, dataset: str, label_type: str, model_name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentinel.functions.storage import small_table
 from sentinel.operators import attack
 from sentinel.schema import DEFAULTS
 from sentinel.sources import ledger
@@ -52,5 +53,5 @@ def sweep(preds: DataFrame, rows: DataFrame, results: DataFrame, done: DataFrame
         runs = ledger.pending(runs, done, [
             ("dataset", "dataset"), ("label_type", "label_type"), ("model_name", "target_model"),
             ("epsilon", "epsilon")])
-    todo = preds.join(F.broadcast(runs.select("run_id")), "run_id", "left_semi")
+    todo = preds.join(small_table(runs.select("run_id")), "run_id", "left_semi")
     return attack_records(attack_runs(todo, rows, cap, seed), results)

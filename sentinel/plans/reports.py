@@ -400,7 +400,7 @@ def feature_profile(train: DataFrame, features: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"))
     median = exact_quantiles(long, [0.5]).select("feature", F.col("quantile").alias("median"))
     cv = F.col("std_dev") / F.greatest(F.abs("mean"), F.lit(1e-9)) * 100.0
-    return moments.join(F.broadcast(median), "feature").withColumn("cv_pct", cv)
+    return moments.join(median, "feature").withColumn("cv_pct", cv)
 
 
 def top_features(profile: DataFrame, by: str = "cv_pct", n: int = 20) -> DataFrame:
