@@ -240,12 +240,14 @@ def noise_calibration(spark: SparkSession, sf: str) -> DataFrame:
 # -- trained models (no SQL equivalent) -------------------------------------------------
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings with a binary and a five-class label and a split."""
+    """Embeddings with a split and two labels that depend on the vector: a sign and an argmax."""
     e = I.read(spark, sf, "embeddings")
     u = I.uniform(I.SEED, "part", "vec_id")
+    first = F.slice("embedding", 1, 5)
     return e.select(
         F.col("vec_id").alias("row_id"), F.col("embedding").alias("features"),
-        (F.col("label") < 3).cast("int").alias("y"), F.pmod("label", F.lit(5)).cast("int").alias("y5"),
+        (F.get("embedding", F.lit(0)) + F.get("embedding", F.lit(1)) > 0).cast("int").alias("y"),
+        (F.array_position(first, F.array_max(first)) - 1).cast("int").alias("y5"),
         F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test").alias("split"))
 
 
