@@ -31,6 +31,16 @@ def lookup(values: Mapping[str, str], key: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(values), key), default)
 
 
+def double(value: float | None) -> str:
+    """A DOUBLE literal for SQL expressions, exact to the last bit."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"{float(value)!r}D"
+
+
+def array_sql(values: Iterable[float | int]) -> str:
+    """A literal array; one parsed expression instead of one call per element."""
+    return "array(" + ", ".join(double(v) if isinstance(v, float) else str(v) for v in values) + ")"
+
+
 def display_name(model: Column | str = "model_name") -> Column:
     c = F.col(model) if isinstance(model, str) else model
     return lookup(DISPLAY_NAMES, c, c)

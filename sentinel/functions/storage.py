@@ -40,6 +40,33 @@ def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(fetched, schema=df.schema))
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a scanned or checkpointed table with fewer partitions than the cluster has cores.
+
+    Tables with enough splits, as any large one, are returned as they are, without a shuffle. Call
+    it on scans only: counting the partitions of a plan with shuffles would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def training_table(df: DataFrame) -> DataFrame:
+    """Rows for repeated passes: written once to reliable storage, in enough parts for all cores."""
+    stored = cut_lineage(df)
+    spread = use_all_cores(stored)
+    return stored if spread is stored else cut_lineage(spread)
+
+
+def allow_method_split(spark: SparkSession) -> None:
+    """Let long generated expressions be cut into methods short enough to be compiled by the JVM.
+
+    Whole-stage code puts an operator's expressions into one method, and HotSpot never compiles a
+    method above 8000 bytes of bytecode. With this limit Spark evaluates such an operator outside
+    whole-stage code, in pieces; operators with short expressions are not affected.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -19,25 +19,28 @@ def rdp(settings: DataFrame, orders: Sequence[int] = ORDERS,
         rate: str = "rate", sigma: str = "sigma") -> DataFrame:
     """(rate, sigma, alpha, rdp) of one step for every distinct (rate, sigma), 0 < rate <= 1.
 
-    log sum_k C(alpha,k) (1-q)^(alpha-k) q^k exp((k^2-k)/(2 sigma^2)), summed from its largest term.
+    log sum_k C(alpha,k) (1-q)^(alpha-k) q^k exp((k^2-k)/(2 sigma^2)), in one running log-sum-exp.
     """
     grid = (
         settings.select(F.col(rate).alias("rate"), F.col(sigma).alias("sigma")).distinct()
         .withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in orders])))
     )
     q, s, a = F.col("rate"), F.col("sigma"), F.col("alpha")
-    log_fact = F.lit([math.lgamma(i + 1) for i in range(max(orders) + 1)])
-    log_fact_at = lambda i: F.get(log_fact, i)
-
-    def term(k: Column) -> Column:
-        log_choose = log_fact_at(a) - log_fact_at(k) - log_fact_at(a - k)
-        stay = F.when(a == k, 0.0).when(q < 1, (a - k) * F.ln(1 - q)).otherwise(F.lit(float("-inf")))
-        return log_choose + stay + k * F.ln(q) + (k * k - k) / (2 * s * s)
-
-    terms = grid.withColumn("_t", F.transform(F.sequence(F.lit(0), a), term))
-    top = F.array_max("_t")
-    total = F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + F.exp(t - top))
-    return terms.select("rate", "sigma", "alpha", ((top + F.ln(total)) / (a - 1)).alias("rdp"))
+    log_q, log_stay = F.col("_lq"), F.col("_ls")
+    grid = grid.withColumn("_lq", F.ln(q)).withColumn(
+        "_ls", F.when(q < 1, F.ln(1 - q)).otherwise(F.lit(-1e300)))
+
+    def add(acc: Column, k: Column) -> Column:
+        choose = acc["choose"] + F.ln((a - k + 1) / k)
+        stay = F.when(a == k, 0.0).otherwise((a - k) * log_stay)
+        term = choose + stay + k * log_q + (k * k - k) / (2 * s * s)
+        top = F.greatest(acc["top"], term)
+        total = acc["total"] * F.exp(acc["top"] - top) + F.exp(term - top)
+        return F.struct(choose.alias("choose"), top.alias("top"), total.alias("total"))
+
+    start = F.struct(F.lit(0.0).alias("choose"), (a * log_stay).alias("top"), F.lit(1.0).alias("total"))
+    log_sum = F.aggregate(F.sequence(F.lit(1), a), start, add, lambda acc: acc["top"] + F.ln(acc["total"]))
+    return grid.select("rate", "sigma", "alpha", (log_sum / (a - 1)).alias("rdp"))
 
 
 def epsilon_at(total_rdp: Column, alpha: Column, delta: float) -> Column:

@@ -12,10 +12,12 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentinel.functions.cols import array_sql, double
 from sentinel.functions.rand import exponential, secret_seed, uniform
+from sentinel.functions.storage import allow_method_split
 from sentinel.schema import EPSILON_GRID
 
 
@@ -53,26 +55,28 @@ def random_forest_structure(n_features: int, n_trees: int = 10, depth: int = 5,
     )
 
 
-def leaf_of(forest: Forest, tree: int, inputs: Sequence[Column], lower: Sequence[float],
-            upper: Sequence[float]) -> Column:
+def leaf_sql(forest: Forest, tree: int, inputs: Sequence[str], lower: Sequence[float],
+             upper: Sequence[float]) -> str:
     """Leaf number of a row in one tree as nested CASE WHEN; a row evaluates ``depth`` comparisons."""
     inner = (1 << forest.depth) - 1
 
-    def node(i: int) -> Column:
+    def node(i: int) -> str:
         if i >= inner:
-            return F.lit(i - inner)
+            return str(i - inner)
         f = forest.features[tree][i]
         threshold = lower[f] + forest.positions[tree][i] * (upper[f] - lower[f])
-        return F.when(inputs[f] > F.lit(threshold), node(2 * i + 2)).otherwise(node(2 * i + 1))
+        return (f"CASE WHEN {inputs[f]} > {double(threshold)} THEN {node(2 * i + 2)} "
+                f"ELSE {node(2 * i + 1)} END")
 
     return node(0)
 
 
-def route(df: DataFrame, forest: Forest, inputs: Sequence[Column], lower: Sequence[float],
+def route(df: DataFrame, forest: Forest, inputs: Sequence[str], lower: Sequence[float],
           upper: Sequence[float], name: str = "leaves") -> DataFrame:
-    """Add the array of leaf numbers, one per tree."""
-    return df.withColumn(name, F.array(*[
-        leaf_of(forest, t, inputs, lower, upper) for t in range(forest.n_trees)]))
+    """Add the array of leaf numbers, one per tree. ``inputs`` are column names or SQL expressions."""
+    allow_method_split(df.sparkSession)
+    trees = ", ".join(leaf_sql(forest, t, inputs, lower, upper) for t in range(forest.n_trees))
+    return df.withColumn(name, F.expr(f"array({trees})"))
 
 
 def leaf_counts(train: DataFrame, forest: Forest, key: str, label: str, n_classes: int,
@@ -126,8 +130,8 @@ def predict(df: DataFrame, forest: Forest, labels: DataFrame, n_classes: int,
     for r in labels.select("epsilon", "tree", "leaf", "label").collect():
         slot = table.setdefault(r["epsilon"], [0] * (forest.n_trees * forest.n_leaves))
         slot[r["tree"] * forest.n_leaves + r["leaf"]] = r["label"]
-    models = F.explode(F.array(*[
-        F.struct(F.lit(e).alias("epsilon"), F.lit(table[e]).alias("labels")) for e in sorted(table)]))
+    models = F.expr("explode(array(" + ", ".join(
+        f"named_struct('epsilon', {double(e)}, 'labels', {array_sql(table[e])})" for e in sorted(table)) + "))")
     votes = F.transform(F.col(leaves), lambda leaf, t: F.get(
         F.col("_m.labels"), t * forest.n_leaves + leaf))
     share = lambda c: F.size(F.filter("_votes", lambda v: v == c)) / F.lit(float(forest.n_trees))

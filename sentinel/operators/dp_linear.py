@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.functions.storage import cut_lineage
+from sentinel.functions.cols import array_sql, double
+from sentinel.functions.storage import training_table
 from sentinel.operators.gradients import batch_matrix, sum_partials
 from sentinel.operators.scale import clip_to_norm
 from sentinel.schema import EPSILON_GRID
@@ -63,7 +64,7 @@ def train(
     radius = math.sqrt(norm_bound ** 2 + 1.0)
     clipped = F.transform(F.concat(clip_to_norm(F.col(features), norm_bound), F.array(F.lit(1.0))),
                           lambda v: v / F.lit(radius))
-    table = cut_lineage(rows.select(clipped.alias("x"), F.col(label).cast("int").alias("y")))
+    table = training_table(rows.select(clipped.alias("x"), F.col(label).cast("int").alias("y")))
 
     counts = {r["y"]: r["count"] for r in table.groupBy("y").count().collect()}
     n = sum(counts.values())
@@ -162,10 +163,9 @@ def _two_loop(grad: np.ndarray, memory: list, inverse0: np.ndarray) -> np.ndarra
 def predict(df: DataFrame, models: LinearModels, features: str = "features") -> DataFrame:
     """One row per input row and epsilon with ``probs`` and ``y_pred``; rows are clipped as in training."""
     x = F.concat(clip_to_norm(F.col(features), models.norm_bound), F.array(F.lit(1.0)))
-    grid = F.explode(F.array(*[
-        F.struct(F.lit(e).cast("double").alias("epsilon"),
-                 F.array(*[F.lit([float(v) for v in row]) for row in w]).alias("w"))
-        for e, w in zip(models.epsilons, models.weights)]))
+    grid = F.expr("explode(array(" + ", ".join(
+        f"named_struct('epsilon', {double(e)}, 'w', array({', '.join(array_sql(row.tolist()) for row in w)}))"
+        for e, w in zip(models.epsilons, models.weights)) + "))")
     margins = F.transform(F.col("_m.w"), lambda w: F.aggregate(
         F.zip_with("_x", w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
     each = F.transform(margins, lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))

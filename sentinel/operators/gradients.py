@@ -11,6 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 
+DIRECT_TASKS = 64  # up to this many partial vectors go straight to the driver
+
+
 def batch_matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """A list<double> column of equal lengths as a matrix, without per-row Python objects."""
     values = batch.column(column).flatten().to_numpy(zero_copy_only=False)
@@ -24,7 +27,8 @@ def sum_partials(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray],
     Each task adds up its own batches; about sqrt(tasks) groups add up tasks; the driver adds up the
     groups. No row leaves its task.
     """
-    fan = max(1, int(np.sqrt(df.rdd.getNumPartitions())))
+    tasks = df.rdd.getNumPartitions()
+    fan = int(np.sqrt(tasks)) if tasks > DIRECT_TASKS else 1
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(size)

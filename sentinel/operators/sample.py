@@ -53,23 +53,23 @@ def add_class_weight(df: DataFrame, label: str) -> DataFrame:
     return df.join(small_table(class_weights(df, label).select(label, "weight")), label)
 
 
-def resample_by_weight(df: DataFrame, weight: str, key: str, seed: int = 42) -> DataFrame:
-    """Draw rows with replacement: each row appears Poisson(weight) times (weights average 1).
+def resample_balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """Draw rows with replacement, all classes equally often: a row appears Poisson(weight) times.
 
-    The Poisson count is found by inverting its distribution at a keyed uniform number.
+    The weight is the balanced class weight, so the expected size is that of the table. Each class
+    carries its distribution function, in which a keyed uniform number finds the count.
     """
-    u = uniform(seed, "resample", key)
-    w = F.col(weight).cast("double")
-    start = F.struct(F.lit(0).alias("k"), F.exp(-w).alias("term"), F.exp(-w).alias("cdf"))
+    w, last = F.col("weight"), F.element_at("_cdf", -1)
+    grow = lambda cdf, k: F.concat(cdf, F.array(F.element_at(cdf, -1) + F.exp(
+        k * F.ln(w) - w - F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + F.ln(i)))))
     steps = F.sequence(F.lit(1), (w + 10 * F.sqrt(w) + 20).cast("int"))
-    walked = F.aggregate(
-        steps, start,
-        lambda a, i: F.when(a["cdf"] > F.col("_u"), a).otherwise(F.struct(
-            i.alias("k"), (a["term"] * w / i).alias("term"),
-            (a["cdf"] + a["term"] * w / i).alias("cdf"))),
-        lambda a: a["k"])
+    classes = class_weights(df, label).select(label, "weight").withColumn(
+        "_cdf", F.aggregate(steps, F.array(F.exp(-w)), grow))
+    drawn = df.join(small_table(classes), label).withColumn(
+        "_u", uniform(seed, "resample", key))
+    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     return (
-        df.withColumn("_u", u).withColumn("_copies", walked).where("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_u", "_copies")
+        drawn.withColumn("_copies", F.when(last <= F.col("_u"), F.size("_cdf")).otherwise(copies))
+        .where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .drop("_u", "_cdf", "_copies")
     )

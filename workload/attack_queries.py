@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
+from sentinel.functions.storage import small_table
 from sentinel.operators import attack
 from sentinel.plans import evaluate, mia, reports
 from sentinel.schema import ATTACK_METRICS, ATTACK_SCHEMA, TARGET_METRICS
@@ -56,9 +57,14 @@ _SCORES = """scores AS (SELECT run_id, p.row_id, member, CASE WHEN y_true = 1 TH
   FROM preds p JOIN sample s ON p.row_id = s.row_id AND p.split = s.split WHERE part = 'test')"""
 
 
-def threshold_scores(spark: SparkSession, sf: str) -> DataFrame:
-    sample = attack.attack_sample(_rows(spark, sf), "row_id", CAP, I.SEED).where("part = 'test'")
-    chosen = I.predictions(spark, sf, EVERY).join(F.broadcast(sample), ["row_id", "split"])
+def sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The attack sample, at most 2 * CAP rows, evaluated once."""
+    return small_table(attack.attack_sample(_rows(spark, sf), "row_id", CAP, I.SEED), 2 * CAP)
+
+
+def threshold_scores(spark: SparkSession, sf: str, sample: DataFrame | None = None) -> DataFrame:
+    test = (sample_rows(spark, sf) if sample is None else sample).where("part = 'test'")
+    chosen = I.predictions(spark, sf, EVERY, chosen=test).join(test, ["row_id", "split"])
     return chosen.withColumn("score", F.get("probs", F.col("y_true"))).select(
         "run_id", "row_id", "member", "score", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("y_pred"))
 
@@ -106,8 +112,8 @@ RECORDS = SCORED + ", " + ",\n".join([
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Attack records from the threshold attack."""
-    m = attack.attack_metrics(threshold_scores(spark, sf), ["run_id"])
-    sample = attack.attack_sample(_rows(spark, sf), "row_id", CAP, I.SEED)
+    sample = sample_rows(spark, sf)
+    m = attack.attack_metrics(threshold_scores(spark, sf, sample), ["run_id"])
     n = sample.where("member = 1").count()
     return mia.attack_records(m.withColumn("n_members", F.lit(n).cast("bigint")), results(spark, sf))
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentinel.functions.cols import double
 from sentinel.functions.rand import uniform
+from sentinel.functions.storage import use_all_cores
 from sentinel.operators.labels import map_cic_labels
 from sentinel.schema import BASELINE_MODELS, CIC_LABELS, DP_MODELS, EPSILON_GRID, UNSW_LABELS
 
@@ -32,6 +34,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """For queries with much work per row; a single small file would keep one core busy."""
+    return use_all_cores(read(spark, sf, name))
+
+
 def run_list(epsilons=EPSILON_GRID) -> list[dict]:
     runs = [dict(model=m, eps=None, q=QUALITY[m]) for m in BASELINE_MODELS]
     runs += [dict(model=m, eps=e, q=round(QUALITY[m] * e / (e + HALF_EPSILON[m]), 4))
@@ -150,7 +157,7 @@ def flow_k() -> Column:
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled events with four numeric features; row_id is unique."""
-    e = read(spark, sf, "events")
+    e = read_spread(spark, sf, "events")
     df = e.select(
         F.col("event_id").alias("row_id"), case(EVENT_LABELS, "event_type", F.col("event_type")).alias("label"),
         F.col("value").alias("f_value"), hour_of("ts").cast("double").alias("f_hour"),
@@ -174,31 +181,33 @@ def raw_flows(spark: SparkSession, sf: str, keep_id: bool = False) -> DataFrame:
     return e.select(*([i] if keep_id else []), *cols)
 
 
+def split_of(dataset: str, key: str) -> Column:
+    u = uniform(SEED, "part", F.lit(dataset), key)
+    return F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test")
+
+
 def labelled_rows(spark: SparkSession, sf: str, orders: bool = False) -> DataFrame:
     def part(dataset: str, df: DataFrame, key: str, cls: Column) -> DataFrame:
         name = F.lit(dataset)
-        u = F.col("_part")
         return df.select(
             name.alias("dataset"), F.col(key).alias("row_id"), cls.alias("label_multiclass"),
             uniform(SEED, "sig", name, key).alias("u1"), uniform(SEED, "noise", name, key).alias("u2"),
-            uniform(SEED, "part", name, key).alias("_part"),
-        ).withColumn("split", F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test")).drop("_part")
+            split_of(dataset, key).alias("split"))
 
     mapped = flows(spark, sf).select("row_id", "label_multiclass")
     out = part("events", mapped, "row_id", F.col("label_multiclass"))
     if orders:
-        o = read(spark, sf, "orders")
+        o = read_spread(spark, sf, "orders")
         out = out.unionByName(part("orders", o, "o_orderkey",
                                    case(ORDER_CLASSES, "o_orderstatus", F.lit("Unknown"))))
     return out.withColumn("y", F.when(F.col("label_multiclass") == "BENIGN", 0).otherwise(1))
 
 
 def _run_structs(runs) -> Column:
-    return F.explode(F.array(*[F.struct(
-        F.lit(r["no"]).alias("no"), F.lit(r["model"]).alias("model_name"),
-        F.lit(r["eps"]).cast("double").alias("epsilon"), F.lit(r["q"]).cast("double").alias("q"),
-        F.lit(r["speed"]).cast("double").alias("speed"),
-        F.lit(f"{r['model']}/{r['no']}").alias("run_id")) for r in runs]))
+    return F.expr("explode(array(" + ", ".join(
+        f"named_struct('no', {r['no']}, 'model_name', '{r['model']}', 'epsilon', {double(r['eps'])}, "
+        f"'q', {double(r['q'])}, 'speed', {double(r['speed'])}, 'run_id', '{r['model']}/{r['no']}')"
+        for r in runs) + "))")
 
 
 def run_id() -> Column:
@@ -210,16 +219,19 @@ def _fraction(k: Column) -> Column:
 
 
 def predictions(spark: SparkSession, sf: str, splits=("val", "test"), orders: bool = False,
-                runs=RUNS) -> DataFrame:
-    """Binary predictions of every run: run columns, row_id, split, y_true, y_pred, probs."""
-    rows = labelled_rows(spark, sf, orders)
-    if splits:
-        rows = rows.where(F.col("split").isin(*splits))
+                chosen: DataFrame | None = None) -> DataFrame:
+    """Binary predictions of every run: run columns, row_id, split, y_true, y_pred, probs.
+
+    ``chosen`` restricts scoring to the (row_id, split) rows of a sample.
+    """
+    rows = labelled_rows(spark, sf, orders).where(F.col("split").isin(*splits))
+    if chosen is not None:
+        rows = rows.join(F.broadcast(chosen.select("row_id", "split")), ["row_id", "split"])
     signal = F.when(F.col("y") == 1, F.lit(0.5) + F.lit(0.5) * F.col("u1")).otherwise(
         F.lit(0.5) * F.col("u1"))
     q, no = F.col("r.q"), F.col("r.no")
     p = q * signal + (F.lit(1.0) - q) * _fraction(F.lit(101) + F.lit(7) * no)
-    return rows.withColumn("r", _run_structs(runs)).withColumn("p", p).select(
+    return rows.withColumn("r", _run_structs(RUNS)).withColumn("p", p).select(
         run_id(), "dataset", F.lit("binary").alias("label_type"), "r.model_name", "r.epsilon", "row_id",
         "split", F.col("y").alias("y_true"), F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("y_pred"),
         F.array(F.lit(1.0) - F.col("p"), F.col("p")).alias("probs"))
@@ -227,9 +239,7 @@ def predictions(spark: SparkSession, sf: str, splits=("val", "test"), orders: bo
 
 def multi_predictions(spark: SparkSession, sf: str, splits=("val", "test")) -> DataFrame:
     """Five-class predictions of six runs."""
-    rows = labelled_rows(spark, sf)
-    if splits:
-        rows = rows.where(F.col("split").isin(*splits))
+    rows = labelled_rows(spark, sf).where(F.col("split").isin(*splits))
     code = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("label_multiclass")) - 1
     q, no = F.col("r.q"), F.col("r.no")
     raw = F.array(*[
@@ -246,12 +256,12 @@ def multi_predictions(spark: SparkSession, sf: str, splits=("val", "test")) -> D
     )
 
 
-def run_table(spark: SparkSession, sf: str, orders: bool = False, runs=RUNS) -> DataFrame:
+def run_table(spark: SparkSession, sf: str, orders: bool = False) -> DataFrame:
     """One row per run; the training time is proportional to the training rows."""
     n = (labelled_rows(spark, sf, orders).where("split = 'train'")
          .groupBy("dataset").agg(F.count(F.lit(1)).alias("n_train")))
     sgd = F.col("r.model_name") == "dp_sgd"
-    return n.withColumn("r", _run_structs(runs)).select(
+    return n.withColumn("r", _run_structs(RUNS)).select(
         run_id(), "dataset", F.lit("binary").alias("label_type"), "r.model_name", "r.epsilon",
         F.when(sgd, F.lit(1e-5)).alias("delta"),
         F.when(sgd, F.col("r.epsilon") * F.lit(0.97)).alias("actual_epsilon"),

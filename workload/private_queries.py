@@ -21,9 +21,9 @@ FOREST = dp_forest.random_forest_structure(len(I.FLOW_FEATURES))
 
 def coded_flows(spark: SparkSession, sf: str) -> DataFrame:
     """Flows with the class code, split and the four features."""
-    parts = I.labelled_rows(spark, sf).select("row_id", "split")
     code = F.array_position(F.array(*[F.lit(c) for c in I.CLASSES]), F.col("label_multiclass")) - 1
-    return I.flows(spark, sf).join(parts, "row_id").withColumn("code", code.cast("int")).select(
+    return I.flows(spark, sf).select(
+        "*", I.split_of("events", "row_id").alias("split"), code.cast("int").alias("code")).select(
         "row_id", "split", "code", *I.FLOW_FEATURES)
 
 
@@ -32,7 +32,7 @@ def routed_flows(spark: SparkSession, sf: str) -> DataFrame:
     bounds = scale.feature_bounds(rows.where("split = 'train'"), I.FLOW_FEATURES)
     found = {r["feature"]: (round(r["lower"], 6), round(r["upper"], 6)) for r in bounds.collect()}
     low, high = ([found[f][i] for f in I.FLOW_FEATURES] for i in (0, 1))
-    return dp_forest.route(rows, FOREST, [F.col(f) for f in I.FLOW_FEATURES], low, high)
+    return dp_forest.route(rows, FOREST, I.FLOW_FEATURES, low, high)
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +241,7 @@ def noise_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings with a split and two labels that depend on the vector: a sign and an argmax."""
-    e = I.read(spark, sf, "embeddings")
+    e = I.read_spread(spark, sf, "embeddings")
     u = I.uniform(I.SEED, "part", "vec_id")
     first = F.slice("embedding", 1, 5)
     return e.select(

@@ -54,8 +54,7 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def weighted_resample(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.flows(spark, sf).select("row_id", "label_binary")
-    weighted = sample.add_class_weight(rows, "label_binary")
-    drawn = sample.resample_by_weight(weighted, "weight", "row_id", I.SEED)
+    drawn = sample.resample_balanced(rows, "label_binary", "row_id", I.SEED)
     return drawn.groupBy(F.col("label_binary").cast("int").alias("label_binary")).agg(
         F.count(F.lit(1)).alias("n_rows"))
 
@@ -65,8 +64,7 @@ _TRAIN = f"""placed AS (SELECT *, {I.SQL_SPLIT.format(u=I.sql_uniform('part', "'
 
 
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
-    parts = I.labelled_rows(spark, sf).select("row_id", "split")
-    return I.flows(spark, sf).join(parts, "row_id")
+    return I.flows(spark, sf).withColumn("split", I.split_of("events", "row_id"))
 
 
 _SCALED = ", ".join(
