@@ -132,10 +132,12 @@ def predict(df: DataFrame, forest: Forest, labels: DataFrame, n_classes: int,
         slot[r["tree"] * forest.n_leaves + r["leaf"]] = r["label"]
     models = F.expr("explode(array(" + ", ".join(
         f"named_struct('epsilon', {double(e)}, 'labels', {array_sql(table[e])})" for e in sorted(table)) + "))")
-    votes = F.transform(F.col(leaves), lambda leaf, t: F.get(
-        F.col("_m.labels"), t * forest.n_leaves + leaf))
-    share = lambda c: F.size(F.filter("_votes", lambda v: v == c)) / F.lit(float(forest.n_trees))
-    voted = df.withColumn("_m", models).withColumn("_votes", votes)
-    scored = voted.withColumn("probs", F.array(*[share(c) for c in range(n_classes)]))
+    trees = range(forest.n_trees)
+    allow_method_split(df.sparkSession)
+    voted = df.withColumn("_m", models).selectExpr("*", *[
+        f"get(_m.labels, {t * forest.n_leaves} + get({leaves}, {t})) AS _v{t}" for t in trees])
+    share = lambda c: "(" + " + ".join(f"CAST(_v{t} = {c} AS INT)" for t in trees) + f") / {forest.n_trees}D"
+    scored = voted.withColumn("probs", F.expr(f"array({', '.join(share(c) for c in range(n_classes))})"))
     pick = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
-    return scored.withColumn("epsilon", F.col("_m.epsilon")).withColumn("y_pred", pick).drop("_m", "_votes")
+    return scored.withColumn("epsilon", F.col("_m.epsilon")).withColumn("y_pred", pick).drop(
+        "_m", *[f"_v{t}" for t in trees])

@@ -42,6 +42,7 @@ def reader_options(dialect: Dialect) -> dict[str, str]:
     return {
         "encoding": dialect.encoding, "sep": dialect.sep, "header": str(dialect.header).lower(),
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "enforceSchema": "true",
+        "columnPruning": "false",  # a pruned parse would not see that a row is too long
     }
 
 
@@ -62,11 +63,13 @@ def read_raw(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
 
 
 def count_malformed(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
-    """(file, n_malformed) of the rows that :func:`read_raw` leaves out."""
+    """(file, n_malformed, n_filled): rows that :func:`read_raw` leaves out, and all rows whose first
+    field is not empty."""
     df, n = _scan(spark, raw_dir, dataset)
     seen = df.withColumn("file", F.col("_metadata.file_name")).withColumn(
         "_bad", over_long(n, DIALECTS[dataset].sep))
-    return seen.groupBy("file").agg(F.count_if("_bad").alias("n_malformed"))
+    return seen.groupBy("file").agg(
+        F.count_if("_bad").alias("n_malformed"), F.count(df.columns[0]).alias("n_filled"))
 
 
 def _scan(spark: SparkSession, raw_dir: str, dataset: str) -> tuple[DataFrame, int]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
+from sentinel.functions.storage import cut_lineage
 from sentinel.operators import accountant, baselines, dp_forest, dp_linear, dp_mlp, scale
 from sentinel.operators.metrics import evaluate
 from sentinel.operators.scale import norm_bound
@@ -28,7 +29,7 @@ def coded_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def routed_flows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = coded_flows(spark, sf)
+    rows = cut_lineage(coded_flows(spark, sf))  # read by the bounds, the training and the scoring
     bounds = scale.feature_bounds(rows.where("split = 'train'"), I.FLOW_FEATURES)
     found = {r["feature"]: (round(r["lower"], 6), round(r["upper"], 6)) for r in bounds.collect()}
     low, high = ([found[f][i] for f in I.FLOW_FEATURES] for i in (0, 1))
