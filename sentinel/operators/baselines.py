@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest,
+    OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentinel.functions.storage import path_exists
 from sentinel.operators.sample import add_class_weight
 
 
@@ -62,6 +65,22 @@ def predict(model: Model, df: DataFrame, features: str) -> DataFrame:
         "_vec", "rawPrediction", "probability", "prediction")
 
 
+MODEL_CLASSES = {c.__name__: c for c in (
+    LogisticRegressionModel, RandomForestClassificationModel, GBTClassificationModel, OneVsRestModel)}
+
+
+def save_model(model: Model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """The fitted model saved at ``path``, whichever family it is of."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no model at {path}; train it first")
+    described = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()[0])
+    return MODEL_CLASSES[described["class"].rsplit(".", 1)[-1]].load(path)
+
+
 def feature_importances(model: Model, df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(feature, importance), largest first."""
     rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]

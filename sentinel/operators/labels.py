@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import lookup
@@ -55,10 +55,9 @@ def unmapped_labels(df: DataFrame) -> DataFrame:
 
 def fit_encoder(df: DataFrame, label: str = "label_multiclass") -> DataFrame:
     """(label, code) with codes in sorted label order; as many rows as there are classes."""
-    classes = df.select(F.col(label).cast("string").alias(label)).distinct()
-    ordered = classes.agg(F.sort_array(F.collect_set(label)).alias("_all"))
-    return ordered.select(F.posexplode("_all").alias("code", label)).select(
-        label, F.col("code").cast("int").alias("code"))
+    classes = df.select(F.col(label).cast("string").alias(label)).where(F.col(label).isNotNull()).distinct()
+    order = Window.orderBy(label)  # one row per class
+    return classes.select(label, (F.row_number().over(order) - 1).alias("code"))
 
 
 def encode(df: DataFrame, encoder: DataFrame, label: str = "label_multiclass") -> DataFrame:

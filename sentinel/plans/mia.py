@@ -15,14 +15,14 @@ RUN = ["run_id"]
 
 def sampled_features(preds: DataFrame, sample: DataFrame) -> DataFrame:
     """Attack features of the sampled rows, for every run. One semi-join chooses rows for all runs."""
-    chosen = preds.join(F.broadcast(sample), ["row_id", "split"])
+    chosen = preds.join(sample, ["row_id", "split"])
     return attack.attack_features(chosen)
 
 
 def attack_runs(preds: DataFrame, rows: DataFrame, cap: int = DEFAULTS.attack_cap,
                 seed: int = DEFAULTS.seed) -> DataFrame:
     """Attack metrics per run_id. ``rows`` lists the records with their split, once each."""
-    sample = attack.attack_sample(rows, "row_id", cap, seed)
+    sample = small_table(attack.attack_sample(rows, "row_id", cap, seed), 2 * cap)
     scores = attack.attack_scores(sampled_features(preds, sample), RUN, "row_id")
     sizes = sample.groupBy("member", "part").agg(F.count(F.lit(1)).alias("n")).collect()
     count = lambda **kv: sum(r["n"] for r in sizes if all(r[k] == v for k, v in kv.items()))

@@ -145,6 +145,7 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("delta", T.DoubleType()),
     T.StructField("actual_epsilon", T.DoubleType()),
     T.StructField("train_time_s", T.DoubleType()),
+    T.StructField("public_bounds", T.BooleanType()),
     T.StructField("split", T.StringType()),
     *[T.StructField(m, T.DoubleType()) for m in COMPARISON_METRICS],
     T.StructField("false_negative_rate", T.DoubleType()),

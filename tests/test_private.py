@@ -227,3 +227,42 @@ def test_attack_finds_a_leak_and_nothing_without_one(spark):
     for r in m.values():
         assert r["attack_advantage"] == pytest.approx(r["attack_roc_auc"] - 0.5, abs=6e-5)
         assert 0 <= r["tpr_at_fpr_0_01"] <= r["tpr_at_fpr_0_10"] <= 1
+
+
+def test_model_round_trip(spark, points, tmp_path):
+    model = baselines.train_forest(points, "features", "y", n_trees=3, depth=3)
+    baselines.save_model(model, f"{tmp_path}/m")
+    again = baselines.load_model(spark, f"{tmp_path}/m")
+    a, b = (baselines.predict(m, points, "features").select("row_id", "probs") for m in (model, again))
+    assert a.exceptAll(b).count() == 0
+    with pytest.raises(FileNotFoundError):
+        baselines.load_model(spark, f"{tmp_path}/none")
+
+
+def test_all_families_end_to_end(spark, points):
+    from dataclasses import replace
+
+    from sentinel.plans import evaluate, mia, train
+    from sentinel.schema import ATTACK_SCHEMA, DEFAULTS
+
+    subset = points.select("row_id", "split", *[F.col("features")[i].alias(f"f{i}") for i in range(6)],
+                           F.col("y").cast("tinyint").alias("label_binary"),
+                           F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.col("y3") + 1).alias("label_multiclass"))
+    data = train.prepare(subset, label_type="multiclass")
+    assert data.classes == ["A", "B", "C"] and data.features == [f"f{i}" for i in range(6)]
+    small = replace(DEFAULTS, epsilons=(1.0, 50.0), n_trees=5, tree_depth=3, hidden_layers=(8,), epochs=3)
+    preds, runs = train.run_models(data, "points", "multiclass", (
+        "logistic_regression", "random_forest", "dp_logistic_regression", "dp_random_forest"), small, seed=1)
+    preds = preds.cache()
+    assert preds.count() == 600 * 6
+    res = evaluate.result_rows(preds.where("split = 'test'"), runs, "multiclass")
+    score = {(r["model_name"], r["epsilon"]): r["f1_macro"] for r in res.collect()}
+    assert len(score) == 6 and score[("logistic_regression", None)] > 0.85
+    assert score[("dp_logistic_regression", 50.0)] > score[("dp_logistic_regression", 1.0)]
+    done = spark.createDataFrame([], ATTACK_SCHEMA)
+    found = mia.sweep(preds, subset.select("row_id", "split"), res, done, cap=100).collect()
+    assert len(found) == 6 and all(r["n_members"] == 100 and r["n_attack_test"] == 60 for r in found)
+    with pytest.raises(ValueError):
+        train.run_models(data, "points", models=("svm",))
+    with pytest.raises(ValueError):
+        train.prepare(subset, label_type="other")

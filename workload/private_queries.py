@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
 from sentinel.functions.storage import cut_lineage
 from sentinel.operators import accountant, baselines, dp_forest, dp_linear, dp_mlp, scale
 from sentinel.operators.metrics import evaluate
+from sentinel.operators.sample import add_split
 from sentinel.operators.scale import norm_bound
-from sentinel.schema import EPSILON_GRID
+from sentinel.plans import evaluate as evaluate_runs
+from sentinel.plans import train
+from sentinel.schema import DEFAULTS, EPSILON_GRID
 from workload import inputs as I
 from workload.registry import ctes, query
 
@@ -37,8 +42,8 @@ def routed_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    train = routed_flows(spark, sf).where("split = 'train'")
-    return dp_forest.leaf_counts(train, FOREST, "row_id", "code", N_CLASSES, I.SEED)
+    fit = routed_flows(spark, sf).where("split = 'train'")
+    return dp_forest.leaf_counts(fit, FOREST, "row_id", "code", N_CLASSES, I.SEED)
 
 
 def _sql_leaf(tree: int) -> str:
@@ -207,8 +212,6 @@ def rdp_epsilon(spark: SparkSession, sf: str) -> DataFrame:
             sql_spent("l_returnflag, epoch", "steps", SQL_SHORT)) +
        f"SELECT l_returnflag, epoch, {I.sql_round('epsilon')} AS epsilon FROM spent")
 def epsilon_by_epoch(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     years = I.read(spark, sf, "lineitem").groupBy(
         "l_returnflag", F.year(F.col("l_shipdate").cast("timestamp_ntz")).cast("bigint").alias("epoch")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -300,18 +303,18 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def dp_logreg_sweep(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
-    train = rows.where("split = 'train'")
-    bound = norm_bound(train).first()["bound"]
-    models = dp_linear.train(train, "features", "y", 2, bound, max_iter=40, seed=I.SEED)
+    fit = rows.where("split = 'train'")
+    bound = norm_bound(fit).first()["bound"]
+    models = dp_linear.train(fit, "features", "y", 2, bound, max_iter=40, seed=I.SEED)
     return _scored(dp_linear.predict(rows, models), ["epsilon", "split"], "y", "binary")
 
 
 @query()
 def dp_logreg_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
-    train = rows.where("split = 'train'")
-    bound = norm_bound(train).first()["bound"]
-    models = dp_linear.train(train, "features", "y5", 5, bound, epsilons=(1.0, 10.0), max_iter=40, seed=I.SEED)
+    fit = rows.where("split = 'train'")
+    bound = norm_bound(fit).first()["bound"]
+    models = dp_linear.train(fit, "features", "y5", 5, bound, epsilons=(1.0, 10.0), max_iter=40, seed=I.SEED)
     return _scored(dp_linear.predict(rows, models), ["epsilon", "split"], "y5", "multiclass")
 
 
@@ -323,3 +326,24 @@ def dp_mlp_training(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(dp_mlp.predict(rows, model), ["split"], "y", "binary")
     return scored.withColumn("target_epsilon", F.lit(model.epsilon)).withColumn(
         "actual_epsilon", F.lit(round(model.actual_epsilon, 4)))
+
+
+SMALL = replace(DEFAULTS, epsilons=(0.1, 1.0, 10.0), n_trees=20, tree_depth=5)
+
+
+@query()
+def experiment(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows to split, scaling, two baselines and two private families, and their test metrics.
+
+    The label depends on the features here, so that the budget's effect shows.
+    """
+    hit = F.col("f_value") / 50 + F.col("f_k") / 100 > 1.2
+    rows = I.flows(spark, sf).withColumn("label_multiclass", F.when(hit, "DoS").otherwise("BENIGN")).withColumn(
+        "label_binary", hit.cast("tinyint"))
+    data = train.prepare(add_split(rows, "row_id", seed=I.SEED))
+    preds, runs = train.run_models(
+        data, "events", "binary", ("logistic_regression", "random_forest", "dp_logistic_regression", "dp_random_forest"),
+        SMALL, seed=I.SEED)
+    res = evaluate_runs.result_rows(preds.where("split = 'test'"), runs)
+    return res.select("model_name", "epsilon", "split", *[
+        rnd(m, 4).alias(m) for m in ("accuracy", "f1_macro", "mcc", "roc_auc", "false_positive_rate", "detection_rate")])
