@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentinel.functions.cols import feature_columns
-from sentinel.functions.storage import small_table
 from sentinel.operators.ranking import exact_quantiles, to_long
 
 
@@ -93,19 +92,22 @@ def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     ])
 
 
-def impute(df: DataFrame, strategy: str = "median") -> DataFrame:
-    """Numeric features by median or mean, text features by mode."""
-    features = feature_columns(df.columns)
+def impute(df: DataFrame, strategy: str = "median", columns: Sequence[str] | None = None) -> DataFrame:
+    """Numeric features by median or mean, text features by mode.
+
+    ``columns`` names the features with missing values, if that is known already.
+    """
+    if columns is None:
+        known = null_fractions(df).where("null_fraction > 0").collect()
+        columns = [r["feature"] for r in known]
+    features = [c for c in feature_columns(df.columns) if c in set(columns)]
     kinds = {f.name: f.dataType for f in df.schema}
     numeric = [c for c in features if isinstance(kinds[c], T.NumericType)]
     text = [c for c in features if isinstance(kinds[c], T.StringType)]
     values: dict[str, object] = {}
     if numeric:
-        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first()
-        needed = [c for c in numeric if missing[c]]
-        if needed:
-            rows = small_table(numeric_fill_values(df, needed, strategy)).collect()
-            values.update({r["feature"]: r["fill_value"] for r in rows})
+        values.update({r["feature"]: r["fill_value"]
+                       for r in numeric_fill_values(df, numeric, strategy).collect()})
     if text:
-        values.update({r["feature"]: r["fill_value"] for r in small_table(modes(df, text)).collect()})
+        values.update({r["feature"]: r["fill_value"] for r in modes(df, text).collect()})
     return fill(df, values)

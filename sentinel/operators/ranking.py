@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sentinel.functions.storage import small_table
 
 RANK_CELLS = 1 << 14
+DIRECT_ROWS = 2_000_000  # a coarse quantile cell up to this size needs no fine pass
 
 
 # ---------------------------------------------------------------------------
@@ -152,9 +153,9 @@ def _value_cell(value: Column) -> Column:
 def exact_quantiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Quantiles with linear interpolation of ``long(feature, value)``.
 
-    Returns (feature, prob, n, quantile). NULL and NaN are left out. Three counting passes narrow
-    each wanted rank down: coarse cells, fine cells, then distinct values of one fine cell. Every
-    pass pre-aggregates before its shuffle and none holds all values of a feature.
+    Returns (feature, prob, n, quantile). NULL and NaN are left out. Counting passes narrow each
+    wanted rank down: coarse cells, fine cells (only if a coarse cell is large), then distinct values
+    of one cell. Every pass pre-aggregates before its shuffle and none holds all values of a feature.
     """
     rows = (
         long.where(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -179,21 +180,26 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
                 .drop("_p")
             )
         else:
-            cum = cum.join(wanted, within)
+            cum = cum.join(wanted.drop("_size"), within)
         hit = cum.where("_rank >= _before AND _rank < _upto")
         return hit.select("feature", at, "prob", "h", "_n", "_side",
-                          (F.col("_rank") - F.col("_before")).alias("_rank"))
+                          (F.col("_rank") - F.col("_before")).alias("_rank"),
+                          F.col("_rows").alias("_size"))
 
     counts = rows.groupBy("feature", "coarse").agg(F.count(F.lit(1)).alias("_rows"))
     spots = small_table(locate(counts, ["feature"], "coarse", None))
 
-    near = rows.join(spots.select("feature", "coarse").distinct(), ["feature", "coarse"])
-    counts = near.groupBy("feature", "coarse", "fine").agg(F.count(F.lit(1)).alias("_rows"))
-    spots = small_table(locate(counts, ["feature", "coarse"], "fine", spots))
-
-    near = rows.join(spots.select("feature", "fine").distinct(), ["feature", "fine"])
-    counts = near.groupBy("feature", "fine", "value").agg(F.count(F.lit(1)).alias("_rows"))
-    ends = locate(counts, ["feature", "fine"], "value", spots)
+    cell = "coarse"
+    largest = spots.agg(F.max("_size")).first()[0]
+    if largest is not None and largest > DIRECT_ROWS:
+        near = rows.join(spots.select("feature", "coarse").distinct(), ["feature", "coarse"])
+        counts = near.groupBy("feature", "coarse", "fine").agg(F.count(F.lit(1)).alias("_rows"))
+        spots = small_table(locate(counts, ["feature", "coarse"], "fine", spots))
+        cell = "fine"
+
+    near = rows.join(spots.select("feature", cell).distinct(), ["feature", cell])
+    counts = near.groupBy("feature", cell, "value").agg(F.count(F.lit(1)).alias("_rows"))
+    ends = locate(counts, ["feature", cell], "value", spots)
     low = F.max(F.when(F.col("_side") == 0, F.col("value")))
     high = F.max(F.when(F.col("_side") == 1, F.col("value")))
     return ends.groupBy("feature", "prob").agg(

@@ -22,6 +22,7 @@ from sentinel.operators.gradients import batch_matrix
 from sentinel.operators.ranking import mark_smallest
 
 CHUNK_ROWS = 4000
+MAX_PIVOTS = 256
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,11 +31,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_neighbors(rows: DataFrame, key: str, features: str, label: str, k: int = 5,
-                      n_pivots: int = 64, chunk_rows: int = CHUNK_ROWS, seed: int = 42) -> DataFrame:
+                      n_pivots: int | None = None, chunk_rows: int = CHUNK_ROWS, seed: int = 42) -> DataFrame:
     """(key, label, rank, neighbor, distance): the k nearest other rows of the same class."""
     base = cut_lineage(rows.select(
         F.col(key).alias("id"), F.col(label).cast("int").alias("cls"),
         F.transform(features, lambda v: v.cast("double")).alias("x")))
+    if n_pivots is None:
+        n_pivots = min(MAX_PIVOTS, base.count() // chunk_rows + 1)
     drawn = base.orderBy(uniform(seed, "pivot", "id"), "id").limit(n_pivots).collect()
     if not drawn:
         raise ValueError("no rows to search")

@@ -20,8 +20,10 @@ def clean_table(df: DataFrame, dataset: str, threshold: float = DEFAULTS.null_th
                 strategy: str = "median") -> tuple[DataFrame, list[str]]:
     """Cleaned rows without duplicates, sparse columns or missing values; and the dropped columns."""
     unique = cut_lineage(clean.drop_duplicates(clean_rows(df, dataset)))
-    kept, dropped = clean.drop_sparse_columns(unique, threshold)
-    return clean.impute(kept, strategy), dropped
+    missing = {r["feature"]: r["null_fraction"] for r in clean.null_fractions(unique).collect()}
+    dropped = [c for c in unique.columns if missing.get(c, 0.0) > threshold]
+    gaps = [c for c, share in missing.items() if share > 0 and c not in dropped]
+    return clean.impute(unique.drop(*dropped), strategy, gaps), dropped
 
 
 def run_preprocessing(spark: SparkSession, raw_dir: str, out_dir: str, dataset: str,

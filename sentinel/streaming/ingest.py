@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sentinel.functions.cols import normalize_columns
 from sentinel.plans.preprocess import clean_rows
@@ -40,7 +39,3 @@ def run_available(rows: DataFrame, path: str, checkpoint: str) -> None:
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-
-
-def with_arrival(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("arrived_at", F.current_timestamp())

@@ -145,6 +145,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/o").count() == 16
 
 
+def test_stream_drops_recent_duplicates(spark, tmp_path):
+    schema = "k int, at timestamp"
+    day = "2024-01-01 00:0"
+    for i, rows in enumerate([[(1, f"{day}1:00"), (1, f"{day}1:30"), (2, f"{day}2:00")], [(1, f"{day}2:30"), (3, f"{day}3:00")]]):
+        spark.createDataFrame(rows, "k int, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    out = ingest.drop_recent_duplicates(rows, ["k"], "at", "10 minutes")
+    ingest.run_available(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
 def test_csv_export(spark, tmp_path):
     tables.export_csv(spark.createDataFrame([("ε", 1.5)], "name string, v double"), f"{tmp_path}/r")
     part = [f for f in os.listdir(f"{tmp_path}/r") if f.endswith(".csv")]

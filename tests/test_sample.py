@@ -37,8 +37,10 @@ def test_mark_smallest_matches_sorting(spark, monkeypatch, cells):
     assert not any(r["none"] for r in got) and all(r["all"] for r in got)
 
 
+@pytest.mark.parametrize("direct", [0, 10 ** 6])
 @pytest.mark.parametrize("name", ["normal", "skewed", "ties", "constant", "single", "huge"])
-def test_quantiles_match_numpy(spark, name):
+def test_quantiles_match_numpy(spark, monkeypatch, name, direct):
+    monkeypatch.setattr(ranking, "DIRECT_ROWS", direct)
     rng = np.random.default_rng(3)
     x = {"normal": rng.normal(0, 1, 3001), "skewed": np.exp(rng.normal(0, 5, 2000)),
          "ties": rng.integers(-3, 3, 1000).astype(float), "constant": np.full(100, 2.5),
