@@ -80,13 +80,19 @@ def route(df: DataFrame, forest: Forest, inputs: Sequence[str], lower: Sequence[
 
 
 def leaf_counts(train: DataFrame, forest: Forest, key: str, label: str, n_classes: int,
-                seed: int | str = 42, leaves: str = "leaves") -> DataFrame:
-    """(tree, leaf, class, n) for all leaves and classes; each row counts in one tree."""
-    tree = F.floor(uniform(seed, "tree", key) * forest.n_trees).cast("int")
+                inputs: Sequence[str], lower: Sequence[float], upper: Sequence[float],
+                seed: int | str = 42) -> DataFrame:
+    """(tree, leaf, class, n) for all leaves and classes.
+
+    Each row descends and counts in one tree only, chosen by its key.
+    """
+    allow_method_split(train.sparkSession)
+    own_leaf = "CASE tree " + " ".join(
+        f"WHEN {t} THEN {leaf_sql(forest, t, inputs, lower, upper)}" for t in range(forest.n_trees)) + " END"
     seen = (
-        train.select(tree.alias("tree"), F.col(leaves), F.col(label).cast("int").alias("class"))
-        .groupBy("tree", F.get(leaves, F.col("tree")).alias("leaf"), "class")
-        .agg(F.count(F.lit(1)).alias("n"))
+        train.withColumn("tree", F.floor(uniform(seed, "tree", key) * forest.n_trees).cast("int"))
+        .select("tree", F.expr(own_leaf).alias("leaf"), F.col(label).cast("int").alias("class"))
+        .groupBy("tree", "leaf", "class").agg(F.count(F.lit(1)).alias("n"))
     )
     cells = forest.n_trees * forest.n_leaves * n_classes
     grid = train.sparkSession.range(0, cells, 1, 1).select(

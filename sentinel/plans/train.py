@@ -69,9 +69,10 @@ def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepa
         found = {r["feature"]: r for r in scale.feature_bounds(data.train, "features").collect()}
         d, k = len(data.features), len(data.classes)
         forest = dp_forest.random_forest_structure(d, seed=settings.seed)
-        rows = dp_forest.route(data.rows, forest, [f"get(features, {i})" for i in range(d)],
-                               [found[i]["lower"] for i in range(d)], [found[i]["upper"] for i in range(d)])
-        counts = dp_forest.leaf_counts(rows.where("split = 'train'"), forest, "row_id", "y", k, settings.seed)
+        bounded = ([f"get(features, {i})" for i in range(d)],
+                   [found[i]["lower"] for i in range(d)], [found[i]["upper"] for i in range(d)])
+        counts = dp_forest.leaf_counts(data.train, forest, "row_id", "y", k, *bounded, settings.seed)
+        rows = dp_forest.route(data.rows, forest, *bounded)
         return dp_forest.predict(rows, forest, dp_forest.noisy_labels(counts, settings.epsilons, seed), k)
 
     def dp_sgd(data: Prepared) -> DataFrame:

@@ -60,9 +60,11 @@ def test_noise_search_stays_within_target(spark):
 
 # -- forest -------------------------------------------------------------------------
 
+BOUNDED = ([f"get(features, {i})" for i in range(6)], [-3.0] * 6, [3.0] * 6)
+
+
 def routed(points, forest):
-    inputs = [f"get(features, {i})" for i in range(6)]
-    return dp_forest.route(points, forest, inputs, [-3.0] * 6, [3.0] * 6)
+    return dp_forest.route(points, forest, *BOUNDED)
 
 
 def test_forest_routing_and_counts(points):
@@ -75,14 +77,14 @@ def test_forest_routing_and_counts(points):
                 f = forest.features[t][n]
                 n = 2 * n + 1 + int(r["features"][f] > -3.0 + forest.positions[t][n] * 6.0)
             assert r["leaves"][t] == n - 7
-    counts = dp_forest.leaf_counts(rows, forest, "row_id", "y3", 3, 1)
+    counts = dp_forest.leaf_counts(points, forest, "row_id", "y3", 3, *BOUNDED, 1)
     assert counts.count() == 4 * 8 * 3
     assert counts.agg(F.sum("n")).first()[0] == 600  # every row counts once
 
 
 def test_forest_large_epsilon_is_majority_and_noise_is_secret_by_default(points):
     forest = dp_forest.random_forest_structure(6, n_trees=4, depth=3, seed=1)
-    counts = dp_forest.leaf_counts(routed(points, forest), forest, "row_id", "y", 2, 1).cache()
+    counts = dp_forest.leaf_counts(points, forest, "row_id", "y", 2, *BOUNDED, 1).cache()
     table = {}
     for r in counts.collect():
         table.setdefault((r["tree"], r["leaf"]), {})[r["class"]] = r["n"]
@@ -98,7 +100,7 @@ def test_forest_large_epsilon_is_majority_and_noise_is_secret_by_default(points)
 def test_forest_votes(points):
     forest = dp_forest.random_forest_structure(6, n_trees=10, depth=5, seed=3)
     rows = routed(points, forest)
-    counts = dp_forest.leaf_counts(rows.where("split = 'train'"), forest, "row_id", "y", 2, 1)
+    counts = dp_forest.leaf_counts(points.where("split = 'train'"), forest, "row_id", "y", 2, *BOUNDED, 1)
     preds = dp_forest.predict(rows, forest, dp_forest.noisy_labels(counts, [0.01, 100.0], 7), 2).cache()
     assert preds.count() == 1200
     assert preds.where("abs(probs[0] + probs[1] - 1) > 1e-9").count() == 0

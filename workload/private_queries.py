@@ -33,17 +33,18 @@ def coded_flows(spark: SparkSession, sf: str) -> DataFrame:
         "row_id", "split", "code", *I.FLOW_FEATURES)
 
 
-def routed_flows(spark: SparkSession, sf: str) -> DataFrame:
+def forest_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, tuple]:
+    """The rows, and the forest's inputs with their bounds."""
     rows = cut_lineage(coded_flows(spark, sf))  # read by the bounds, the training and the scoring
     bounds = scale.feature_bounds(rows.where("split = 'train'"), I.FLOW_FEATURES)
     found = {r["feature"]: (round(r["lower"], 6), round(r["upper"], 6)) for r in bounds.collect()}
     low, high = ([found[f][i] for f in I.FLOW_FEATURES] for i in (0, 1))
-    return dp_forest.route(rows, FOREST, I.FLOW_FEATURES, low, high)
+    return rows, (I.FLOW_FEATURES, low, high)
 
 
-def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    fit = routed_flows(spark, sf).where("split = 'train'")
-    return dp_forest.leaf_counts(fit, FOREST, "row_id", "code", N_CLASSES, I.SEED)
+def _counts(rows: DataFrame, bounded: tuple) -> DataFrame:
+    fit = rows.where("split = 'train'")
+    return dp_forest.leaf_counts(fit, FOREST, "row_id", "code", N_CLASSES, *bounded, I.SEED)
 
 
 def _sql_leaf(tree: int) -> str:
@@ -87,7 +88,7 @@ FOREST_SQL = ctes(I.SQL_FLOWS, _CODED, _BOUNDS, _LEAVES, _COUNTS)
 @query(FOREST_SQL + """SELECT CAST(tree AS INTEGER) AS tree, CAST(leaf AS INTEGER) AS leaf,
 CAST(class AS INTEGER) AS class, n FROM counts""")
 def dp_forest_leaf_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _counts(spark, sf)
+    return _counts(*forest_inputs(spark, sf))
 
 
 _PICK = f"""CAST(tree AS INTEGER) AS tree, CAST(leaf AS INTEGER) AS leaf, CAST(label AS INTEGER) AS label,
@@ -96,7 +97,7 @@ _PICK = f"""CAST(tree AS INTEGER) AS tree, CAST(leaf AS INTEGER) AS leaf, CAST(l
 
 @query(FOREST_SQL + ", " + _LABELS + f"SELECT epsilon, {_PICK}")
 def dp_forest_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return dp_forest.noisy_labels(_counts(spark, sf), EPSILON_GRID, I.SEED).withColumn("score", rnd("score", 4))
+    return dp_forest.noisy_labels(_counts(*forest_inputs(spark, sf)), EPSILON_GRID, I.SEED).withColumn("score", rnd("score", 4))
 
 
 _VOTES = f"""votes AS (SELECT epsilon, row_id, split, code, label, count(*) AS v FROM leaves JOIN leaf_labels
@@ -116,11 +117,10 @@ def dp_forest_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of the private forest on val and test rows, at every epsilon."""
-    rows = routed_flows(spark, sf)
-    counts = dp_forest.leaf_counts(rows.where("split = 'train'"), FOREST, "row_id", "code", N_CLASSES, I.SEED)
-    labels = dp_forest.noisy_labels(counts, EPSILON_GRID, I.SEED)
-    held = rows.where("split <> 'train'").withColumn("y_true", F.col("code"))
-    return dp_forest.predict(held, FOREST, labels, N_CLASSES)
+    rows, bounded = forest_inputs(spark, sf)
+    labels = dp_forest.noisy_labels(_counts(rows, bounded), EPSILON_GRID, I.SEED)
+    held = dp_forest.route(rows.where("split <> 'train'"), FOREST, *bounded)
+    return dp_forest.predict(held.withColumn("y_true", F.col("code")), FOREST, labels, N_CLASSES)
 
 
 _SHARES = ", ".join(f"sum(CASE WHEN label = {c} THEN 1 ELSE 0 END) / 10e0 AS p{c}" for c in range(N_CLASSES))
