@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.functions.cols import array_sql, double
+from sentinel.functions.cols import argmax, array_sql, double
 from sentinel.functions.rand import exponential, secret_seed, uniform
 from sentinel.functions.storage import allow_method_split
 from sentinel.schema import EPSILON_GRID
@@ -144,6 +144,5 @@ def predict(df: DataFrame, forest: Forest, labels: DataFrame, n_classes: int,
         f"get(_m.labels, {t * forest.n_leaves} + get({leaves}, {t})) AS _v{t}" for t in trees])
     share = lambda c: "(" + " + ".join(f"CAST(_v{t} = {c} AS INT)" for t in trees) + f") / {forest.n_trees}D"
     scored = voted.withColumn("probs", F.expr(f"array({', '.join(share(c) for c in range(n_classes))})"))
-    pick = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
-    return scored.withColumn("epsilon", F.col("_m.epsilon")).withColumn("y_pred", pick).drop(
+    return scored.withColumn("epsilon", F.col("_m.epsilon")).withColumn("y_pred", argmax(F.col("probs"))).drop(
         "_m", *[f"_v{t}" for t in trees])

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.functions.cols import array_sql, double
+from sentinel.functions.cols import argmax, array_sql, double
 from sentinel.functions.storage import training_table
 from sentinel.operators.gradients import batch_matrix, sum_partials
 from sentinel.operators.scale import clip_to_norm
@@ -176,5 +176,4 @@ def predict(df: DataFrame, models: LinearModels, features: str = "features") ->
         total = F.aggregate("_p", F.lit(0.0), lambda a, v: a + v)
         probs = F.transform("_p", lambda v: v / total)
     scored = scored.withColumn("probs", probs).withColumn("epsilon", F.col("_m.epsilon"))
-    return scored.withColumn(
-        "y_pred", (F.array_position("probs", F.array_max("probs")) - 1).cast("int")).drop("_x", "_m", "_p")
+    return scored.withColumn("y_pred", argmax(F.col("probs"))).drop("_x", "_m", "_p")

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentinel.functions.cols import argmax
 from sentinel.functions.rand import fast_uniform, secret_seed
 from sentinel.functions.storage import shared_dir
 from sentinel.operators.accountant import noise_for, spent_epsilon
@@ -163,6 +164,4 @@ def predict(df: DataFrame, model: Mlp, features: str = "features") -> DataFrame:
         return pd.Series(list(forward(m, _layers(theta, shapes))[1]))
 
     scored = df.withColumn("probs", probabilities(features))
-    return scored.withColumn(
-        "y_pred", (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
-    ).withColumn("epsilon", F.lit(model.epsilon))
+    return scored.withColumn("y_pred", argmax(F.col("probs"))).withColumn("epsilon", F.lit(model.epsilon))

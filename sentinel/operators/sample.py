@@ -26,6 +26,11 @@ def stratified_subset(df: DataFrame, n: int, key: str, seed: int = 42,
         "_draw", "_taken")
 
 
+def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows in a repeatable random order, for consumers that depend on the physical order."""
+    return df.orderBy(uniform(seed, "shuffle", key), key)
+
+
 def add_split(df: DataFrame, key: str, test_size: float = 0.2, val_size: float | None = None,
               seed: int = 42, stratum: str = "label_multiclass") -> DataFrame:
     """Add ``split`` in {train, val, test}, exact per class and independent of partitioning."""

@@ -24,7 +24,7 @@ def test_query(spark, duck, name):
     rows = df.collect()
     assert len(set(df.columns)) == len(df.columns)
     if name in SQL:
-        assert compare(rows, df.columns, duck, SQL[name]) is None
+        assert compare(rows, df.dtypes, duck, SQL[name]) is None
     else:
         assert rows
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinel.functions.cols import rnd
+from sentinel.functions.cols import argmax, rnd, softmax
 from sentinel.operators import metrics as M
 from sentinel.operators.ranking import roc_auc, roc_auc_ovr
 from workload import inputs as I
@@ -51,6 +51,25 @@ SCALARS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_mac
 RATES = ("false_positive_rate", "detection_rate", "false_negative_rate")
 
 
+_LOGITS = ("l_quantity / 10", "l_extendedprice / 20000", "l_discount * 20")
+
+
+@query(f"""SELECT l_suppkey, pick, count(*) AS n_rows, {I.sql_round('avg(e0 / (e0 + e1 + e2))')} AS mean_p0,
+{I.sql_round('avg(greatest(e0, e1, e2) / (e0 + e1 + e2))')} AS mean_confidence FROM (
+SELECT l_suppkey, exp(z0) AS e0, exp(z1) AS e1, exp(z2) AS e2,
+  CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS pick
+  FROM (SELECT l_suppkey, {', '.join(f'{z} AS z{i}' for i, z in enumerate(_LOGITS))} FROM lineitem)) GROUP BY ALL""")
+def class_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Softmax and argmax of per-row class scores."""
+    logits = F.array(*[F.expr(z) for z in _LOGITS])
+    probs = I.read(spark, sf, "lineitem").select("l_suppkey", logits.alias("z")).withColumn(
+        "pick", argmax(F.col("z"))).withColumn("p", softmax(F.col("z")))
+    return rounded(probs.groupBy("l_suppkey", "pick").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg(F.get("p", F.lit(0))).alias("mean_p0"),
+        F.avg(F.array_max("p")).alias("mean_confidence")), ["l_suppkey", "pick", "n_rows"],
+        ["mean_p0", "mean_confidence"])
+
+
 def _conf(spark: SparkSession, sf: str) -> DataFrame:
     return M.confusion(I.predictions(spark, sf), KEYS)
 

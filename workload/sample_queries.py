@@ -25,6 +25,13 @@ def stratified_subset(spark: SparkSession, sf: str) -> DataFrame:
     return sample.stratified_subset(o, SUBSET, "o_orderkey", I.SEED, "o_orderstatus")
 
 
+@query(f"SELECT o_orderkey, o_orderstatus, {I.sql_uniform('shuffle', 'o_orderkey')} AS draw FROM orders")
+def shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o = I.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return sample.shuffle_rows(o, "o_orderkey", I.SEED).withColumn(
+        "draw", I.uniform(I.SEED, "shuffle", "o_orderkey"))
+
+
 _SPLIT = f"""ranked AS (SELECT row_id, label_multiclass, count(*) OVER (PARTITION BY label_multiclass) AS n,
   row_number() OVER (PARTITION BY label_multiclass ORDER BY {I.sql_uniform('split', 'row_id')}, row_id) AS rn
   FROM flows),
