@@ -161,8 +161,8 @@ def _two_loop(grad: np.ndarray, memory: list, inverse0: np.ndarray) -> np.ndarra
 
 
 def predict(df: DataFrame, models: LinearModels, features: str = "features") -> DataFrame:
-    """One row per input row and epsilon with ``probs`` and ``y_pred``; rows are clipped as in training."""
-    x = F.concat(clip_to_norm(F.col(features), models.norm_bound), F.array(F.lit(1.0)))
+    """One row per input row and epsilon with ``probs`` and ``y_pred``. Only training clips rows."""
+    x = F.concat(F.transform(features, lambda v: v.cast("double")), F.array(F.lit(1.0)))
     grid = F.expr("explode(array(" + ", ".join(
         f"named_struct('epsilon', {double(e)}, 'w', array({', '.join(array_sql(row.tolist()) for row in w)}))"
         for e, w in zip(models.epsilons, models.weights)) + "))")
