@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import ratio, rnd
-from sentinel.operators.ranking import roc_auc, roc_auc_ovr
+from sentinel.operators.ranking import auc_of_counts, roc_auc_ovr
 
 SCALARS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "mcc")
 BINARY_RATES = ("false_positive_rate", "detection_rate", "false_negative_rate")
@@ -122,17 +122,32 @@ def evaluate(preds: DataFrame, keys: Sequence[str], label_type: str = "binary",
     if label_type not in ("binary", "multiclass"):
         raise ValueError(f"label_type must be 'binary' or 'multiclass', got '{label_type}'")
     keys = list(keys)
-    wide = scalar_metrics(confusion(preds, keys), keys, binary=label_type == "binary")
-    if label_type == "multiclass":
-        wide = wide.select("*", *[F.lit(None).cast("double").alias(m) for m in BINARY_RATES])
+    if label_type == "binary":
+        return _evaluate_binary(preds, keys, auc and "probs" in preds.columns)
+    wide = scalar_metrics(confusion(preds, keys), keys).select(
+        "*", *[F.lit(None).cast("double").alias(m) for m in BINARY_RATES])
     if not auc or "probs" not in preds.columns:
         return wide.withColumn("roc_auc", F.lit(None).cast("double"))
-    if label_type == "binary":
-        scored = preds.select(*keys, "y_true", F.get("probs", F.lit(1)).alias("_score"))
-        area = roc_auc(scored, keys, "_score", F.col("y_true") == 1)
-    else:
-        area = roc_auc_ovr(preds, keys, "probs", "y_true")
-    return wide.join(area, keys, "left")
+    return wide.join(roc_auc_ovr(preds, keys, "probs", "y_true"), keys, "left")
+
+
+def _evaluate_binary(preds: DataFrame, keys: list[str], auc: bool) -> DataFrame:
+    if not auc:
+        wide = scalar_metrics(confusion(preds, keys), keys, binary=True)
+        return wide.withColumn("roc_auc", F.lit(None).cast("double"))
+    # one scan and one shuffle feed both the confusion counts and the ROC curve; the null-safe join
+    # keeps filters out of one branch only, which would make Spark compute the shuffle twice
+    base = preds.groupBy(
+        *keys, "y_true", "y_pred", F.get("probs", F.lit(1)).cast("double").alias("at")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    conf = base.groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    side = lambda hit: F.sum(F.when(hit & F.col("at").isNotNull(), F.col("n").cast("double")).otherwise(0.0))
+    counts = base.groupBy(*keys, "at").agg(
+        side(F.col("y_true") == 1).alias("p"), side(F.col("y_true") != 1).alias("n"))
+    area = auc_of_counts(counts, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "roc_auc")
+    wide = scalar_metrics(conf, keys, binary=True)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return wide.join(area, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def per_class_f1_map(conf: DataFrame, keys: Sequence[str]) -> DataFrame:

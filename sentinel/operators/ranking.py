@@ -103,15 +103,18 @@ def roc_auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column,
     close scores, across the cells of a block and across blocks, each window over one short range,
     instead of one window over all scores of a run.
     """
-    keys = list(keys)
     pos = F.sum(F.when(positive, 1.0).otherwise(0.0)).alias("p")
     neg = F.sum(F.when(positive, 0.0).otherwise(1.0)).alias("n")
-    level = (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*keys, F.col(score).cast("double").alias("at")).agg(pos, neg)
-        .withColumn("pairs", F.col("p") * F.col("n") * 0.5)
-        .withColumn("cell", _score_cell(F.col("at")))
-    )
+    counts = df.where(F.col(score).isNotNull()).groupBy(
+        *keys, F.col(score).cast("double").alias("at")).agg(pos, neg)
+    return auc_of_counts(counts, keys, name)
+
+
+def auc_of_counts(counts: DataFrame, keys: Sequence[str], name: str = "roc_auc") -> DataFrame:
+    """ROC-AUC from (keys, at, p, n): positives and negatives, one row per distinct score."""
+    keys = list(keys)
+    level = counts.withColumn("pairs", F.col("p") * F.col("n") * 0.5).withColumn(
+        "cell", _score_cell(F.col("at")))
 
     def fold(rows: DataFrame, within: Sequence[str], order: str) -> DataFrame:
         before = Window.partitionBy(*within).orderBy(order).rowsBetween(

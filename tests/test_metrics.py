@@ -99,3 +99,19 @@ def test_utility_loss(spark):
     loss, pct = M.utility_loss(F.col("b"), F.col("v"))
     got = df.select(loss.alias("l"), pct.alias("p")).collect()
     assert [tuple(r) for r in got] == [(0.0, 0.0), (0.08, 10.0), (-0.15, -18.75), (None, None), (None, None)]
+
+
+def test_rows_without_probabilities_do_not_count_for_auc(spark):
+    probs = [[0.9, 0.1], [0.8, 0.2], [0.1, 0.9], [0.2, 0.8], None, None]
+    r = suite(spark, [0, 0, 1, 1, 0, 1], [0, 0, 1, 1, 1, 0], probs)
+    assert r["roc_auc"] == 1.0 and r["accuracy"] == pytest.approx(4 / 6)
+
+
+def test_suite_scans_its_input_once(spark, tmp_path):
+    rows = [("r", "test", i % 2, (i // 2) % 2, [1 - i / 40, i / 40]) for i in range(40)]
+    path = f"{tmp_path}/preds"
+    spark.createDataFrame(rows, "run_id string, split string, y_true int, y_pred int, probs array<double>").write.parquet(path)
+    df = M.evaluate(spark.read.parquet(path), ["run_id", "split"])
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().executedPlan().toString()
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
