@@ -56,16 +56,20 @@ def prepare(subset: DataFrame, key: str = "row_id", label_type: str = "binary",
     return Prepared(training_table(rows), features, classes, scaler)
 
 
-def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepared], DataFrame]]:
-    """Model name -> function from prepared rows to predictions (with epsilon if private)."""
+Scored = tuple[DataFrame, dict[float, float]]
 
-    def dp_lr(data: Prepared) -> DataFrame:
+
+def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepared], Scored]]:
+    """Model name -> function from prepared rows to predictions (with epsilon if private) and the
+    budget actually spent per target epsilon, where an accountant knows it."""
+
+    def dp_lr(data: Prepared) -> Scored:
         bound = scale.norm_bound(data.train).first()["bound"]
         models = dp_linear.train(data.train, "features", "y", len(data.classes), bound,
                                  settings.epsilons, seed=seed)
-        return dp_linear.predict(data.rows, models)
+        return dp_linear.predict(data.rows, models), {}
 
-    def dp_rf(data: Prepared) -> DataFrame:
+    def dp_rf(data: Prepared) -> Scored:
         found = {r["feature"]: r for r in scale.feature_bounds(data.train, "features").collect()}
         d, k = len(data.features), len(data.classes)
         forest = dp_forest.random_forest_structure(d, seed=settings.seed)
@@ -73,20 +77,22 @@ def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepa
                    [found[i]["lower"] for i in range(d)], [found[i]["upper"] for i in range(d)])
         counts = dp_forest.leaf_counts(data.train, forest, "row_id", "y", k, *bounded, settings.seed)
         rows = dp_forest.route(data.rows, forest, *bounded)
-        return dp_forest.predict(rows, forest, dp_forest.noisy_labels(counts, settings.epsilons, seed), k)
+        labels_at = dp_forest.noisy_labels(counts, settings.epsilons, seed)
+        return dp_forest.predict(rows, forest, labels_at, k), {}
 
-    def dp_sgd(data: Prepared) -> DataFrame:
-        out = None
+    def dp_sgd(data: Prepared) -> Scored:
+        out, reached = None, {}
         for e in sorted(settings.epsilons):
             model = dp_mlp.train(data.train, "row_id", "features", "y", len(data.classes), e, settings.delta,
                                  settings.hidden_layers, epochs=settings.epochs,
                                  clip=settings.max_grad_norm, seed=seed)
-            part = dp_mlp.predict(data.rows, model).withColumn("actual_epsilon", F.lit(model.actual_epsilon))
+            reached[e] = model.actual_epsilon
+            part = dp_mlp.predict(data.rows, model)
             out = part if out is None else out.unionByName(part)
-        return out
+        return out, reached
 
     size = (settings.n_trees, settings.tree_depth, settings.seed)
-    scored = lambda model, data: baselines.predict(model, data.rows, "features")
+    scored = lambda model, data: (baselines.predict(model, data.rows, "features"), {})
     return {
         "logistic_regression": lambda d: scored(baselines.train_logistic(d.train, "features", "y"), d),
         "random_forest": lambda d: scored(baselines.train_forest(d.train, "features", "y", *size), d),
@@ -113,22 +119,18 @@ def run_models(data: Prepared, dataset: str, label_type: str = "binary",
     preds = runs = None
     for name in models:
         start = time.perf_counter()
-        scored = families[name](data)
+        scored, reached = families[name](data)
         private = "epsilon" in scored.columns
         spent = (time.perf_counter() - start) / (len(settings.epsilons) if private else 1)
         part = score_runs(scored.withColumn("y_true", F.col("y")), dataset, label_type, name)
         eps = sorted(settings.epsilons) if private else [None]
         rows = [(name, None if e is None else float(e), settings.delta if name == "dp_sgd" else None,
-                 round(spent, 2), False if private else None) for e in eps]
+                 reached.get(e), round(spent, 2), False if private else None) for e in eps]
         meta = data.rows.sparkSession.createDataFrame(
-            rows, "model_name string, epsilon double, delta double, train_time_s double, public_bounds boolean")
+            rows, "model_name string, epsilon double, delta double, actual_epsilon double, "
+                  "train_time_s double, public_bounds boolean")
         meta = meta.withColumn("dataset", F.lit(dataset)).withColumn("label_type", F.lit(label_type)).withColumn(
             "run_id", F.concat_ws("/", "dataset", "label_type", "model_name", F.col("epsilon").cast("string")))
-        if name == "dp_sgd":
-            reached = scored.groupBy("epsilon").agg(F.max("actual_epsilon").alias("actual_epsilon"))
-            meta = meta.join(reached, "epsilon", "left")
-        else:
-            meta = meta.withColumn("actual_epsilon", F.lit(None).cast("double"))
         preds = part if preds is None else preds.unionByName(part)
         runs = meta if runs is None else runs.unionByName(meta)
     return preds, runs
