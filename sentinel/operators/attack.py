@@ -1,8 +1,8 @@
 """Black-box membership inference against all runs at once.
 
-Member and non-member rows are chosen by row key alone, so every target model is attacked on the
-same rows. The sample is at most ``cap`` rows per side and run; that bound is what makes one small
-fit per run a safe grouped task.
+Member and non-member rows are chosen by row key alone, so every target model of a data set is attacked
+on the same rows. All balanced rows take part; only the number of rows that fit an attacker is bounded,
+which is what makes one small fit per run a safe grouped task.
 """
 
 from __future__ import annotations
@@ -11,32 +11,44 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import ratio, rnd
+from sentinel.functions.joins import join_null_safe
 from sentinel.functions.rand import uniform
 from sentinel.operators.metrics import confusion, per_class
-from sentinel.operators.ranking import mark_smallest, roc_auc
+from sentinel.operators.ranking import mark_smallest, roc_auc, running_before
 from sentinel.schema import DEFAULTS
 
 
-def attack_sample(rows: DataFrame, key: str, cap: int = DEFAULTS.attack_cap, seed: int = 42) -> DataFrame:
-    """(key, split, member, part): min(cap, n_train, n_test) rows of train and of test.
+def attack_sample(rows: DataFrame, key: str, groups: Sequence[str] = ("dataset",), fit_rows: int = DEFAULTS.attack_cap,
+                  seed: int = 42) -> DataFrame:
+    """(groups, key, split, member, part): as many train as test rows, per data set (``groups``).
 
-    ``rows`` has one row per record with ``split``. ``part`` divides each side 70/30 into the
-    attacker's train and test rows.
+    ``rows`` has one row per record with ``split``. Of each side a share is held out to be scored (part test). Of the
+    rest, at most ``fit_rows`` per side fit the attacker (part train); more rows would not make a small model better and
+    their number bounds the task that fits. Rows beyond that are listed as spare.
     """
-    sides = rows.where(F.col("split").isin("train", "test")).select(key, "split")
-    sizes = {r["split"]: r["count"] for r in sides.groupBy("split").count().collect()}
-    n = min(cap, sizes.get("train", 0), sizes.get("test", 0))
-    held = int(n * DEFAULTS.attack_test_ratio + 0.5)
+    groups = list(groups)
+    sides = rows.where(F.col("split").isin("train", "test")).select(*groups, key, "split")
+    name = F.concat_ws("\u0001", *[F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in groups], F.lit(""))
+    sizes: dict[str, dict[str, int]] = {}
+    for r in sides.groupBy(name.alias("group"), "split").count().collect():  # two rows per data set
+        sizes.setdefault(r["group"], {})[r["split"]] = r["count"]
+    n = {g: min(s.get("train", 0), s.get("test", 0)) for g, s in sizes.items()}
+    held = {g: int(k * DEFAULTS.attack_test_ratio + 0.5) for g, k in n.items()}
+    used = {g: held[g] + min(k - held[g], fit_rows) for g, k in n.items()}
+
+    def quota(of: dict[str, int]):
+        pairs = [F.lit(x) for pair in of.items() for x in pair] or [F.lit(""), F.lit(0)]
+        return lambda _: F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.lit(0))
+
     drawn = sides.withColumn("_draw", uniform(seed, "member", "split", key))
-    marked = mark_smallest(drawn, ["split"], "_draw", key, {
-        "_in": lambda _: F.lit(n), "_held": lambda _: F.lit(held)})
+    marked = mark_smallest(drawn, [*groups, "split"], "_draw", key, {"_in": quota(n), "_held": quota(held), "_used": quota(used)})
     return marked.where("_in").select(
-        key, "split", F.when(F.col("split") == "train", 1).otherwise(0).alias("member"),
-        F.when(F.col("_held"), "test").otherwise("train").alias("part"))
+        *groups, key, "split", F.when(F.col("split") == "train", 1).otherwise(0).alias("member"),
+        F.when(F.col("_held"), "test").when(F.col("_used"), "train").otherwise("spare").alias("part"))
 
 
 def attack_features(preds: DataFrame, cutoff: int = DEFAULTS.prob_feature_cutoff) -> DataFrame:
@@ -85,40 +97,46 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, max_iter: int = 1
 def attack_scores(sampled: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
     """Fit the attacker per run and score its test rows: (keys, key, member, y_pred, score).
 
-    ``sampled`` holds (keys, key, member, part, attack_features), at most 2 * cap rows per run.
+    ``sampled`` holds (keys, key, member, part, attack_features). Only the fitting rows, a bounded number per run, are
+    grouped; the parameters they give are joined to the rows to be scored. A run whose attacker
+    cannot be fitted (one side missing, features that are not finite) is left out and does not stop the others.
     """
     keys = list(keys)
 
     def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pdf.iloc[:0][keys].assign(mean=None, scale=None, weights=None)
         pdf = pdf.sort_values(["member", key])
-        x = np.stack(pdf["attack_features"].to_numpy())
-        y = pdf["member"].to_numpy(dtype=float)
-        fit = (pdf["part"] == "train").to_numpy()
-        mean, sd = x[fit].mean(0), x[fit].std(0)
-        x = (x - mean) / np.where(sd == 0, 1.0, sd)
-        w = fit_logistic(x[fit], y[fit])
-        out = pdf.loc[~fit, [*keys, key, "member"]].copy()
-        out["score"] = 1.0 / (1.0 + np.exp(-np.clip(x[~fit] @ w[:-1] + w[-1], -700, 700)))
-        out["y_pred"] = (out["score"] > 0.5).astype("int32")
-        return out
-
-    slim = sampled.select(*keys, key, "member", "part", "attack_features")
-    schema = slim.select(*keys, key, "member").withColumn("score", F.lit(0.0)).withColumn(
-        "y_pred", F.lit(0)).schema
-    return slim.groupBy(*keys).applyInPandas(per_run, schema)
+        x, y = np.stack(pdf["attack_features"].to_numpy()), pdf["member"].to_numpy(dtype=float)
+        if not np.isfinite(x).all() or y.min() == y.max():
+            return none
+        mean, sd = x.mean(0), x.std(0)
+        sd = np.where(sd == 0, 1.0, sd)
+        try:
+            w = fit_logistic((x - mean) / sd, y)
+        except np.linalg.LinAlgError:
+            return none
+        return pdf.iloc[:1][keys].assign(mean=[mean], scale=[sd], weights=[w])
+
+    fit = sampled.where("part = 'train'").select(*keys, key, "member", "attack_features")
+    columns = ", ".join(f"`{c}` {t}" for c, t in sampled.select(*keys).dtypes)
+    models = fit.groupBy(*keys).applyInPandas(per_run, f"{columns}, mean array<double>, scale array<double>, weights array<double>")
+    test = sampled.where("part = 'test'").select(*keys, key, "member", "attack_features").join(models, keys)
+    scaled = F.zip_with(F.zip_with("attack_features", "mean", lambda v, m: v - m), "scale", lambda v, s: v / s)
+    terms = F.zip_with(scaled, F.slice("weights", F.lit(1), F.size("attack_features")), lambda v, w: v * w)
+    z = F.aggregate(terms, F.element_at("weights", -1), lambda a, v: a + v)
+    score = 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))
+    return test.withColumn("score", score).select(*keys, key, "member", "score", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("y_pred"))
 
 
 def tpr_at_fpr(scores: DataFrame, keys: Sequence[str], limits: dict[str, float]) -> DataFrame:
     """Largest TPR on the full ROC curve with FPR <= limit, per run; 0 if there is none."""
     keys = list(keys)
-    by_score = scores.groupBy(*keys, "score").agg(
-        F.sum("member").alias("_p"), F.sum(1 - F.col("member")).alias("_n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*keys)
-    curve = by_score.select(
-        *keys,
-        ratio(F.sum("_p").over(down), F.sum("_p").over(whole)).alias("tpr"),
-        ratio(F.sum("_n").over(down), F.sum("_n").over(whole)).alias("fpr"))
+    by_score = scores.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
+        F.sum("member").alias("p"), F.sum(1 - F.col("member")).alias("n"))
+    totals = by_score.groupBy(*keys).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    curve = join_null_safe(running_before(by_score, keys, "score", ["p", "n"]), totals, keys)
+    # A point of the curve takes every score from its own upwards.
+    curve = curve.select(*keys, ratio(F.col("_p") - F.col("p_before"), F.col("_p")).alias("tpr"), ratio(F.col("_n") - F.col("n_before"), F.col("_n")).alias("fpr"))
     return curve.groupBy(*keys).agg(*[
         F.coalesce(F.max(F.when(F.col("fpr") <= limit, F.col("tpr"))), F.lit(0.0)).alias(name)
         for name, limit in limits.items()])

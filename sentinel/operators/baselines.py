@@ -48,7 +48,7 @@ def train_boosted(train: DataFrame, features: str, label: str, n_classes: int, r
     data = _vectors(train, features)
     if n_classes == 2:
         return gbt.fit(data)
-    return OneVsRest(classifier=gbt, featuresCol="_vec", labelCol=label).fit(data)
+    return OneVsRest(classifier=gbt, featuresCol="_vec", labelCol=label, parallelism=min(n_classes, 8)).fit(data)
 
 
 def predict(model: Model, df: DataFrame, features: str) -> DataFrame:

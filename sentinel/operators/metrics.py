@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import ratio, rnd
-from sentinel.operators.ranking import auc_of_counts, roc_auc_ovr
+from sentinel.functions.joins import join_null_safe
+from sentinel.functions.storage import cut_lineage
+from sentinel.operators.ranking import auc_of_counts, mean_over_classes
 
 SCALARS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "mcc")
 BINARY_RATES = ("false_positive_rate", "detection_rate", "false_negative_rate")
@@ -124,30 +126,38 @@ def evaluate(preds: DataFrame, keys: Sequence[str], label_type: str = "binary",
     keys = list(keys)
     if label_type == "binary":
         return _evaluate_binary(preds, keys, auc and "probs" in preds.columns)
-    wide = scalar_metrics(confusion(preds, keys), keys).select(
-        "*", *[F.lit(None).cast("double").alias(m) for m in BINARY_RATES])
-    if not auc or "probs" not in preds.columns:
+    return _evaluate_multiclass(preds, keys, auc and "probs" in preds.columns)
+
+
+def _evaluate_multiclass(preds: DataFrame, keys: list[str], auc: bool) -> DataFrame:
+    empty = [F.lit(None).cast("double").alias(m) for m in BINARY_RATES]
+    if not auc:
+        wide = scalar_metrics(confusion(preds, keys), keys).select("*", *empty)
         return wide.withColumn("roc_auc", F.lit(None).cast("double"))
-    return wide.join(roc_auc_ovr(preds, keys, "probs", "y_true"), keys, "left")
+    # one scan and one shuffle feed both; every row counts once in the confusion matrix, by its first class
+    long = preds.select(*keys, "y_true", "y_pred", F.posexplode_outer("probs").alias("_class", "at"))
+    base = cut_lineage(long.groupBy(*keys, "y_true", "y_pred", "_class", "at").agg(F.count(F.lit(1)).alias("n")))
+    conf = base.where(F.coalesce("_class", F.lit(0)) == 0).groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    side = lambda hit: F.sum(F.when(hit, F.col("n").cast("double")).otherwise(0.0))
+    counts = base.where("at IS NOT NULL").groupBy(*keys, "_class", F.col("at").cast("double").alias("at")).agg(
+        side(F.col("y_true") == F.col("_class")).alias("p"), side(F.col("y_true") != F.col("_class")).alias("n"))
+    area = mean_over_classes(auc_of_counts(counts, [*keys, "_class"], "_auc"), keys)
+    return join_null_safe(scalar_metrics(conf, keys).select("*", *empty), area, keys, "left")
 
 
 def _evaluate_binary(preds: DataFrame, keys: list[str], auc: bool) -> DataFrame:
     if not auc:
         wide = scalar_metrics(confusion(preds, keys), keys, binary=True)
         return wide.withColumn("roc_auc", F.lit(None).cast("double"))
-    # one scan and one shuffle feed both the confusion counts and the ROC curve; the null-safe join
-    # keeps filters out of one branch only, which would make Spark compute the shuffle twice
-    base = preds.groupBy(
+    # one scan and one shuffle feed both the confusion counts and the ROC curve
+    base = cut_lineage(preds.groupBy(
         *keys, "y_true", "y_pred", F.get("probs", F.lit(1)).cast("double").alias("at")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.count(F.lit(1)).alias("n")))
     conf = base.groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
     side = lambda hit: F.sum(F.when(hit & F.col("at").isNotNull(), F.col("n").cast("double")).otherwise(0.0))
     counts = base.groupBy(*keys, "at").agg(
         side(F.col("y_true") == 1).alias("p"), side(F.col("y_true") != 1).alias("n"))
-    area = auc_of_counts(counts, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "roc_auc")
-    wide = scalar_metrics(conf, keys, binary=True)
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return wide.join(area, same, "left").drop(*[f"_{k}" for k in keys])
+    return join_null_safe(scalar_metrics(conf, keys, binary=True), auc_of_counts(counts, keys), keys, "left")
 
 
 def per_class_f1_map(conf: DataFrame, keys: Sequence[str]) -> DataFrame:

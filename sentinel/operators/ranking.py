@@ -1,6 +1,6 @@
 """Order statistics without sorting a whole group in one task.
 
-All three operators first count rows per cell of an order-preserving key and then look only at the
+The operators first count rows per cell of an order-preserving key and then look only at the
 cells that matter, so a group that holds a third of the table is never collected or sorted whole.
 """
 
@@ -11,10 +11,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentinel.functions.storage import small_table
+from sentinel.functions.joins import join_null_safe
+from sentinel.functions.storage import cut_lineage, small_table
 
 RANK_CELLS = 1 << 14
-DIRECT_ROWS = 2_000_000  # a coarse quantile cell up to this size needs no fine pass
 
 
 # ---------------------------------------------------------------------------
@@ -31,7 +31,7 @@ def mark_smallest(
     """Add a boolean per quota: is the row among the first k of its stratum by (draw, key)?
 
     ``draw`` is a uniform number in [0, 1); ``quotas`` maps a new column name to a function from
-    the stratum's row count to k. The draws are counted per cell, the cell in which rank k falls is
+    the stratum's row count to k, in which the strata columns can be used. NULL is a stratum of its own. The draws are counted per cell, the cell in which rank k falls is
     ranked exactly (1/16384 of a stratum), and the (draw, key) found there becomes a threshold. The
     rows themselves are never shuffled.
     """
@@ -64,7 +64,7 @@ def mark_smallest(
 
     in_cell = Window.partitionBy(*strata, "_cell", "_name").orderBy("_u", "_k")
     hits = (
-        slim.join(edges, [*strata, "_cell"])
+        join_null_safe(slim, edges, [*strata, "_cell"])
         .withColumn("_rn", F.row_number().over(in_cell))
         .where("_rn = _rank")
     )
@@ -74,7 +74,7 @@ def mark_smallest(
     ])
     cuts = small_table(cuts)
 
-    joined = df.join(cuts, strata, "left")
+    joined = join_null_safe(df, cuts, strata, "left")
     flags = [
         F.coalesce(F.struct(F.col(draw).alias("_u"), F.col(key).alias("_k")) <= F.col(f"_cut_{name}"),
                    F.lit(False)).alias(name)
@@ -84,24 +84,33 @@ def mark_smallest(
 
 
 # ---------------------------------------------------------------------------
-# area under the ROC curve
+# running totals and the area under the ROC curve
 # ---------------------------------------------------------------------------
 
-def _score_cell(score: Column) -> Column:
-    """Non-decreasing integer key of a probability, fine near 0 and near 1."""
-    p = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
-    tiny = F.lit(1e-300)
-    logit = F.ln(p + tiny) - F.ln(F.lit(1.0) - p + tiny)
-    return F.floor((logit + F.lit(704.0)) * F.lit(float(1 << 20)))
+def running_before(df: DataFrame, keys: Sequence[str], order: str, totals: Sequence[str]) -> DataFrame:
+    """Add ``<c>_before`` for each of ``totals``: its sum over the rows of the same keys with a smaller ``order``.
+
+    The rows are range-partitioned, so a partition holds one short range however close the values lie. Sums of
+    whole partitions give the offsets; windows run inside a partition only. (keys, order) must be unique.
+    """
+    keys = list(keys)
+    placed = cut_lineage(df.repartitionByRange(*keys, order).withColumn("_block", F.spark_partition_id()))
+    earlier = Window.unboundedPreceding, -1
+    blocks = placed.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in totals])
+    by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*earlier)
+    offsets = blocks.select(*keys, "_block", *[F.coalesce(F.sum(f"_{c}").over(by_block), F.lit(0)).alias(f"_{c}") for c in totals])
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(*earlier)
+    out = join_null_safe(placed, offsets, [*keys, "_block"])
+    for c in totals:
+        out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}"))
+    return out.drop("_block", *[f"_{c}" for c in totals])
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column,
             name: str = "roc_auc") -> DataFrame:
     """Tie-aware ROC-AUC per ``keys``; NULL where only one class is present.
 
-    Rows are first counted per distinct score. Prefix sums of the negatives then run inside cells of
-    close scores, across the cells of a block and across blocks, each window over one short range,
-    instead of one window over all scores of a run.
+    Rows are first counted per distinct score, see :func:`auc_of_counts`.
     """
     pos = F.sum(F.when(positive, 1.0).otherwise(0.0)).alias("p")
     neg = F.sum(F.when(positive, 0.0).otherwise(1.0)).alias("n")
@@ -112,25 +121,10 @@ def roc_auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column,
 
 def auc_of_counts(counts: DataFrame, keys: Sequence[str], name: str = "roc_auc") -> DataFrame:
     """ROC-AUC from (keys, at, p, n): positives and negatives, one row per distinct score."""
-    keys = list(keys)
-    level = counts.withColumn("pairs", F.col("p") * F.col("n") * 0.5).withColumn(
-        "cell", _score_cell(F.col("at")))
-
-    def fold(rows: DataFrame, within: Sequence[str], order: str) -> DataFrame:
-        before = Window.partitionBy(*within).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("n").over(before), F.lit(0.0))
-        return (
-            rows.withColumn("pairs", F.col("pairs") + F.col("p") * below)
-            .groupBy(*within).agg(F.sum("p").alias("p"), F.sum("n").alias("n"),
-                                  F.sum("pairs").alias("pairs"))
-        )
-
-    level = fold(level, [*keys, "cell"], "at")
-    level = level.withColumn("block", F.shiftright("cell", 16))
-    level = fold(level, [*keys, "block"], "cell")
-    level = fold(level, keys, "block")
-    return level.select(*keys, F.try_divide(F.col("pairs"), F.col("p") * F.col("n")).alias(name))
+    below = running_before(counts, keys, "at", ["n"])
+    pairs = F.sum(F.col("p") * (F.col("n_before") + F.col("n") * 0.5))
+    area = F.try_divide(pairs, F.sum("p") * F.sum("n")).alias(name)
+    return below.groupBy(*keys).agg(area)
 
 
 def roc_auc_ovr(df: DataFrame, keys: Sequence[str], probs: str, y_true: str,
@@ -138,7 +132,11 @@ def roc_auc_ovr(df: DataFrame, keys: Sequence[str], probs: str, y_true: str,
     """One-vs-rest macro mean; NULL if any class has no positive or no negative row."""
     keys = list(keys)
     long = df.select(*keys, F.col(y_true).alias("_y"), F.posexplode(probs).alias("_class", "_score"))
-    per_class = roc_auc(long, [*keys, "_class"], "_score", F.col("_y") == F.col("_class"), "_auc")
+    return mean_over_classes(roc_auc(long, [*keys, "_class"], "_score", F.col("_y") == F.col("_class"), "_auc"), keys, name)
+
+
+def mean_over_classes(per_class: DataFrame, keys: Sequence[str], name: str = "roc_auc") -> DataFrame:
+    """Mean of ``_auc`` per keys; NULL if one class has none."""
     return per_class.groupBy(*keys).agg(
         F.when(F.count("_auc") == F.count(F.lit(1)), F.avg("_auc")).alias(name))
 
@@ -148,67 +146,49 @@ def roc_auc_ovr(df: DataFrame, keys: Sequence[str], probs: str, y_true: str,
 # ---------------------------------------------------------------------------
 
 def _value_cell(value: Column) -> Column:
-    """Non-decreasing integer key; cells are about 1.5e-5 wide relative to the value."""
+    """Non-decreasing integer key below 65536; cells are about 3 % wide relative to the value."""
     t = F.signum(value) * F.log1p(F.abs(value) * F.lit(1e6))
-    return F.floor((t + F.lit(1024.0)) * F.lit(65536.0))
+    return F.floor((t + F.lit(1024.0)) * F.lit(32.0))
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Quantiles with linear interpolation of ``long(feature, value)``.
 
-    Returns (feature, prob, n, quantile). NULL and NaN are left out. Counting passes narrow each
-    wanted rank down: coarse cells, fine cells (only if a coarse cell is large), then distinct values
-    of one cell. Every pass pre-aggregates before its shuffle and none holds all values of a feature.
+    Returns (feature, prob, n, quantile). NULL and NaN are left out. Passes over the table narrow each wanted rank
+    down: first logarithmic cells, then 65536 equal parts of the range of the cell that holds the rank, until that
+    cell is one value. A pass counts per cell before its shuffle, so no window sees more than 65536 rows, however
+    close the values lie; two to four passes are usual. Between passes only the wanted ranks (features by probabilities) come to the driver.
     """
-    rows = (
-        long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .select("feature", F.col("value").cast("double").alias("value"))
-        .withColumn("fine", _value_cell(F.col("value")))
-        .withColumn("coarse", F.shiftright("fine", 11))
-    )
-
-    def locate(counts: DataFrame, within: list[str], at: str, wanted: DataFrame | None) -> DataFrame:
-        w = Window.partitionBy(*within).orderBy(at)
-        cum = counts.withColumn("_upto", F.sum("_rows").over(w)).withColumn(
-            "_before", F.col("_upto") - F.col("_rows"))
-        if wanted is None:
-            total = F.sum("_rows").over(Window.partitionBy(*within))
-            spot = F.array(*[F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("_n") - 1)).alias("h"))
-                             for p in probs])
-            cum = (
-                cum.withColumn("_n", total).withColumn("_p", F.explode(spot))
-                .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-                .select("*", F.col("_p.prob").alias("prob"), F.col("_p.h").alias("h"))
-                .withColumn("_rank", F.when(F.col("_side") == 0, F.floor("h")).otherwise(F.ceil("h")))
-                .drop("_p")
-            )
-        else:
-            cum = cum.join(wanted.drop("_size"), within)
-        hit = cum.where("_rank >= _before AND _rank < _upto")
-        return hit.select("feature", at, "prob", "h", "_n", "_side",
-                          (F.col("_rank") - F.col("_before")).alias("_rank"),
-                          F.col("_rows").alias("_size"))
-
-    counts = rows.groupBy("feature", "coarse").agg(F.count(F.lit(1)).alias("_rows"))
-    spots = small_table(locate(counts, ["feature"], "coarse", None))
-
-    cell = "coarse"
-    largest = spots.agg(F.max("_size")).first()[0]
-    if largest is not None and largest > DIRECT_ROWS:
-        near = rows.join(spots.select("feature", "coarse").distinct(), ["feature", "coarse"])
-        counts = near.groupBy("feature", "coarse", "fine").agg(F.count(F.lit(1)).alias("_rows"))
-        spots = small_table(locate(counts, ["feature", "coarse"], "fine", spots))
-        cell = "fine"
-
-    near = rows.join(spots.select("feature", cell).distinct(), ["feature", cell])
-    counts = near.groupBy("feature", cell, "value").agg(F.count(F.lit(1)).alias("_rows"))
-    ends = locate(counts, ["feature", cell], "value", spots)
-    low = F.max(F.when(F.col("_side") == 0, F.col("value")))
-    high = F.max(F.when(F.col("_side") == 1, F.col("value")))
-    return ends.groupBy("feature", "prob").agg(
-        F.max("_n").alias("n"),
-        (low + (high - low) * (F.max("h") - F.floor(F.max("h")))).alias("quantile"),
-    )
+    spark = long.sparkSession
+    rows = long.where(F.col("value").isNotNull() & ~F.isnan("value")).select("feature", F.col("value").cast("double").alias("value"))
+    ends = F.count(F.lit(1)).alias("_rows"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    first = Window.partitionBy("feature").orderBy("cell")
+    counted = rows.groupBy("feature", _value_cell(F.col("value")).alias("cell")).agg(*ends)
+    cells = counted.withColumn("_before", F.sum("_rows").over(first) - F.col("_rows")).withColumn(
+        "n", F.sum("_rows").over(Window.partitionBy("feature")))
+    spot = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("n") - 1)).alias("h")) for p in probs])
+    wanted = cells.withColumn("_p", F.explode(spot)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    wanted = wanted.withColumn("rank", F.when(F.col("side") == 0, F.floor("_p.h")).otherwise(F.ceil("_p.h")))
+    columns = "feature", "prob", "h", "n", "side", "rank", "lo", "hi"
+    hit = F.expr("rank >= _before AND rank < _before + _rows")
+    found = wanted.select("*", "_p.prob", "_p.h").where(hit).withColumn("rank", F.col("rank") - F.col("_before")).select(*columns)
+    schema, spots = found.schema, [tuple(r) for r in found.collect()]
+    while any(lo < hi for *_, lo, hi in spots):
+        done = [s for s in spots if s[-2] == s[-1]]
+        searched = spark.createDataFrame([s for s in spots if s[-2] < s[-1]], schema)
+        ranges = searched.select("feature", "lo", "hi").distinct().withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+        near = rows.join(ranges, "feature").where("value >= _lo AND value <= _hi")
+        # Halves first, so that the width of no range overflows.
+        part = (F.col("value") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        inner = near.groupBy("feature", "_lo", "_hi", F.floor(part * 65535).alias("cell")).agg(*ends)
+        over = Window.partitionBy("feature", "_lo", "_hi").orderBy("cell")
+        inner = inner.withColumn("_before", F.sum("_rows").over(over) - F.col("_rows"))
+        asked = searched.select("feature", "prob", "h", "n", "side", "rank", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        found = inner.join(asked, ["feature", "_lo", "_hi"]).where(hit).withColumn("rank", F.col("rank") - F.col("_before")).select(*columns)
+        spots = done + [tuple(r) for r in found.collect()]
+    value = F.max(F.when(F.col("side") == 0, F.col("lo"))), F.max(F.when(F.col("side") == 1, F.col("lo")))
+    return spark.createDataFrame(spots, schema).groupBy("feature", "prob").agg(
+        F.max("n").alias("n"), (value[0] + (value[1] - value[0]) * (F.max("h") - F.floor(F.max("h")))).alias("quantile"))
 
 
 def to_long(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentinel.functions.joins import explode_copies, join_null_safe
 from sentinel.functions.rand import uniform
 from sentinel.functions.storage import small_table
 from sentinel.operators.ranking import mark_smallest
@@ -55,26 +56,14 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_class_weight(df: DataFrame, label: str) -> DataFrame:
-    return df.join(small_table(class_weights(df, label).select(label, "weight")), label)
+    return join_null_safe(df, small_table(class_weights(df, label).select(label, "weight")), [label])
 
 
 def resample_balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Draw rows with replacement, all classes equally often: a row appears Poisson(weight) times.
+    """Rows with copies, all classes equally often: a row of weight w appears floor(w) or floor(w) + 1 times, w on average.
 
-    The weight is the balanced class weight, so the expected size is that of the table. Each class
-    carries its distribution function, in which a keyed uniform number finds the count.
+    The weight is the balanced class weight, so the expected size is that of the table. One keyed uniform number per
+    row decides about the fraction, so the class sizes vary less than with independent draws, at any imbalance. NULL is a class.
     """
-    w, last = F.col("weight"), F.element_at("_cdf", -1)
-    grow = lambda cdf, k: F.concat(cdf, F.array(F.element_at(cdf, -1) + F.exp(
-        k * F.ln(w) - w - F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + F.ln(i)))))
-    steps = F.sequence(F.lit(1), (w + 10 * F.sqrt(w) + 20).cast("int"))
-    classes = class_weights(df, label).select(label, "weight").withColumn(
-        "_cdf", F.aggregate(steps, F.array(F.exp(-w)), grow))
-    drawn = df.join(small_table(classes), label).withColumn(
-        "_u", uniform(seed, "resample", key))
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    return (
-        drawn.withColumn("_copies", F.when(last <= F.col("_u"), F.size("_cdf")).otherwise(copies))
-        .where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_u", "_cdf", "_copies")
-    )
+    drawn = add_class_weight(df, label).withColumn("_copies", F.floor(F.col("weight") + uniform(seed, "resample", key)))
+    return explode_copies(drawn, "_copies").drop("_copies")

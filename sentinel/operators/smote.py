@@ -8,6 +8,7 @@ per row leave a group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentinel.functions.joins import explode_copies
 from sentinel.functions.rand import uniform
 from sentinel.functions.storage import cut_lineage
 from sentinel.operators.gradients import batch_matrix
 from sentinel.operators.ranking import mark_smallest
 
 CHUNK_ROWS = 4000
-MAX_PIVOTS = 256
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,7 +38,7 @@ def nearest_neighbors(rows: DataFrame, key: str, features: str, label: str, k: i
         F.col(key).alias("id"), F.col(label).cast("int").alias("cls"),
         F.transform(features, lambda v: v.cast("double")).alias("x")))
     if n_pivots is None:
-        n_pivots = min(MAX_PIVOTS, base.count() // chunk_rows + 1)
+        n_pivots = math.isqrt(base.count()) + 1  # as many cells as a cell has rows; small enough for the driver
     drawn = base.orderBy(uniform(seed, "pivot", "id"), "id").limit(n_pivots).collect()
     if not drawn:
         raise ValueError("no rows to search")
@@ -144,15 +145,20 @@ def smote(rows: DataFrame, key: str, features: str, label: str, k: int = 5, seed
     """Synthetic rows (label, features, origin, neighbor) that lift every class to the largest one.
 
     Each class of n rows needs m new rows: every row gives floor(m / n) and the first m mod n rows,
-    by keyed draw, one more. A new row lies at a random point between its origin and one of the
+    by keyed draw, one more. A class of one row, or rows without a class, are an error. A new row lies at a random point between its origin and one of the
     origin's k nearest neighbours.
     """
     counts = {r["c"]: r["count"] for r in
               rows.groupBy(F.col(label).cast("int").alias("c")).count().collect()}
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have no class")
     most = max(counts.values())
     small = {c: n for c, n in counts.items() if n < most}
     if not small:
         raise ValueError("all classes have the same size")
+    alone = sorted(str(c) for c, n in small.items() if n < 2)
+    if alone:
+        raise ValueError(f"classes without a second row have no neighbours: {', '.join(alone)}")
     slim = rows.select(F.col(key).alias("id"), F.col(label).cast("int").alias("cls"),
                        F.transform(features, lambda v: v.cast("double")).alias("x"))
     minority = slim.where(F.col("cls").isin(list(small)))
@@ -162,10 +168,7 @@ def smote(rows: DataFrame, key: str, features: str, label: str, k: int = 5, seed
     origin = mark_smallest(drawn, ["cls"], "_draw", "id", {"_more": extra})
     each = F.create_map(*[v for c, n in small.items() for v in (F.lit(c), F.lit((most - n) // n))])
     copies = F.element_at(each, F.col("cls")) + F.col("_more").cast("int")
-    planned = (
-        origin.withColumn("_copies", copies).where("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    )
+    planned = explode_copies(origin.withColumn("_copies", copies), "_copies")
     sizes = near.groupBy("id").agg(F.max("rank").alias("_k"))
     chosen = planned.join(sizes, "id").withColumn(
         "rank", (F.floor(uniform(seed, "pick", "id", "copy") * F.col("_k")) + 1).cast("int"))

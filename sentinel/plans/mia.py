@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.functions.storage import small_table
+from sentinel.functions.storage import cut_lineage
 from sentinel.operators import attack
 from sentinel.schema import DEFAULTS
 from sentinel.sources import ledger
@@ -14,22 +14,25 @@ RUN = ["run_id"]
 
 
 def sampled_features(preds: DataFrame, sample: DataFrame) -> DataFrame:
-    """Attack features of the sampled rows, for every run. One semi-join chooses rows for all runs."""
-    chosen = preds.join(sample, ["row_id", "split"])
-    return attack.attack_features(chosen)
+    """Attack features of the sampled rows, for every run of the data set they belong to."""
+    shared = [c for c in sample.columns if c not in ("member", "part")]
+    return attack.attack_features(preds.join(sample, shared))
 
 
-def attack_runs(preds: DataFrame, rows: DataFrame, cap: int = DEFAULTS.attack_cap,
+def attack_runs(preds: DataFrame, rows: DataFrame, fit_rows: int = DEFAULTS.attack_cap,
                 seed: int = DEFAULTS.seed) -> DataFrame:
-    """Attack metrics per run_id. ``rows`` lists the records with their split, once each."""
-    sample = small_table(attack.attack_sample(rows, "row_id", cap, seed), 2 * cap)
-    scores = attack.attack_scores(sampled_features(preds, sample), RUN, "row_id")
-    sizes = sample.groupBy("member", "part").agg(F.count(F.lit(1)).alias("n")).collect()
-    count = lambda **kv: sum(r["n"] for r in sizes if all(r[k] == v for k, v in kv.items()))
-    return attack.attack_metrics(scores, RUN).select(
-        "*", F.lit(count(member=1)).cast("bigint").alias("n_members"),
-        F.lit(count(member=0)).cast("bigint").alias("n_non_members"),
-        F.lit(count(part="train")).cast("bigint").alias("n_attack_train"))
+    """Attack metrics per run_id. ``rows`` lists the records of every data set with their split, once each."""
+    groups = [c for c in ("dataset", "label_type") if c in rows.columns]
+    sampled = cut_lineage(sampled_features(preds, attack.attack_sample(rows, "row_id", groups, fit_rows, seed)))
+    scores = attack.attack_scores(sampled, RUN, "row_id")
+    return attack.attack_metrics(scores, RUN).join(sample_sizes(sampled), RUN)
+
+
+def sample_sizes(sampled: DataFrame) -> DataFrame:
+    """Members, non-members and fitting rows per run, counted on the rows that were really joined."""
+    return sampled.groupBy(*RUN).agg(
+        F.sum("member").cast("bigint").alias("n_members"), F.sum(1 - F.col("member")).cast("bigint").alias("n_non_members"),
+        F.count_if(F.col("part") == "train").alias("n_attack_train"))
 
 
 def attack_records(attacks: DataFrame, results: DataFrame) -> DataFrame:
@@ -45,13 +48,17 @@ def attack_records(attacks: DataFrame, results: DataFrame) -> DataFrame:
         "attack_type", F.lit("black_box_confidence"))
 
 
-def sweep(preds: DataFrame, rows: DataFrame, results: DataFrame, done: DataFrame,
-          force: bool = False, cap: int = DEFAULTS.attack_cap, seed: int = DEFAULTS.seed) -> DataFrame:
-    """Attack records of the runs not in ``done`` (all runs with ``force``)."""
-    runs = preds.select("run_id", "dataset", "label_type", "model_name", "epsilon").distinct()
+def sweep(preds: DataFrame, rows: DataFrame, results: DataFrame, done: DataFrame, runs: DataFrame | None = None,
+          force: bool = False, fit_rows: int = DEFAULTS.attack_cap, seed: int = DEFAULTS.seed) -> DataFrame:
+    """Attack records of the runs not in ``done`` (all runs with ``force``).
+
+    ``runs`` lists the runs (one row each, as training returns them); without it they are taken from ``results``.
+    """
+    runs = results if runs is None else runs
+    runs = runs.select("run_id", "dataset", "label_type", "model_name", "epsilon").distinct()
     if not force:
         runs = ledger.pending(runs, done, [
             ("dataset", "dataset"), ("label_type", "label_type"), ("model_name", "target_model"),
             ("epsilon", "epsilon")])
-    todo = preds.join(small_table(runs.select("run_id")), "run_id", "left_semi")
-    return attack_records(attack_runs(todo, rows, cap, seed), results)
+    todo = preds.join(runs.select("run_id"), "run_id", "left_semi")
+    return attack_records(attack_runs(todo, rows, fit_rows, seed), results)

@@ -18,8 +18,12 @@ def clean_rows(df: DataFrame, dataset: str) -> DataFrame:
 
 def clean_table(df: DataFrame, dataset: str, threshold: float = DEFAULTS.null_threshold,
                 strategy: str = "median") -> tuple[DataFrame, list[str]]:
-    """Cleaned rows without duplicates, sparse columns or missing values; and the dropped columns."""
-    unique = cut_lineage(clean.drop_duplicates(clean_rows(df, dataset)))
+    """Cleaned rows without duplicates, sparse columns or missing values; and the dropped columns.
+
+    ``row_id`` is set while the rows are distinct. Dropping columns and filling gaps can make rows equal later on,
+    so the stages keep the column instead of computing it again.
+    """
+    unique = cut_lineage(row_key(clean.drop_duplicates(clean_rows(df, dataset))))
     missing = {r["feature"]: r["null_fraction"] for r in clean.null_fractions(unique).collect()}
     dropped = [c for c in unique.columns if missing.get(c, 0.0) > threshold]
     gaps = [c for c, share in missing.items() if share > 0 and c not in dropped]
@@ -33,15 +37,16 @@ def run_preprocessing(spark: SparkSession, raw_dir: str, out_dir: str, dataset:
 
     def build() -> None:
         df, dropped = clean_table(raw.read_raw(spark, raw_dir, dataset), dataset)
-        tables.write_processed(df, path)
+        # First, since the stage counts as done once the processed table is complete.
         spark.createDataFrame([(dataset, c) for c in dropped], "dataset string, column string").write.mode(
             "overwrite").parquet(f"{out_dir.rstrip('/')}/dropped_columns/{dataset}")
+        tables.write_processed(df, path)
 
     return tables.build_once(spark, path, build, force)
 
 
 def row_key(df: DataFrame) -> DataFrame:
-    """Add ``row_id``, an md5 over all columns; processed rows are distinct, so it is a key."""
+    """Add ``row_id``, an md5 over all columns; a key as long as the rows are distinct."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(df.columns)]
     return df.withColumn("row_id", F.md5(F.concat_ws("\u0001", *parts)))
 
@@ -53,12 +58,7 @@ def run_sampling(spark: SparkSession, out_dir: str, dataset: str, settings: Sett
 
     def build() -> None:
         source = tables.read_table(spark, f"{out_dir.rstrip('/')}/processed/{dataset}")
-        keyed = row_key(source)
-        taken = cut_lineage(sample.stratified_subset(keyed, settings.subset_size, "row_id", settings.seed))
-        split = sample.add_split(taken, "row_id", settings.test_size, seed=settings.seed)
-        tables.write_subset(split.drop("row_id"), path)
+        taken = cut_lineage(sample.stratified_subset(source, settings.subset_size, "row_id", settings.seed))
+        tables.write_subset(sample.add_split(taken, "row_id", settings.test_size, seed=settings.seed), path)
 
     return tables.build_once(spark, path, build, force)
-
-
-

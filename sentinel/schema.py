@@ -11,21 +11,19 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 
 METADATA_COLUMNS = (
-    "label_raw", "label_binary", "label_multiclass", "dataset_source", "split",
+    "label_raw", "label_binary", "label_multiclass", "dataset_source", "split", "row_id",
 )
 
 # The 49 official column names of the headerless UNSW-NB15 CSV files.
 UNSW_COLUMNS = (
-    "srcip sport dstip dsport proto state dur "
-    "sbytes dbytes sttl dttl sloss dloss service "
-    "Sload Dload Spkts Dpkts swin dwin stcpb dtcpb "
-    "smeansz dmeansz trans_depth res_bdy_len Sjit Djit "
-    "Stime Ltime Sintpkt Dintpkt tcprtt synack ackdat "
-    "is_sm_ips_ports ct_state_ttl ct_flw_http_mthd is_ftp_login "
-    "ct_ftp_cmd ct_srv_src ct_srv_dst ct_dst_ltm ct_src_ltm "
-    "ct_src_dport_ltm ct_dst_sport_ltm ct_dst_src_ltm "
-    "attack_cat label"
-).split()
+    "srcip", "sport", "dstip", "dsport", "proto", "state", "dur",
+    "sbytes", "dbytes", "sttl", "dttl", "sloss", "dloss", "service",
+    "Sload", "Dload", "Spkts", "Dpkts", "swin", "dwin", "stcpb",
+    "dtcpb", "smeansz", "dmeansz", "trans_depth", "res_bdy_len", "Sjit", "Djit",
+    "Stime", "Ltime", "Sintpkt", "Dintpkt", "tcprtt", "synack", "ackdat",
+    "is_sm_ips_ports", "ct_state_ttl", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd", "ct_srv_src", "ct_srv_dst",
+    "ct_dst_ltm", "ct_src_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm", "attack_cat", "label",
+)
 
 BENIGN = "BENIGN"
 UNKNOWN = "Unknown"
@@ -109,7 +107,7 @@ class Dialect:
 
 DIALECTS = {
     "cic_ids2018": Dialect("cic_ids2018", encoding="ISO-8859-1"),
-    "unsw_nb15": Dialect("unsw_nb15", header=False, columns=tuple(UNSW_COLUMNS)),
+    "unsw_nb15": Dialect("unsw_nb15", header=False, columns=UNSW_COLUMNS),
 }
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentinel.functions.cols import normalize_columns
-from sentinel.functions.storage import list_dir, path_exists
+from sentinel.functions.cols import normalize_name
+from sentinel.functions.storage import first_line, list_dir, path_exists
 from sentinel.schema import DIALECTS, Dialect
 
 CORRUPT = "_corrupt_record"
@@ -27,15 +29,26 @@ def list_raw_files(spark: SparkSession, raw_dir: str, dataset: str) -> list[str]
     return files
 
 
-def header_names(spark: SparkSession, file: str, dialect: Dialect) -> list[str]:
-    line = spark.read.option("encoding", dialect.encoding).text(file).first()
+def header_names(spark: SparkSession, file: str, dialect: Dialect) -> tuple[str, ...]:
+    """Normalised column names of one file; two that become equal are an error."""
+    line = first_line(spark, file, dialect.encoding)
     if line is None:
         raise ValueError(f"{file} is empty")
-    return next(csv.reader(io.StringIO(line[0].lstrip("﻿")), delimiter=dialect.sep))
+    names = tuple(normalize_name(n) for n in next(csv.reader(io.StringIO(line.lstrip("\ufeff")), delimiter=dialect.sep)))
+    clashes = sorted({n for n in names if names.count(n) > 1})
+    if clashes:
+        raise ValueError(f"column names of {file} collide after normalisation: {clashes}")
+    return names
 
 
-def text_schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+def layouts(spark: SparkSession, files: list[str], dialect: Dialect) -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names in file order; only first lines are read."""
+    if dialect.columns:
+        return {tuple(normalize_name(c) for c in dialect.columns): list(files)}
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        found.setdefault(header_names(spark, file, dialect), []).append(file)
+    return found
 
 
 def reader_options(dialect: Dialect) -> dict[str, str]:
@@ -52,31 +65,44 @@ def over_long(n_columns: int, sep: str = ",") -> Column:
     return F.col(CORRUPT).isNotNull() & (F.size(F.split(bare, f"[{sep}]")) > n_columns)
 
 
-def read_raw(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
-    """All files of a data set as text columns with normalised names.
+def read_files(spark: SparkSession, files: list[str], dataset: str) -> DataFrame:
+    """Files of a data set as text columns, aligned by normalised name; a column that a file lacks is NULL.
 
-    Rows with too few fields are kept and padded with NULL; rows with too many are left out, see
-    :func:`count_malformed`.
+    There is one scan per distinct header. Rows with fewer fields than their own file's header are padded
+    with NULL; rows with more are left out, see :func:`count_malformed`.
     """
-    df, n = _scan(spark, raw_dir, dataset)
-    return normalize_columns(df.where(~over_long(n, DIALECTS[dataset].sep)).drop(CORRUPT))
+    sep = _dialect(dataset).sep
+    parts = [df.where(~over_long(n, sep)).drop(CORRUPT) for df, n in _scans(spark, files, dataset)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_raw(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
+    """All files of a data set, see :func:`read_files`."""
+    _dialect(dataset)
+    return read_files(spark, list_raw_files(spark, raw_dir, dataset), dataset)
 
 
 def count_malformed(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
     """(file, n_malformed, n_filled): rows that :func:`read_raw` leaves out, and all rows whose first
     field is not empty."""
-    df, n = _scan(spark, raw_dir, dataset)
-    seen = df.withColumn("file", F.col("_metadata.file_name")).withColumn(
-        "_bad", over_long(n, DIALECTS[dataset].sep))
-    return seen.groupBy("file").agg(
-        F.count_if("_bad").alias("n_malformed"), F.count(df.columns[0]).alias("n_filled"))
+    sep = _dialect(dataset).sep
+    parts = [df.select(F.col("_metadata.file_name").alias("file"), over_long(n, sep).alias("_bad"), F.col(df.columns[0]).alias("_first"))
+             for df, n in _scans(spark, list_raw_files(spark, raw_dir, dataset), dataset)]
+    return reduce(DataFrame.union, parts).groupBy("file").agg(
+        F.count_if("_bad").alias("n_malformed"), F.count("_first").alias("n_filled"))
 
 
-def _scan(spark: SparkSession, raw_dir: str, dataset: str) -> tuple[DataFrame, int]:
+def _dialect(dataset: str) -> Dialect:
     if dataset not in DIALECTS:
         raise ValueError(f"unknown data set '{dataset}'")
-    dialect = DIALECTS[dataset]
-    files = list_raw_files(spark, raw_dir, dataset)
-    names = list(dialect.columns) or header_names(spark, files[0], dialect)
-    df = spark.read.options(**reader_options(dialect)).schema(text_schema(names)).csv(files)
-    return df, len(names)
+    return DIALECTS[dataset]
+
+
+def _scans(spark: SparkSession, files: list[str], dataset: str) -> list[tuple[DataFrame, int]]:
+    dialect = _dialect(dataset)
+    return [(spark.read.options(**reader_options(dialect)).schema(text_schema(names)).csv(same), len(names))
+            for names, same in layouts(spark, files, dialect).items()]
+
+
+def text_schema(names: Iterable[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])

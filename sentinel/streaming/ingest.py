@@ -4,27 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinel.functions.cols import normalize_columns
 from sentinel.plans.preprocess import clean_rows
-from sentinel.schema import DIALECTS
-from sentinel.sources.raw import CORRUPT, header_names, list_raw_files, over_long, reader_options, text_schema
-
-
-def stream_raw(spark: SparkSession, raw_dir: str, dataset: str, files_per_batch: int = 4) -> DataFrame:
-    """Raw CSV rows as they arrive, ``files_per_batch`` new files per micro-batch."""
-    dialect = DIALECTS[dataset]
-    names = list(dialect.columns)
-    if not names:
-        names = header_names(spark, list_raw_files(spark, raw_dir, dataset)[0], dialect)
-    rows = (
-        spark.readStream.options(**reader_options(dialect)).option("maxFilesPerTrigger", files_per_batch)
-        .schema(text_schema(names)).csv(f"{raw_dir.rstrip('/')}/{dataset}")
-    )
-    return normalize_columns(rows.where(~over_long(len(names), dialect.sep)).drop(CORRUPT))
+from sentinel.sources.raw import read_files
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def stream_files(spark: SparkSession, raw_dir: str, dataset: str, files_per_batch: int = 4) -> DataFrame:
+    """Paths of raw CSV files as they arrive, ``files_per_batch`` new files per micro-batch; contents are not read."""
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    return files.option("pathGlobFilter", "*.csv").load(f"{raw_dir.rstrip('/')}/{dataset}").select("path")
+
+
+def ingest_available(spark: SparkSession, raw_dir: str, dataset: str, path: str, checkpoint: str, files_per_batch: int = 4) -> None:
+    """Clean all files that have arrived since the last call and add them to the table at ``path``.
+
+    A micro-batch reads its files by their own headers, so files with other columns may arrive at any time.
+    A batch that is repeated after a failure replaces its own part of the table.
+    """
+    def clean_batch(batch: DataFrame, number: int) -> None:
+        files = sorted(r["path"] for r in batch.collect())  # at most files_per_batch names
+        if files:
+            rows = clean_rows(read_files(batch.sparkSession, files, dataset), dataset)
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream = stream_files(spark, raw_dir, dataset, files_per_batch).writeStream.foreachBatch(clean_batch)
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def clean_stream(rows: DataFrame, dataset: str) -> DataFrame:
-    return clean_rows(rows, dataset)
+def read_ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The table of :func:`ingest_available`; columns that a batch lacks are NULL."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("batch")
 
 
 def drop_recent_duplicates(rows: DataFrame, columns: list[str], event_time: str, delay: str) -> DataFrame:

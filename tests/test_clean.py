@@ -131,18 +131,40 @@ def test_stages_end_to_end_and_idempotent(spark, tmp_path):
         tables.write_subset(subset.drop("split"), f"{out}/x")
 
 
+def write_csv(folder, name, header, rows):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w", encoding="latin-1") as fh:
+        fh.write("\n".join([header, *rows]) + "\n")
+
+
+def test_files_are_aligned_by_their_own_headers(spark, tmp_path):
+    folder = f"{tmp_path}/cic_ids2018"
+    write_csv(folder, "a.csv", "Dst Port,Flow Duration,Label", ["80,1.5,Benign", "81", "82,1,Bot,long"])
+    write_csv(folder, "b.csv", "Flow ID,Src IP,Dst Port,Flow Duration,Label", ["x,10.0.0.1,443,2.5,Bot", "y,10.0.0.2,444,3.5,Bot,long"])
+    write_csv(folder, "c.csv", "Flow Duration, Dst  Port ,Label", ['9.5,8080,"Benign"'])
+    rows = raw.read_raw(spark, str(tmp_path), "cic_ids2018").orderBy("dst_port").collect()
+    assert [(r["dst_port"], r["flow_duration"], r["label"], r["src_ip"]) for r in rows] == [
+        ("443", "2.5", "Bot", "10.0.0.1"), ("80", "1.5", "Benign", None), ("8080", "9.5", "Benign", None), ("81", None, None, None)]
+    bad = {r["file"]: (r["n_malformed"], r["n_filled"]) for r in raw.count_malformed(spark, str(tmp_path), "cic_ids2018").collect()}
+    assert bad == {"a.csv": (1, 3), "b.csv": (1, 2), "c.csv": (0, 1)}
+    write_csv(folder, "d.csv", "Dst Port,dst_port", ["1,2"])
+    with pytest.raises(ValueError):
+        raw.read_raw(spark, str(tmp_path), "cic_ids2018")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         write_cic(f"{tmp_path}/cic_ids2018", [f"{i}{j},{j},n,Benign" for j in range(5)], f"f{i}.csv")
-    rows = ingest.stream_raw(spark, str(tmp_path), "cic_ids2018", files_per_batch=1)
-    ingest.run_available(ingest.clean_stream(rows, "cic_ids2018"), f"{tmp_path}/o", f"{tmp_path}/s")
+    ingest.ingest_available(spark, str(tmp_path), "cic_ids2018", f"{tmp_path}/o", f"{tmp_path}/s", files_per_batch=1)
     batch = preprocess.clean_rows(raw.read_raw(spark, str(tmp_path), "cic_ids2018"), "cic_ids2018")
-    got = spark.read.parquet(f"{tmp_path}/o").select(*batch.columns)
+    got = ingest.read_ingested(spark, f"{tmp_path}/o").select(*batch.columns)
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
-    write_cic(f"{tmp_path}/cic_ids2018", ["99,1,n,Bot"], "late.csv")
-    rows = ingest.stream_raw(spark, str(tmp_path), "cic_ids2018")
-    ingest.run_available(ingest.clean_stream(rows, "cic_ids2018"), f"{tmp_path}/o", f"{tmp_path}/s")
-    assert spark.read.parquet(f"{tmp_path}/o").count() == 16
+    write_csv(f"{tmp_path}/cic_ids2018", "late.csv", "Label,Flow Duration,Src Port", ["Bot,99,5"])
+    ingest.ingest_available(spark, str(tmp_path), "cic_ids2018", f"{tmp_path}/o", f"{tmp_path}/s")
+    got = ingest.read_ingested(spark, f"{tmp_path}/o")
+    assert got.count() == 16
+    late = got.where("src_port IS NOT NULL").first()
+    assert (late["flow_duration"], late["label_multiclass"], late["flow_byts_s"]) == (99.0, "Botnet", None)
 
 
 def test_stream_drops_recent_duplicates(spark, tmp_path):

@@ -197,14 +197,17 @@ def test_baselines_agree_on_an_easy_problem(points):
 def test_attack_sample(spark):
     rows = spark.range(900).select(F.col("id").alias("row_id"), F.when(F.col("id") < 600, "train").when(
         F.col("id") < 650, "val").otherwise("test").alias("split"))
-    s = attack.attack_sample(rows, "row_id", cap=100).collect()
-    assert sum(r["member"] for r in s) == 100 and len(s) == 200
-    assert sum(r["part"] == "test" for r in s) == 60
+    both = rows.withColumn("dataset", F.lit("a")).union(rows.where("row_id % 2 = 0").withColumn("dataset", F.lit(None)))
+    s = attack.attack_sample(both, "row_id", fit_rows=100).collect()
+    for name, n, held in (("a", 250, 75), (None, 125, 38)):
+        own = [r for r in s if r["dataset"] == name]
+        assert sum(r["member"] for r in own) == n and len(own) == 2 * n
+        assert {p: sum(r["part"] == p for r in own) for p in ("test", "train", "spare")} == {
+            "test": 2 * held, "train": 2 * min(100, n - held), "spare": 2 * max(n - held - 100, 0)}
     assert {r["split"] for r in s} == {"train", "test"}
-    assert len(attack.attack_sample(rows, "row_id").collect()) == 500
-    again = {r["row_id"] for r in attack.attack_sample(rows.repartition(3), "row_id", cap=100).collect()}
-    assert again == {r["row_id"] for r in s}
-    assert again != {r["row_id"] for r in attack.attack_sample(rows, "row_id", cap=100, seed=1).collect()}
+    again = {(r["dataset"], r["row_id"], r["part"]) for r in attack.attack_sample(both.repartition(3), "row_id", fit_rows=100).collect()}
+    assert again == {(r["dataset"], r["row_id"], r["part"]) for r in s}
+    assert again != {(r["dataset"], r["row_id"], r["part"]) for r in attack.attack_sample(both, "row_id", fit_rows=100, seed=1).collect()}
 
 
 def test_attack_features(spark):
@@ -224,7 +227,9 @@ def test_attack_finds_a_leak_and_nothing_without_one(spark):
         for run, shift in (("leaky", 2.0), ("safe", 0.0)):
             rows.append((run, i, member, part, [float(v) for v in rng.normal(member * shift, 1, 3)]))
     df = spark.createDataFrame(rows, "run_id string, row_id long, member int, part string, attack_features array<double>")
-    m = {r["run_id"]: r for r in attack.attack_metrics(attack.attack_scores(df, ["run_id"], "row_id"), ["run_id"]).collect()}
+    broken = df.where("run_id = 'safe'").withColumn("run_id", F.lit("broken")).withColumn("attack_features", F.array(F.lit(float("nan"))))
+    m = {r["run_id"]: r for r in attack.attack_metrics(attack.attack_scores(df.union(broken), ["run_id"], "row_id"), ["run_id"]).collect()}
+    assert set(m) == {"leaky", "safe"}
     assert m["leaky"]["attack_roc_auc"] > 0.95 and abs(m["safe"]["attack_roc_auc"] - 0.5) < 0.12
     for r in m.values():
         assert r["attack_advantage"] == pytest.approx(r["attack_roc_auc"] - 0.5, abs=6e-5)

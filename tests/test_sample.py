@@ -37,14 +37,13 @@ def test_mark_smallest_matches_sorting(spark, monkeypatch, cells):
     assert not any(r["none"] for r in got) and all(r["all"] for r in got)
 
 
-@pytest.mark.parametrize("direct", [0, 10 ** 6])
-@pytest.mark.parametrize("name", ["normal", "skewed", "ties", "constant", "single", "huge"])
-def test_quantiles_match_numpy(spark, monkeypatch, name, direct):
-    monkeypatch.setattr(ranking, "DIRECT_ROWS", direct)
+@pytest.mark.parametrize("name", ["normal", "skewed", "ties", "constant", "single", "huge", "close"])
+def test_quantiles_match_numpy(spark, name):
     rng = np.random.default_rng(3)
     x = {"normal": rng.normal(0, 1, 3001), "skewed": np.exp(rng.normal(0, 5, 2000)),
          "ties": rng.integers(-3, 3, 1000).astype(float), "constant": np.full(100, 2.5),
-         "single": np.array([7.0]), "huge": np.array([-1e300, 0.0, 1e-12, 1e300, 5.0])}[name]
+         "single": np.array([7.0]), "huge": np.array([-1e300, 0.0, 1e-12, 1e300, 5.0]),
+         "close": 1.0 + rng.random(3000) * 1e-9}[name]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "value double").select(
         F.lit("f").alias("feature"), "value")
     probs = [0.0, 0.01, 0.5, 0.77, 0.99, 1.0]
@@ -78,6 +77,43 @@ def test_resample_evens_out_classes(spark):
     assert all(abs(n - 2000) < 200 for n in counts.values())
 
 
+def test_resample_at_high_imbalance_and_without_labels(spark):
+    df = spark.range(300_001).withColumn("y", F.when(F.col("id") == 0, 1).when(F.col("id") > 1, 0))
+    counts = {r["y"]: r["count"] for r in sample.resample_balanced(df.where("id <> 1"), "y", "id").groupBy("y").count().collect()}
+    assert abs(counts[0] - 150_000) < 2_000 and abs(counts[1] - 150_000) <= 1
+    few = df.where("id < 10")
+    counts = {r["y"]: r["count"] for r in sample.resample_balanced(few, "y", "id").groupBy("y").count().collect()}
+    assert counts[None] in (3, 4) and counts[1] in (3, 4)
+
+
+def test_rows_without_stratum_are_a_stratum(spark):
+    df = spark.range(200).withColumn("label_multiclass", F.when(F.col("id") % 2 == 0, "A"))
+    assert {r[0]: r[1] for r in sample.stratified_subset(df, 50, "id").groupBy("label_multiclass").count().collect()} == {"A": 25, None: 25}
+    split = sample.add_split(df, "id").where("label_multiclass IS NULL").groupBy("split").count().collect()
+    assert {r[0]: r[1] for r in split} == {"train": 60, "val": 20, "test": 20}
+
+
+def test_running_totals_of_close_values(spark):
+    rng = np.random.default_rng(4)
+    x = np.unique(0.5 + rng.random(3000) * 1e-9)
+    df = spark.createDataFrame([("k" if i % 3 else None, float(v), i % 7) for i, v in enumerate(x)], "k string, at double, n int")
+    got = {(r["k"], r["at"]): r["n_before"] for r in ranking.running_before(df, ["k"], "at", ["n"]).collect()}
+    for k in ("k", None):
+        total = 0
+        for i, v in enumerate(x):
+            if ("k" if i % 3 else None) == k:
+                assert got[k, float(v)] == total
+                total += i % 7
+
+
+def test_smote_refuses_rows_without_neighbours(spark):
+    rows = [(i, [float(i)], c) for i, c in enumerate([0] * 20 + [1] * 6 + [2])]
+    with pytest.raises(ValueError, match="2"):
+        smote.smote(spark.createDataFrame(rows, "id long, x array<double>, y int"), "id", "x", "y")
+    with pytest.raises(ValueError, match="no class"):
+        smote.smote(spark.createDataFrame([*rows[:-1], (99, [1.0], None)], "id long, x array<double>, y int"), "id", "x", "y")
+
+
 def test_scaler_and_bounds(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(3, 2, (400, 2))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
-from sentinel.functions.storage import small_table
 from sentinel.operators import attack
 from sentinel.plans import evaluate, mia, reports
 from sentinel.schema import ATTACK_METRICS, ATTACK_SCHEMA, TARGET_METRICS
@@ -16,31 +15,33 @@ from workload.metric_queries import SQL_AUC, SQL_CLASS, SQL_CONF, SQL_RATES, SQL
 from workload.registry import ctes, query
 from workload.report_queries import SQL_NAME, SQL_RESULTS, r4, results
 
-CAP = 5000
+FIT_ROWS = 5000  # rows per side that fit an attacker; all others are scored
 EVERY = ("train", "val", "test")
 
-_SAMPLE = f"""sides AS (SELECT row_id, split, {I.sql_uniform('member', 'split', 'row_id')} AS u FROM rows
+_SAMPLE = f"""sides AS (SELECT dataset, row_id, split, {I.sql_uniform('member', 'split', 'row_id')} AS u FROM rows
   WHERE split IN ('train', 'test')),
-size AS (SELECT least({CAP}, min(c)) AS n FROM (SELECT count(*) AS c FROM sides GROUP BY split)),
-sample AS (SELECT row_id, split, CASE WHEN split = 'train' THEN 1 ELSE 0 END AS member,
-  CASE WHEN rn <= floor(n * 0.3e0 + 0.5e0) THEN 'test' ELSE 'train' END AS part FROM (
-  SELECT *, row_number() OVER (PARTITION BY split ORDER BY u, row_id) AS rn FROM sides) CROSS JOIN size WHERE rn <= n)"""
+size AS (SELECT dataset, min(c) AS n, floor(min(c) * 0.3e0 + 0.5e0) AS held FROM (
+  SELECT dataset, count(*) AS c FROM sides GROUP BY dataset, split) GROUP BY dataset),
+sample AS (SELECT dataset, row_id, split, CASE WHEN split = 'train' THEN 1 ELSE 0 END AS member,
+  CASE WHEN rn <= held THEN 'test' WHEN rn <= held + least(n - held, {FIT_ROWS}) THEN 'train' ELSE 'spare' END AS part FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset, split ORDER BY u, row_id) AS rn FROM sides) JOIN size USING (dataset) WHERE rn <= n)"""
 
 
-def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return I.labelled_rows(spark, sf).select("row_id", "split")
+def _rows(spark: SparkSession, sf: str, orders: bool = False) -> DataFrame:
+    return I.labelled_rows(spark, sf, orders).select("dataset", "row_id", "split")
 
 
-@query(ctes(I.sql_rows(), _SAMPLE) + "SELECT * FROM sample")
+@query(ctes(I.sql_rows(True), _SAMPLE) + "SELECT * FROM sample")
 def attack_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return attack.attack_sample(_rows(spark, sf), "row_id", CAP, I.SEED)
+    """Two data sets whose row ids overlap."""
+    return attack.attack_sample(_rows(spark, sf, True), "row_id", ["dataset"], FIT_ROWS, I.SEED)
 
 
 _CLIP = lambda p: f"least(greatest({p}, 1e-10), 1e0)"
 _TRUE = "CASE y_true " + " ".join(f"WHEN {c} THEN p{c}" for c in range(5)) + " END"
 
 
-@query(ctes(I.sql_rows(), I.sql_runs(I.FEW_RUNS), I.SQL_MULTI) + f"""SELECT run_id, row_id,
+@query(ctes(I.sql_rows(), I.sql_runs(), I.SQL_MULTI) + f"""SELECT run_id, row_id,
 {I.sql_round('best')} AS max_conf,
 {I.sql_round('-(' + ' + '.join(f"{_CLIP(f'p{c}')} * ln({_CLIP(f'p{c}')})" for c in range(5)) + ')')} AS entropy,
 {I.sql_round(f'-ln({_CLIP(_TRUE)})')} AS loss, CASE WHEN y_true = y_pred THEN 1e0 ELSE 0e0 END AS correct,
@@ -52,19 +53,19 @@ def attack_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # A threshold attack scores a row by the probability of its true class: no fit, so SQL can follow it.
-_SCORES = """scores AS (SELECT run_id, p.row_id, member, CASE WHEN y_true = 1 THEN score ELSE 1e0 - score END AS score,
+_SCORES = """scores AS (SELECT run_id, p.row_id, member, p.dataset, CASE WHEN y_true = 1 THEN score ELSE 1e0 - score END AS score,
   CASE WHEN (CASE WHEN y_true = 1 THEN score ELSE 1e0 - score END) > 0.5 THEN 1 ELSE 0 END AS y_pred
-  FROM preds p JOIN sample s ON p.row_id = s.row_id AND p.split = s.split WHERE part = 'test')"""
+  FROM preds p JOIN sample s ON p.dataset = s.dataset AND p.row_id = s.row_id AND p.split = s.split WHERE part = 'test')"""
 
 
-def sample_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The attack sample, at most 2 * CAP rows, evaluated once."""
-    return small_table(attack.attack_sample(_rows(spark, sf), "row_id", CAP, I.SEED), 2 * CAP)
+def sampled_predictions(spark: SparkSession, sf: str, orders: bool = False) -> DataFrame:
+    """Predictions of every run on all rows of the attack sample."""
+    rows = attack.attack_sample(_rows(spark, sf, orders), "row_id", ["dataset"], FIT_ROWS, I.SEED)
+    return I.predictions(spark, sf, EVERY, orders, chosen=rows).join(rows, ["dataset", "row_id", "split"])
 
 
-def threshold_scores(spark: SparkSession, sf: str, sample: DataFrame | None = None) -> DataFrame:
-    test = (sample_rows(spark, sf) if sample is None else sample).where("part = 'test'")
-    chosen = I.predictions(spark, sf, EVERY, chosen=test).join(test, ["row_id", "split"])
+def threshold_scores(spark: SparkSession, sf: str, sampled: DataFrame | None = None) -> DataFrame:
+    chosen = (sampled_predictions(spark, sf) if sampled is None else sampled).where("part = 'test'")
     return chosen.withColumn("score", F.get("probs", F.col("y_true"))).select(
         "run_id", "row_id", "member", "score", F.when(F.col("score") > 0.5, 1).otherwise(0).alias("y_pred"))
 
@@ -102,20 +103,19 @@ def attack_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 _TARGETS = {"target_accuracy": "accuracy", "target_f1_macro": "f1_macro", "target_roc_auc": "roc_auc",
             "target_false_positive_rate": "false_positive_rate", "target_detection_rate": "detection_rate"}
-RECORDS = SCORED + ", " + ",\n".join([
+RECORDS = ctes(I.sql_rows(True), I.sql_runs(), I.SQL_PREDS, _SAMPLE, _SCORES) + ", " + ",\n".join([
     _CURVE, _ATTACKS, I.SQL_RUN_META, "held AS (SELECT * FROM preds WHERE split = 'test')", SQL_CONF, SQL_CLASS,
     SQL_SCALARS, SQL_RATES, SQL_AUC, SQL_RESULTS.format(auc="a.roc_auc", join="JOIN auc a USING (run_id, split)"),
-    "attacks AS (SELECT a.*, (SELECT count(*) FROM sample WHERE member = 1) AS n_members, dataset, label_type, "
+    "attacks AS (SELECT a.*, (SELECT count(*) FROM sample s WHERE member = 1 AND s.dataset = results.dataset) AS n_members, dataset, label_type, "
     "model_name, epsilon, delta, " + ", ".join(f"{c} AS {n}" for n, c in _TARGETS.items()) +
     " FROM attacks0 a JOIN results USING (run_id))"]) + "\n"
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Attack records from the threshold attack."""
-    sample = sample_rows(spark, sf)
-    m = attack.attack_metrics(threshold_scores(spark, sf, sample), ["run_id"])
-    n = sample.where("member = 1").count()
-    return mia.attack_records(m.withColumn("n_members", F.lit(n).cast("bigint")), results(spark, sf))
+    sampled = sampled_predictions(spark, sf, True)
+    m = attack.attack_metrics(threshold_scores(spark, sf, sampled), ["run_id"])
+    return mia.attack_records(m.join(mia.sample_sizes(sampled), ["run_id"]), results(spark, sf, True))
 
 
 @query(RECORDS + "SELECT run_id, dataset, label_type, model_name AS target_model, epsilon, delta, n_members, "
@@ -159,8 +159,7 @@ def attack_series(spark: SparkSession, sf: str) -> DataFrame:
 @query(ctes(I.sql_rows(), I.sql_runs(), I.SQL_PREDS) + """SELECT DISTINCT run_id, model_name, epsilon FROM preds
 WHERE NOT (epsilon IS NULL OR model_name = 'dp_logistic_regression')""")
 def attack_pending(spark: SparkSession, sf: str) -> DataFrame:
-    runs = I.predictions(spark, sf, EVERY).select(
-        "run_id", "dataset", "label_type", "model_name", "epsilon").distinct()
+    runs = I.run_table(spark, sf).select("run_id", "dataset", "label_type", "model_name", "epsilon")
     done = runs.where("epsilon IS NULL OR model_name = 'dp_logistic_regression'").withColumnRenamed(
         "model_name", "target_model")
     key = [("dataset", "dataset"), ("label_type", "label_type"), ("model_name", "target_model"),
@@ -173,6 +172,6 @@ def mia_sweep(spark: SparkSession, sf: str) -> DataFrame:
     preds = I.predictions(spark, sf, EVERY)
     res = evaluate.result_rows(preds.where("split = 'test'"), I.run_table(spark, sf))
     done = spark.createDataFrame([], ATTACK_SCHEMA)
-    swept = mia.sweep(preds, _rows(spark, sf), res, done, cap=CAP, seed=I.SEED)
+    swept = mia.sweep(preds, _rows(spark, sf), res, done, I.run_table(spark, sf), fit_rows=FIT_ROWS, seed=I.SEED)
     return swept.select("run_id", "target_model", "epsilon", "n_members", "n_attack_train", "n_attack_test",
                         *[rnd(c, 4).alias(c) for c in ATTACK_METRICS])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import normalize_columns, rnd
-from sentinel.functions.storage import shared_dir
+from sentinel.functions.storage import list_dir, shared_dir
 from sentinel.operators import clean, labels
 from sentinel.plans import preprocess
 from sentinel.sources import raw, tables
@@ -191,9 +191,61 @@ def csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @query(CLEAN + f"SELECT {CLEAN_COLUMNS} FROM cleaned")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     root = _write_raw_csv(spark, sf)
-    rows = ingest.clean_stream(ingest.stream_raw(spark, root, "cic_ids2018"), "cic_ids2018")
-    ingest.run_available(rows, f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out").drop("dataset_source", "label_binary")
+    ingest.ingest_available(spark, root, "cic_ids2018", f"{root}/out", f"{root}/state")
+    return ingest.read_ingested(spark, f"{root}/out").drop("dataset_source", "label_binary")
+
+
+def _write_layouts(spark: SparkSession, sf: str) -> str:
+    """The events as files of three layouts: plain; two more columns in front; swapped, with short and over-long rows."""
+    root = f"{shared_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    e = I.read(spark, sf, "events")
+    value, user, kind = F.format_string("%.4f", "value"), F.col("user_id").cast("string"), F.col("event_type")
+    quoted = F.concat(F.lit('"'), kind, F.lit(',x"'))
+    lines = {
+        "Flow Value,User ID,Label": F.concat_ws(",", value, user, kind),
+        "Flow ID, Src IP,Flow Value,User ID,Label": F.concat_ws(",", F.col("event_id").cast("string"), F.lit("10.0.0.1"), value, user, quoted),
+        "User ID,Flow Value,Label": F.when(F.col("event_id") % 5 == 0, user).when(
+            F.col("event_id") % 7 == 0, F.concat_ws(",", user, value, kind, F.lit("more"))).otherwise(F.concat_ws(",", user, value, kind)),
+    }
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(f"{root}/cic_ids2018"))
+    for i, (header, line) in enumerate(lines.items()):
+        part = e.where(F.col("event_id") % 3 == i).select(line.alias(header))
+        part.write.option("header", True).option("sep", "\u0001").option("escapeQuotes", False).csv(f"{root}/layout{i}")
+        for k, name in enumerate(n for n in list_dir(spark, f"{root}/layout{i}") if n.endswith(".csv")):
+            fs.rename(path(f"{root}/layout{i}/{name}"), path(f"{root}/cic_ids2018/part{i}-{k}.csv"))
+    return root
+
+
+_LAYOUT_ROWS = """SELECT CASE WHEN event_id % 3 = 2 AND event_id % 5 = 0 THEN NULL ELSE round(value, 4) END AS flow_value,
+  CAST(user_id AS DOUBLE) AS user_id, CASE WHEN event_id % 3 = 1 THEN event_id END AS flow_id,
+  CASE WHEN event_id % 3 = 2 AND event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 1 THEN event_type || ',x' ELSE event_type END AS label
+FROM events WHERE NOT (event_id % 3 = 2 AND event_id % 5 <> 0 AND event_id % 7 = 0)"""
+
+
+def _layout_columns(df: DataFrame) -> DataFrame:
+    return df.select(F.round(F.col("flow_value").cast("double"), 4).alias("flow_value"), F.col("user_id").cast("double").alias("user_id"),
+                     F.col("flow_id").cast("long").alias("flow_id"), "label")
+
+
+@query(_LAYOUT_ROWS)
+def csv_ingest_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    return _layout_columns(raw.read_raw(spark, _write_layouts(spark, sf), "cic_ids2018"))
+
+
+@query(f"""SELECT label AS label_raw, CAST(flow_value AS FLOAT) AS flow_value, CAST(user_id AS FLOAT) AS user_id,
+CAST(flow_id AS FLOAT) AS flow_id FROM ({_LAYOUT_ROWS})""")
+def stream_ingest_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    root = _write_layouts(spark, sf)
+    ingest.ingest_available(spark, root, "cic_ids2018", f"{root}/out", f"{root}/state", files_per_batch=2)
+    return ingest.read_ingested(spark, f"{root}/out").select("label_raw", "flow_value", "user_id", "flow_id")
+
+
+@query("""SELECT count(*) FILTER (event_id % 3 = 2 AND event_id % 5 <> 0 AND event_id % 7 = 0) AS n_malformed, count(*) AS n_filled FROM events""")
+def malformed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    counts = raw.count_malformed(spark, _write_layouts(spark, sf), "cic_ids2018")
+    return counts.agg(F.sum("n_malformed").alias("n_malformed"), F.sum("n_filled").alias("n_filled"))
 
 
 @query(CLEAN + f""", u AS (SELECT DISTINCT {CLEAN_COLUMNS} FROM cleaned)
@@ -201,4 +253,4 @@ SELECT label_raw, label_multiclass, {_filled('u')}, CAST({I.SQL_BINARY} AS INTEG
 'cic_ids2018' AS dataset_source FROM u""")
 def processed_table(spark: SparkSession, sf: str) -> DataFrame:
     df, _ = preprocess.clean_table(I.raw_flows(spark, sf), "cic_ids2018")
-    return df.withColumn("label_binary", F.col("label_binary").cast("int"))
+    return df.drop("row_id").withColumn("label_binary", F.col("label_binary").cast("int"))

@@ -50,7 +50,6 @@ def run_list(epsilons=EPSILON_GRID) -> list[dict]:
 
 
 RUNS = run_list()
-FEW_RUNS = run_list((1.0,))
 
 
 # -- SQL pieces ---------------------------------------------------------------
@@ -222,11 +221,11 @@ def predictions(spark: SparkSession, sf: str, splits=("val", "test"), orders: bo
                 chosen: DataFrame | None = None) -> DataFrame:
     """Binary predictions of every run: run columns, row_id, split, y_true, y_pred, probs.
 
-    ``chosen`` restricts scoring to the (row_id, split) rows of a sample.
+    ``chosen`` restricts scoring to the (dataset, row_id, split) rows of a sample.
     """
     rows = labelled_rows(spark, sf, orders).where(F.col("split").isin(*splits))
     if chosen is not None:
-        rows = rows.join(F.broadcast(chosen.select("row_id", "split")), ["row_id", "split"])
+        rows = rows.join(chosen.select("dataset", "row_id", "split"), ["dataset", "row_id", "split"])
     signal = F.when(F.col("y") == 1, F.lit(0.5) + F.lit(0.5) * F.col("u1")).otherwise(
         F.lit(0.5) * F.col("u1"))
     q, no = F.col("r.q"), F.col("r.no")
@@ -238,7 +237,7 @@ def predictions(spark: SparkSession, sf: str, splits=("val", "test"), orders: bo
 
 
 def multi_predictions(spark: SparkSession, sf: str, splits=("val", "test")) -> DataFrame:
-    """Five-class predictions of six runs."""
+    """Five-class predictions of every run."""
     rows = labelled_rows(spark, sf).where(F.col("split").isin(*splits))
     code = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("label_multiclass")) - 1
     q, no = F.col("r.q"), F.col("r.no")
@@ -248,7 +247,7 @@ def multi_predictions(spark: SparkSession, sf: str, splits=("val", "test")) -> D
     total = F.aggregate("raw", F.lit(0.0), lambda a, v: a + v)
     probs = F.transform("raw", lambda v: v / F.col("total"))
     return (
-        rows.withColumn("code", code.cast("int")).withColumn("r", _run_structs(FEW_RUNS))
+        rows.withColumn("code", code.cast("int")).withColumn("r", _run_structs(RUNS))
         .withColumn("raw", raw).withColumn("total", total).withColumn("probs", probs)
         .select(run_id(), "dataset", F.lit("multiclass").alias("label_type"), "r.model_name", "r.epsilon",
                 "row_id", "split", F.col("code").alias("y_true"),

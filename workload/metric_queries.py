@@ -159,7 +159,7 @@ def roc_auc_ties(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(roc_auc(li, ["l_suppkey"], "s", F.col("l_returnflag") == "R"), ["l_suppkey"], ["roc_auc"])
 
 
-MULTI = ctes(I.sql_rows(), I.sql_runs(I.FEW_RUNS), I.SQL_MULTI,
+MULTI = ctes(I.sql_rows(), I.sql_runs(), I.SQL_MULTI,
              "held AS (SELECT * FROM multi WHERE split <> 'train')")
 _LONG = " UNION ALL ".join(
     f"SELECT run_id, split, {c} AS class, p{c} AS score, CASE WHEN y_true = {c} THEN 1 ELSE 0 END AS hit FROM held"

@@ -155,8 +155,6 @@ def dp_forest_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- accounting -----------------------------------------------------------------------
 
-SHORT_ORDERS = tuple(range(2, 33))
-
 
 def sql_rdp(source: str, orders: str, name: str = "rdp") -> str:
     """(rate, sigma, alpha, rdp) over the distinct settings of ``source``, by log-sum-exp over k."""
@@ -178,7 +176,6 @@ spent AS (SELECT {keys}, min(eps) AS epsilon FROM (SELECT {keys}, {_EPS_AT} AS e
   GROUP BY {keys})"""
 
 
-SQL_SHORT = "SELECT * FROM range(2, 33)"
 SQL_ORDERS = "SELECT unnest([" + ", ".join(str(a) for a in accountant.ORDERS) + "])"
 _PLAN = "(l_discount + 0.01) / 10"
 _STEPS = f"""steps AS (SELECT l_suppkey, {I.sql_round(_PLAN, 6)} AS rate, {I.sql_round('0.8e0 + l_tax * 10', 6)} AS sigma,
@@ -193,23 +190,23 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy("l_suppkey", "rate", "sigma").agg(F.count(F.lit(1)).alias("steps"))
 
 
-@query(ctes(_STEPS, sql_rdp("steps", SQL_SHORT)) +
+@query(ctes(_STEPS, sql_rdp("steps", SQL_ORDERS)) +
        f"SELECT rate, sigma, CAST(alpha AS INTEGER) AS alpha, {I.sql_round('rdp', 8)} AS rdp FROM rdp")
 def rdp_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return accountant.rdp(_steps(spark, sf), SHORT_ORDERS).withColumn("rdp", rnd("rdp", 8))
+    return accountant.rdp(_steps(spark, sf)).withColumn("rdp", rnd("rdp", 8))
 
 
-@query(ctes(_STEPS, sql_spent("l_suppkey", "steps", SQL_SHORT)) +
+@query(ctes(_STEPS, sql_spent("l_suppkey", "steps", SQL_ORDERS)) +
        f"SELECT l_suppkey, {I.sql_round('epsilon')} AS epsilon FROM spent")
 def rdp_epsilon(spark: SparkSession, sf: str) -> DataFrame:
-    spent = accountant.spent_epsilon(_steps(spark, sf), ["l_suppkey"], 1e-5, SHORT_ORDERS)
+    spent = accountant.spent_epsilon(_steps(spark, sf), ["l_suppkey"], 1e-5)
     return spent.select("l_suppkey", rnd("epsilon", 6).alias("epsilon"))
 
 
 @query(ctes("""steps AS (SELECT l_returnflag, epoch, 0.01e0 AS rate, 1.1e0 AS sigma,
   CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY epoch) AS BIGINT) AS steps FROM (
   SELECT l_returnflag, year(l_shipdate) AS epoch, count(*) AS n FROM lineitem GROUP BY ALL))""",
-            sql_spent("l_returnflag, epoch", "steps", SQL_SHORT)) +
+            sql_spent("l_returnflag, epoch", "steps", SQL_ORDERS)) +
        f"SELECT l_returnflag, epoch, {I.sql_round('epsilon')} AS epsilon FROM spent")
 def epsilon_by_epoch(spark: SparkSession, sf: str) -> DataFrame:
     years = I.read(spark, sf, "lineitem").groupBy(
@@ -218,7 +215,7 @@ def epsilon_by_epoch(spark: SparkSession, sf: str) -> DataFrame:
     so_far = F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("epoch"))
     steps = years.select("l_returnflag", "epoch", F.lit(0.01).alias("rate"), F.lit(1.1).alias("sigma"),
                          so_far.alias("steps"))
-    return accountant.spent_epsilon(steps, ["l_returnflag", "epoch"], 1e-5, SHORT_ORDERS).select(
+    return accountant.spent_epsilon(steps, ["l_returnflag", "epoch"], 1e-5).select(
         "l_returnflag", "epoch", rnd("epsilon", 6).alias("epsilon"))
 
 
@@ -275,28 +272,28 @@ def logreg(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def random_forest(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
-    model = baselines.train_forest(rows.where("split = 'train'"), "features", "y5", depth=5)
+    model = baselines.train_forest(rows.where("split = 'train'"), "features", "y5")
     return _scored(baselines.predict(model, rows, "features"), ["split"], "y5", "multiclass")
 
 
 @query()
 def gbt(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
-    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y", 2, rounds=10, depth=3)
+    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y", 2)
     return _scored(baselines.predict(model, rows, "features"), ["split"], "y", "binary")
 
 
 @query()
 def gbt_one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
-    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y5", 5, rounds=3, depth=3)
+    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y5", 5)
     return _scored(baselines.predict(model, rows, "features"), ["split"], "y5", "multiclass")
 
 
 @query()
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = scale.assemble(coded_flows(spark, sf), I.FLOW_FEATURES)
-    model = baselines.train_forest(rows.where("split = 'train'"), "features", "code", n_trees=20, depth=5)
+    model = baselines.train_forest(rows.where("split = 'train'"), "features", "code")
     return baselines.feature_importances(model, rows, I.FLOW_FEATURES)
 
 
@@ -305,7 +302,7 @@ def dp_logreg_sweep(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
     fit = rows.where("split = 'train'")
     bound = norm_bound(fit).first()["bound"]
-    models = dp_linear.train(fit, "features", "y", 2, bound, max_iter=40, seed=I.SEED)
+    models = dp_linear.train(fit, "features", "y", 2, bound, seed=I.SEED)
     return _scored(dp_linear.predict(rows, models), ["epsilon", "split"], "y", "binary")
 
 
@@ -314,7 +311,7 @@ def dp_logreg_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
     fit = rows.where("split = 'train'")
     bound = norm_bound(fit).first()["bound"]
-    models = dp_linear.train(fit, "features", "y5", 5, bound, epsilons=(1.0, 10.0), max_iter=40, seed=I.SEED)
+    models = dp_linear.train(fit, "features", "y5", 5, bound, epsilons=(1.0, 10.0), seed=I.SEED)
     return _scored(dp_linear.predict(rows, models), ["epsilon", "split"], "y5", "multiclass")
 
 

@@ -58,12 +58,14 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
         "weight", rnd("weight", 6))
 
 
-@query()
+@query(ctes(I.SQL_FLOWS, f"""weighted AS (SELECT row_id, label_multiclass, count(*) OVER () / (
+  (SELECT count(DISTINCT label_multiclass) FROM flows) * CAST(count(*) OVER (PARTITION BY label_multiclass) AS DOUBLE)) AS w FROM flows)""") +
+       f"""SELECT label_multiclass, row_id, CAST(floor(w + {I.sql_uniform('resample', 'row_id')}) AS BIGINT) AS copies
+FROM weighted WHERE floor(w + {I.sql_uniform('resample', 'row_id')}) > 0""")
 def weighted_resample(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.flows(spark, sf).select("row_id", "label_binary")
-    drawn = sample.resample_balanced(rows, "label_binary", "row_id", I.SEED)
-    return drawn.groupBy(F.col("label_binary").cast("int").alias("label_binary")).agg(
-        F.count(F.lit(1)).alias("n_rows"))
+    rows = I.flows(spark, sf).select("row_id", "label_multiclass")
+    drawn = sample.resample_balanced(rows, "label_multiclass", "row_id", I.SEED)
+    return drawn.groupBy("label_multiclass", "row_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 _TRAIN = f"""placed AS (SELECT *, {I.SQL_SPLIT.format(u=I.sql_uniform('part', "'events'", 'row_id'))} AS split
@@ -136,19 +138,31 @@ def clip_bounds(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.sum(F.get("x", F.lit(0))), 2).alias("qty"), F.round(F.sum(F.get("x", F.lit(1))), 2).alias("price"))
 
 
-@query("""SELECT vec_id, label, CAST(rn AS INTEGER) AS rank, neighbor, round(d, 5) AS distance FROM (
+_NEAR = """near AS (SELECT vec_id, label, CAST(rn AS INTEGER) AS rank, neighbor, d FROM (
 SELECT a.vec_id, a.label, b.vec_id AS neighbor, d, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS rn
 FROM (SELECT x.vec_id AS i, y.vec_id AS j,
   list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d
   FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id) p
-JOIN embeddings a ON a.vec_id = p.i JOIN embeddings b ON b.vec_id = p.j) WHERE rn <= 5""")
+JOIN embeddings a ON a.vec_id = p.i JOIN embeddings b ON b.vec_id = p.j) WHERE rn <= 5)"""
+
+
+@query(ctes(_NEAR) + "SELECT vec_id, label, rank, neighbor, round(d, 5) AS distance FROM near")
 def smote_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     e = I.read(spark, sf, "embeddings")
     return smote.nearest_neighbors(e, "vec_id", "embedding", "label").withColumn(
         "distance", F.round("distance", 5))
 
 
-@query()
+@query(ctes(_NEAR, f"""sizes AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS m FROM embeddings GROUP BY 1),
+planned AS (SELECT vec_id, label, embedding, m // n + CASE WHEN rn <= m % n THEN 1 ELSE 0 END AS copies FROM (
+  SELECT e.*, n, m, row_number() OVER (PARTITION BY e.label ORDER BY {I.sql_uniform('smote', 'e.vec_id')}, e.vec_id) AS rn
+  FROM embeddings e JOIN sizes s ON e.label = s.label WHERE m > 0)),
+one AS (SELECT vec_id, label, embedding, unnest(range(1, copies + 1)) AS copy FROM planned),
+k AS (SELECT vec_id, max(rank) AS k FROM near GROUP BY 1),
+picked AS (SELECT o.*, floor({I.sql_uniform('pick', 'o.vec_id', 'copy')} * k) + 1 AS rank, {I.sql_uniform('step', 'o.vec_id', 'copy')} AS s
+  FROM one o JOIN k ON o.vec_id = k.vec_id)""") + f"""SELECT p.label, p.vec_id AS origin, n.neighbor, p.copy, {I.sql_round(
+    "sqrt(list_sum([power(CAST(p.embedding[i] AS DOUBLE) + s * (CAST(b.embedding[i] AS DOUBLE) - CAST(p.embedding[i] AS DOUBLE)), 2) for i in range(1, len(p.embedding) + 1)]))")} AS norm
+FROM picked p JOIN near n ON n.vec_id = p.vec_id AND n.rank = p.rank JOIN embeddings b ON b.vec_id = n.neighbor""")
 def smote_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = I.read(spark, sf, "embeddings")
     return smote.smote(e, "vec_id", "embedding", "label", seed=I.SEED).select(
