@@ -57,7 +57,7 @@ def pack_group(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, pri
 
 def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int] = CAPACITIES, group_pieces: int = GROUP_PIECES,
          price: Callable[[int], float] = cost) -> DataFrame:
-    """doc_id, copy, piece, start and length in the document, bin_id, capacity, and offset in the bin."""
+    """doc_id, size and copy (which tell rows apart), piece, start and length in the document, bin_id, capacity, and offset in the bin."""
     largest = max(capacities)
     size = n_words(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
     rows = cut_lineage(numbered_copies(docs.select("doc_id", size.alias("size")), ["doc_id", "size"]))
@@ -76,9 +76,9 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: Sequence[int
         bins, final, offsets = pack_group(table.column("length").to_pylist(), capacities, price)
         group = table.column("_group").to_numpy()
         numbers = group * (1 << 32) + np.array(bins, np.int64)
-        return pa.table({**{c: table.column(c) for c in ("doc_id", "copy", "piece", "start", "length")},
+        return pa.table({**{c: table.column(c) for c in ("doc_id", "size", "copy", "piece", "start", "length")},
                          "bin_id": pa.array(numbers, pa.int64()), "capacity": pa.array(final, pa.int32()), "offset": pa.array(offsets, pa.int64())})
 
-    schema = f"doc_id {id_type}, copy long, piece long, start long, length long, bin_id long, capacity int, offset long"
+    schema = f"doc_id {id_type}, size long, copy long, piece long, start long, length long, bin_id long, capacity int, offset long"
     out = full.groupBy("_group").applyInArrow(packed, schema)
-    return out.union(none.select("doc_id", "copy", "piece", "start", "length", F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("long")))
+    return out.union(none.select("doc_id", "size", "copy", "piece", "start", "length", F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("long")))
