@@ -14,6 +14,7 @@ doc_id and text get equal results. Other columns pass through unchanged (n_chars
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,21 +44,34 @@ SYLLABLES = {
               ("κης", "δης", "πουλος", "ίδης", "άκης", "ακος", "ας", "ης", "ου", "έας", "τος", "λος", "νης", "ρος", "σης", "λας")),
 }
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
-_NAMES = "|".join(name for names in GIVEN.values() for name in names)
-_LEAD = "|".join(f"{x}" for x in (*TITLES, *(name for names in GIVEN.values() for name in names)))
-# What counts as an entity, in order of preference at one position. Every part is linear in the text.
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """Alternatives grouped by their first letter, longest first, so that a matcher tries few of them at one place."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+_GIVEN_NAMES = [name for names in GIVEN.values() for name in names]
+_NAMES, _LEAD = _any_of(_GIVEN_NAMES), _any_of([*TITLES, *_GIVEN_NAMES])
+# What counts as an entity, in order of preference at one position. An entity does not begin inside a word
+# or number, which ``ANY`` checks once for all; every part is linear in the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
-             r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "given": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_NAMES})(?= \p{{Lu}}\p{{Ll}})",
-    "surname": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_LEAD})\.? )\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+",
+    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "card": r"(?<!\+)[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "phone": r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
+             r"|(?<!\+)\+[0-9]{1,3}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
+    "given": rf"(?=\p{{Lu}})(?:{_NAMES})(?= \p{{Lu}}\p{{Ll}})",
+    "surname": rf"(?=\p{{Lu}}\p{{Ll}})(?<=(?:\p{{L}}|[rs]\.) )(?<=(?<!\p{{L}})(?:{_LEAD})\.? )\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = r"(?=[A-Za-z0-9(+._%\p{L}-])(?<![\p{L}0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# A cheap test that holds for every text with an entity: all kinds but names have a digit or an @, names follow a title or given name.
+MARKS = "[0-9@]|(?=[" + "".join(sorted({x[0] for x in (*TITLES, *_GIVEN_NAMES)})) + rf"])(?<!\p{{L}})(?:{_LEAD})\.? \p{{Lu}}\p{{Ll}}"
 MAX_ROUNDS = 40
 
 
@@ -184,18 +198,19 @@ def mention_table(mentions: DataFrame, secret: str) -> DataFrame:
 
 def replace(docs: DataFrame, secret: str, salts: int = 16) -> DataFrame:
     """``docs`` with surrogates in the texts, and n_entities. Only rows with entities are shuffled; a mention that very many rows hold is joined in parts."""
-    found = docs.where(F.col("text").isNotNull()).select(row_key("doc_id", "text").alias("_key"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_all"))
+    may = F.coalesce(F.col("text").rlike(MARKS), F.lit(False))
+    found = docs.where(may).select(row_key("doc_id", "text").alias("_key"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_all"))
     found = cut_lineage(found.where(F.size("_all") > 0).groupBy("_key").agg(F.first("_all").alias("_all")))
     single = found.select("_key", F.posexplode("_all").alias("_at", "mention")).withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int"))
     table = cut_lineage(mention_table(single, secret)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lists = single.join(table, ["mention", "_salt"]).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "replacement"))).alias("_new"))
     lists = lists.select("_key", F.transform("_new", lambda x: x["replacement"]).alias("_new"))
-    may = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     rest = docs.where(~may).withColumn("n_entities", F.lit(0).cast("long"))
-    changed = docs.where(may).withColumn("_key", row_key("doc_id", "text")).join(lists, "_key")
+    changed = docs.where(may).withColumn("_key", row_key("doc_id", "text")).join(lists, "_key", "left")
     pieces = F.split(F.col("text"), ANY, -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_new")), "_new", lambda p, r: F.concat(p, r)), ""), F.element_at(pieces, -1))
-    changed = changed.withColumn("text", new).withColumn("n_entities", F.size("_new").cast("long"))
+    changed = changed.withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(new))
+    changed = changed.withColumn("n_entities", F.coalesce(F.size("_new"), F.lit(0)).cast("long"))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        changed = changed.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rest.unionByName(changed.select(*docs.columns, "n_entities"))
