@@ -58,16 +58,6 @@ def training_table(df: DataFrame) -> DataFrame:
     return stored if spread is stored else cut_lineage(spread)
 
 
-def allow_method_split(spark: SparkSession) -> None:
-    """Let long generated expressions be cut into methods short enough to be compiled by the JVM.
-
-    Whole-stage code puts an operator's expressions into one method, and HotSpot never compiles a
-    method above 8000 bytes of bytecode. With this limit Spark evaluates such an operator outside
-    whole-stage code, in pieces; operators with short expressions are not affected.
-    """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -90,3 +80,9 @@ def first_line(spark: SparkSession, path: str, encoding: str) -> str | None:
         return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine()
     finally:
         stream.close()
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of temporary tables that this job wrote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -79,17 +79,28 @@ def calibrate_noise(plans: DataFrame, keys: Sequence[str], targets: Sequence[flo
         *keys, "target", F.col("_p._s").alias("sigma"), F.col("_p.epsilon").alias("epsilon"))
 
 
-def noise_for(spark: SparkSession, rate: float, steps: int, epsilon: float, delta: float) -> float:
-    """Noise multiplier for one training plan: grid search, refined twice around the best value."""
-    plan = spark.createDataFrame([(0, float(rate), int(steps))], "k int, rate double, steps long")
-    low, high = 0.2, 0.2 * 2.0 ** 14
-    found = None
+def noise_for_all(spark: SparkSession, rate: float, steps: int, epsilons: Sequence[float], delta: float) -> dict[float, float]:
+    """Noise multiplier of one training plan for every target: grid search, refined twice around the best value of each.
+
+    All targets share a job per refinement.
+    """
+    highest = 0.2 * 2.0 ** 14
+    spans = {float(e): (0.2, highest) for e in epsilons}
+    found: dict[float, float] = {}
     for points in (29, 33, 33):
-        grid = [low * (high / low) ** (i / (points - 1)) for i in range(points)]
-        row = calibrate_noise(plan, ["k"], [epsilon], delta, grid).first()
-        if row is None or row["sigma"] is None:
-            raise ValueError(f"no noise level up to {high} reaches epsilon {epsilon}")
-        found = row["sigma"]
-        i = grid.index(found)
-        low, high = (grid[i - 1] if i else found * 0.5), found
+        grids = {e: [low * (high / low) ** (i / (points - 1)) for i in range(points)] for e, (low, high) in spans.items()}
+        tried = spark.createDataFrame([(e, float(rate), s, s, int(steps)) for e, grid in grids.items() for s in grid],
+                                      "target double, rate double, sigma double, tried double, steps long")
+        spent = spent_epsilon(tried, ["target", "tried"], delta).where("epsilon <= target")
+        found = {r["target"]: r["sigma"] for r in spent.groupBy("target").agg(F.min("tried").alias("sigma")).collect()}
+        missed = [e for e in spans if e not in found]
+        if missed:
+            raise ValueError(f"no noise level up to {highest} reaches epsilon {missed}")
+        for e, grid in grids.items():
+            i = grid.index(found[e])
+            spans[e] = (grid[i - 1] if i else found[e] * 0.5), found[e]
     return found
+
+
+def noise_for(spark: SparkSession, rate: float, steps: int, epsilon: float, delta: float) -> float:
+    return noise_for_all(spark, rate, steps, [epsilon], delta)[float(epsilon)]

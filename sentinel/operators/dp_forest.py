@@ -12,12 +12,13 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import argmax, array_sql, double
 from sentinel.functions.rand import exponential, secret_seed, uniform
-from sentinel.functions.storage import allow_method_split
 from sentinel.schema import EPSILON_GRID
 
 
@@ -55,28 +56,42 @@ def random_forest_structure(n_features: int, n_trees: int = 10, depth: int = 5,
     )
 
 
-def leaf_sql(forest: Forest, tree: int, inputs: Sequence[str], lower: Sequence[float],
-             upper: Sequence[float]) -> str:
-    """Leaf number of a row in one tree as nested CASE WHEN; a row evaluates ``depth`` comparisons."""
-    inner = (1 << forest.depth) - 1
+def _thresholds(forest: Forest, lower: Sequence[float], upper: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Split feature and threshold of every inner node, one row per tree."""
+    features = np.array(forest.features, dtype=np.int64).reshape(forest.n_trees, -1)
+    low, high = np.array(lower, dtype=float), np.array(upper, dtype=float)
+    return features, low[features] + np.array(forest.positions).reshape(features.shape) * (high[features] - low[features])
 
-    def node(i: int) -> str:
-        if i >= inner:
-            return str(i - inner)
-        f = forest.features[tree][i]
-        threshold = lower[f] + forest.positions[tree][i] * (upper[f] - lower[f])
-        return (f"CASE WHEN {inputs[f]} > {double(threshold)} THEN {node(2 * i + 2)} "
-                f"ELSE {node(2 * i + 1)} END")
 
-    return node(0)
+def _descend(x: np.ndarray, tree: np.ndarray | int, features: np.ndarray, thresholds: np.ndarray, depth: int) -> np.ndarray:
+    """Leaf number of each row in one tree (or in a tree of its own). Values go right if above the threshold; missing ones go left."""
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(depth):
+        right = x[rows, features[tree, node]] > thresholds[tree, node]
+        node = 2 * node + 1 + right
+    return node - ((1 << depth) - 1)
+
+
+def _inputs(inputs: Sequence[str]) -> Column:
+    """The inputs as one array of doubles; NaN counts as larger than any number."""
+    return F.expr("array(" + ", ".join(f"CASE WHEN isnan({i}) THEN double('Infinity') ELSE CAST({i} AS DOUBLE) END" for i in inputs) + ")")
+
+
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.stack(x.to_numpy()).astype(np.float64)
 
 
 def route(df: DataFrame, forest: Forest, inputs: Sequence[str], lower: Sequence[float],
           upper: Sequence[float], name: str = "leaves") -> DataFrame:
     """Add the array of leaf numbers, one per tree. ``inputs`` are column names or SQL expressions."""
-    allow_method_split(df.sparkSession)
-    trees = ", ".join(leaf_sql(forest, t, inputs, lower, upper) for t in range(forest.n_trees))
-    return df.withColumn(name, F.expr(f"array({trees})"))
+    features, thresholds, depth, trees = *_thresholds(forest, lower, upper), forest.depth, forest.n_trees
+
+    @F.pandas_udf("array<int>")
+    def leaves(x: pd.Series) -> pd.Series:
+        m = _matrix(x)
+        return pd.Series(list(np.column_stack([_descend(m, t, features, thresholds, depth) for t in range(trees)]).astype(np.int32)))
+
+    return df.withColumn(name, leaves(_inputs(inputs)))
 
 
 def leaf_counts(train: DataFrame, forest: Forest, key: str, label: str, n_classes: int,
@@ -86,12 +101,15 @@ def leaf_counts(train: DataFrame, forest: Forest, key: str, label: str, n_classe
 
     Each row descends and counts in one tree only, chosen by its key.
     """
-    allow_method_split(train.sparkSession)
-    own_leaf = "CASE tree " + " ".join(
-        f"WHEN {t} THEN {leaf_sql(forest, t, inputs, lower, upper)}" for t in range(forest.n_trees)) + " END"
+    features, thresholds, depth = *_thresholds(forest, lower, upper), forest.depth
+
+    @F.pandas_udf("int")
+    def leaf(x: pd.Series, tree: pd.Series) -> pd.Series:
+        return pd.Series(_descend(_matrix(x), tree.to_numpy(), features, thresholds, depth).astype(np.int32))
+
     seen = (
         train.withColumn("tree", F.floor(uniform(seed, "tree", key) * forest.n_trees).cast("int"))
-        .select("tree", F.expr(own_leaf).alias("leaf"), F.col(label).cast("int").alias("class"))
+        .select("tree", leaf(_inputs(inputs), F.col("tree")).alias("leaf"), F.col(label).cast("int").alias("class"))
         .groupBy("tree", "leaf", "class").agg(F.count(F.lit(1)).alias("n"))
     )
     cells = forest.n_trees * forest.n_leaves * n_classes
@@ -139,7 +157,6 @@ def predict(df: DataFrame, forest: Forest, labels: DataFrame, n_classes: int,
     models = F.expr("explode(array(" + ", ".join(
         f"named_struct('epsilon', {double(e)}, 'labels', {array_sql(table[e])})" for e in sorted(table)) + "))")
     trees = range(forest.n_trees)
-    allow_method_split(df.sparkSession)
     voted = df.withColumn("_m", models).selectExpr("*", *[
         f"get(_m.labels, {t * forest.n_leaves} + get({leaves}, {t})) AS _v{t}" for t in trees])
     share = lambda c: "(" + " + ".join(f"CAST(_v{t} = {c} AS INT)" for t in trees) + f") / {forest.n_trees}D"

@@ -1,7 +1,7 @@
 """Differentially private neural network: Poisson-sampled lots, per-example clipping, Gaussian noise.
 
-Every row draws once which steps it takes part in. The lots are written to the shared folder by step,
-so a step reads its own lot and not the whole table. Per-example gradient norms of a dense layer are
+Every row draws which steps it takes part in. The lots of a window of steps are written to the shared folder by
+step, so a step reads its own lot and not the whole table. All budgets are trained on the same lots. Per-example gradient norms of a dense layer are
 |input| * |error|, so clipping needs no per-example gradient in memory. The noise is added once, to
 the sum, on the driver.
 """
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from sentinel.functions.cols import argmax
 from sentinel.functions.rand import fast_uniform, secret_seed
-from sentinel.functions.storage import shared_dir
-from sentinel.operators.accountant import noise_for, spent_epsilon
+from sentinel.functions.storage import remove_dir, shared_dir
+from sentinel.operators.accountant import noise_for_all, spent_epsilon
 from sentinel.operators.gradients import batch_matrix, sum_partials
 
 LOT_FILE_ROWS = 500_000
+LOT_WINDOW = 50
 
 
 @dataclass(frozen=True)
@@ -87,25 +88,39 @@ def clipped_gradient(x: np.ndarray, y: np.ndarray, weight: np.ndarray, theta: np
     return np.concatenate(parts), loss
 
 
-def assign_lots(rows: DataFrame, key: str, rate: float, steps: int, seed: str) -> DataFrame:
-    """One row per (step, participating row); every row joins every step independently."""
-    joined = F.filter(F.sequence(F.lit(1), F.lit(steps)),
+def assign_lots(rows: DataFrame, key: str, rate: float, begin: int, last: int, seed: str) -> DataFrame:
+    """One row per (step, participating row); every row joins every step from ``begin`` to ``last`` independently."""
+    joined = F.filter(F.sequence(F.lit(begin), F.lit(last)),
                       lambda s: fast_uniform(seed, F.col(key), s) < F.lit(rate))
     return rows.withColumn("step", F.explode(joined))
 
 
 def train(
-    rows: DataFrame, key: str, features: str, label: str, n_classes: int, epsilon: float,
+    rows: DataFrame, key: str, features: str, label: str, n_classes: int, epsilon: float, **settings,
+) -> Mlp:
+    """Train at one epsilon, see :func:`train_sweep`."""
+    return train_sweep(rows, key, features, label, n_classes, [epsilon], **settings)[float(epsilon)]
+
+
+def train_sweep(
+    rows: DataFrame, key: str, features: str, label: str, n_classes: int, epsilons: Sequence[float],
     delta: float = 1e-5, hidden: Sequence[int] = (128, 64), steps: int = 300, rate: float | None = None,
     epochs: float = 20.0, clip: float = 1.0, lr: float = 1e-3, balanced: bool = True,
-    seed: int | None = None,
-) -> Mlp:
-    """Train at one epsilon. ``rate`` defaults to epochs / steps; noise is set for the real plan."""
-    if not epsilon > 0:
-        raise ValueError(f"epsilon must be positive, got {epsilon}")
+    seed: int | None = None, window: int = LOT_WINDOW,
+) -> dict[float, Mlp]:
+    """One network per epsilon, trained together: they share the lots and the start and differ in their noise.
+
+    A step is one job that reads its lot once and returns the gradient sums of all networks. Lots are drawn and written
+    for ``window`` steps at a time and deleted after use, so at most rate * window copies of the table exist. ``rate``,
+    the share of rows in a lot, defaults to epochs / steps; on large tables choose a small one, the accountant gets it.
+    """
+    bad = [e for e in epsilons if not e > 0]
+    if bad:
+        raise ValueError(f"epsilon must be positive, got {bad}")
     spark = rows.sparkSession
     rate = min(1.0, epochs / steps) if rate is None else rate
-    sigma = noise_for(spark, rate, steps, epsilon, delta)
+    budgets = sorted(float(e) for e in epsilons)
+    sigma = noise_for_all(spark, rate, steps, budgets, delta)
 
     counts = {r["y"]: r["count"] for r in
               rows.groupBy(F.col(label).cast("int").alias("y")).count().collect()}
@@ -115,43 +130,50 @@ def train(
         for k in range(n_classes):
             weight[k] = n / (len(counts) * counts[k]) if counts.get(k) else 0.0
 
-    lot_seed = secret_seed(seed)
-    lots = assign_lots(
-        rows.select(F.col(key).alias("k"), F.col(features).alias("x"), F.col(label).cast("int").alias("y")),
-        "k", rate, steps, lot_seed)
-    files = max(1, int(np.ceil(rate * n / LOT_FILE_ROWS)))
-    path = f"{shared_dir(spark).rstrip('/')}/lots-{uuid.uuid4().hex}"
-    (lots.withColumn("x", F.transform("x", lambda v: v.cast("double")))
-     .repartition("step", F.pmod(F.xxhash64("k"), F.lit(files)))
-     .write.partitionBy("step").parquet(path))
-    stored = spark.read.parquet(path)
-
-    rng = np.random.default_rng(seed)
+    slim = rows.select(F.col(key).alias("k"), F.transform(features, lambda v: v.cast("double")).alias("x"), F.col(label).cast("int").alias("y"))
+    lot_seed, folder = secret_seed(seed), f"{shared_dir(spark).rstrip('/')}/lots-{uuid.uuid4().hex}"
     dim = len(rows.select(features).first()[0])
     sizes = [dim, *hidden, n_classes]
     shapes = tuple(zip(sizes[:-1], sizes[1:]))
-    theta = initial_weights(shapes, rng)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    history = []
-    for step in range(1, steps + 1):
-        now = theta
-
-        def partial(batch, now=now):
-            y = batch.column("y").to_numpy()
-            g, loss = clipped_gradient(batch_matrix(batch, "x"), y, weight[y], now, shapes, clip)
-            return np.concatenate([[loss], g])
-
-        total = sum_partials(stored.where(F.col("step") == step).select("x", "y"), partial, len(theta) + 1)
-        noisy = (total[1:] + rng.normal(0.0, sigma * clip, len(theta))) / (rate * n)
-        history.append(total[0] / (rate * n))
-        first = 0.9 * first + 0.1 * noisy
-        second = 0.999 * second + 0.001 * noisy ** 2
-        theta = theta - lr * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
-
-    plan = spark.createDataFrame([(0, float(rate), float(sigma), int(steps))],
-                                 "k int, rate double, sigma double, steps long")
-    actual = spent_epsilon(plan, ["k"], delta).first()["epsilon"]
-    return Mlp(shapes, theta, epsilon, actual, delta, sigma, tuple(history))
+    noise = {e: np.random.default_rng(None if seed is None else [seed, i]) for i, e in enumerate(budgets)}
+    start = initial_weights(shapes, np.random.default_rng(seed))
+    theta = np.tile(start, (len(budgets), 1))
+    first, second, history = np.zeros_like(theta), np.zeros_like(theta), [[] for _ in budgets]
+    try:
+        for begin in range(1, steps + 1, window):
+            last = min(begin + window - 1, steps)
+            stored = _stored_lots(slim, rate, begin, last, lot_seed, n, f"{folder}/{begin}")
+            for step in range(begin, last + 1):
+                def partial(batch, now=theta):
+                    y, x = batch.column("y").to_numpy(), batch_matrix(batch, "x")
+                    parts = [clipped_gradient(x, y, weight[y], t, shapes, clip) for t in now]
+                    return np.concatenate([np.append(loss, g) for g, loss in parts])
+
+                total = sum_partials(stored.where(F.col("step") == step).select("x", "y"), partial, theta.size + len(budgets))
+                total = total.reshape(len(budgets), -1)
+                drawn = np.stack([noise[e].normal(0.0, sigma[e] * clip, theta.shape[1]) for e in budgets])
+                noisy = (total[:, 1:] + drawn) / (rate * n)
+                for h, loss in zip(history, total[:, 0]):
+                    h.append(loss / (rate * n))
+                first = 0.9 * first + 0.1 * noisy
+                second = 0.999 * second + 0.001 * noisy ** 2
+                theta = theta - lr * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+            remove_dir(spark, f"{folder}/{begin}")
+    finally:
+        remove_dir(spark, folder)
+
+    plan = spark.createDataFrame([(e, float(rate), sigma[e], int(steps)) for e in budgets],
+                                 "target double, rate double, sigma double, steps long")
+    actual = {r["target"]: r["epsilon"] for r in spent_epsilon(plan, ["target"], delta).collect()}
+    return {e: Mlp(shapes, theta[i], e, actual[e], delta, sigma[e], tuple(history[i])) for i, e in enumerate(budgets)}
+
+
+def _stored_lots(slim: DataFrame, rate: float, begin: int, last: int, seed: str, n: int, path: str) -> DataFrame:
+    """The lots of steps ``begin`` to ``last``, written by step, in files of bounded size."""
+    files = max(1, int(np.ceil(rate * n / LOT_FILE_ROWS)))
+    lots = assign_lots(slim, "k", rate, begin, last, seed)
+    lots.repartition("step", F.pmod(F.xxhash64("k"), F.lit(files))).write.partitionBy("step").parquet(path)
+    return slim.sparkSession.read.parquet(path)
 
 
 def predict(df: DataFrame, model: Mlp, features: str = "features") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,15 +82,10 @@ def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepa
         return dp_forest.predict(rows, forest, labels_at, k), {}
 
     def dp_sgd(data: Prepared) -> Scored:
-        out, reached = None, {}
-        for e in sorted(settings.epsilons):
-            model = dp_mlp.train(data.train, "row_id", "features", "y", len(data.classes), e, settings.delta,
-                                 settings.hidden_layers, epochs=settings.epochs,
-                                 clip=settings.max_grad_norm, seed=seed)
-            reached[e] = model.actual_epsilon
-            part = dp_mlp.predict(data.rows, model)
-            out = part if out is None else out.unionByName(part)
-        return out, reached
+        models = dp_mlp.train_sweep(data.train, "row_id", "features", "y", len(data.classes), settings.epsilons, settings.delta,
+                                    settings.hidden_layers, epochs=settings.epochs, clip=settings.max_grad_norm, seed=seed)
+        parts = [dp_mlp.predict(data.rows, m) for m in models.values()]
+        return reduce(DataFrame.unionByName, parts), {e: m.actual_epsilon for e, m in models.items()}
 
     size = (settings.n_trees, settings.tree_depth, settings.seed)
     scored = lambda model, data: (baselines.predict(model, data.rows, "features"), {})
@@ -97,7 +93,7 @@ def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepa
         "logistic_regression": lambda d: scored(baselines.train_logistic(d.train, "features", "y"), d),
         "random_forest": lambda d: scored(baselines.train_forest(d.train, "features", "y", *size), d),
         "xgboost": lambda d: scored(
-            baselines.train_boosted(d.train, "features", "y", len(d.classes), *size), d),
+            baselines.train_boosted(d.train, "features", "y", len(d.classes), settings.boosting_rounds, *size[1:]), d),
         "dp_logistic_regression": dp_lr,
         "dp_random_forest": dp_rf,
         "dp_sgd": dp_sgd,

@@ -121,6 +121,7 @@ class Settings:
     null_threshold: float = 0.6
     epsilons: tuple[float, ...] = EPSILON_GRID
     n_trees: int = 100
+    boosting_rounds: int = 100
     tree_depth: int = 10
     hidden_layers: tuple[int, ...] = (128, 64)
     epochs: int = 20

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sentinel.functions import storage
 from sentinel.operators import accountant, attack, baselines, dp_forest, dp_linear, dp_mlp
 
 
@@ -171,8 +172,35 @@ def test_network_learns_and_reports_its_budget(points):
         dp_mlp.train(points, "row_id", "features", "y", 2, epsilon=0.0)
 
 
+def test_sweep_shares_lots_and_leaves_nothing_behind(spark, points, monkeypatch):
+    jobs, written = [], []
+    real_sum, real_lots = dp_mlp.sum_partials, dp_mlp._stored_lots
+    monkeypatch.setattr(dp_mlp, "sum_partials", lambda *a: jobs.append(1) or real_sum(*a))
+    monkeypatch.setattr(dp_mlp, "_stored_lots", lambda *a: written.append(real_lots(*a).count()) or real_lots(*a[:-1], a[-1] + "b"))
+    fit = points.where("split = 'train'")
+    models = dp_mlp.train_sweep(fit, "row_id", "features", "y", 2, (0.5, 5.0, 50.0), hidden=(8,), steps=6, rate=0.5, lr=0.05, seed=1, window=4)
+    assert sorted(models) == [0.5, 5.0, 50.0] and len(jobs) == 6 and len(written) == 2
+    assert sum(written) < 0.75 * 6 * fit.count()
+    assert all(0 < m.actual_epsilon <= e for e, m in models.items())
+    assert models[0.5].sigma > models[5.0].sigma > models[50.0].sigma
+    assert np.array_equal(models[5.0].theta, dp_mlp.train_sweep(
+        fit, "row_id", "features", "y", 2, (0.5, 5.0, 50.0), hidden=(8,), steps=6, rate=0.5, lr=0.05, seed=1)[5.0].theta)
+    assert not [n for n in storage.list_dir(spark, storage.shared_dir(spark)) if n.startswith("lots-")]
+
+
+def test_forest_runs_without_code_generation_fallback(spark, points):
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        forest = dp_forest.random_forest_structure(6, n_trees=10, depth=8)
+        counts = dp_forest.leaf_counts(points, forest, "row_id", "y", 2, *BOUNDED, 1)
+        votes = dp_forest.noisy_labels(counts, (1.0, 10.0), 1)
+        assert dp_forest.predict(dp_forest.route(points, forest, *BOUNDED), forest, votes, 2).count() == 2 * points.count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_lots_are_poisson_samples(spark):
-    lots = dp_mlp.assign_lots(spark.range(2000).withColumnRenamed("id", "k"), "k", 0.1, 20, "s")
+    lots = dp_mlp.assign_lots(spark.range(2000).withColumnRenamed("id", "k"), "k", 0.1, 1, 20, "s")
     sizes = [r["count"] for r in lots.groupBy("step").count().collect()]
     assert len(sizes) == 20 and all(130 < n < 270 for n in sizes) and len(set(sizes)) > 1
 
@@ -267,8 +295,8 @@ def test_all_families_end_to_end(spark, points):
     assert len(score) == 6 and score[("logistic_regression", None)] > 0.85
     assert score[("dp_logistic_regression", 50.0)] > score[("dp_logistic_regression", 1.0)]
     done = spark.createDataFrame([], ATTACK_SCHEMA)
-    found = mia.sweep(preds, subset.select("row_id", "split"), res, done, cap=100).collect()
-    assert len(found) == 6 and all(r["n_members"] == 100 and r["n_attack_test"] == 60 for r in found)
+    found = mia.sweep(preds, subset.select("row_id", "split"), res, done, fit_rows=100).collect()
+    assert len(found) == 6 and all(r["n_members"] == 200 and r["n_attack_test"] == 120 and r["n_attack_train"] == 200 for r in found)
     with pytest.raises(ValueError):
         train.run_models(data, "points", models=("svm",))
     with pytest.raises(ValueError):

@@ -234,7 +234,7 @@ def csv_ingest_layouts(spark: SparkSession, sf: str) -> DataFrame:
     return _layout_columns(raw.read_raw(spark, _write_layouts(spark, sf), "cic_ids2018"))
 
 
-@query(f"""SELECT label AS label_raw, CAST(flow_value AS FLOAT) AS flow_value, CAST(user_id AS FLOAT) AS user_id,
+@query(f"""SELECT coalesce(label, 'nan') AS label_raw, CAST(flow_value AS FLOAT) AS flow_value, CAST(user_id AS FLOAT) AS user_id,
 CAST(flow_id AS FLOAT) AS flow_id FROM ({_LAYOUT_ROWS})""")
 def stream_ingest_layouts(spark: SparkSession, sf: str) -> DataFrame:
     root = _write_layouts(spark, sf)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -317,12 +318,13 @@ def dp_logreg_multiclass(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dp_mlp_training(spark: SparkSession, sf: str) -> DataFrame:
+    """The network at every budget, on shared lots."""
     rows = vectors(spark, sf)
-    model = dp_mlp.train(rows.where("split = 'train'"), "row_id", "features", "y", 2, epsilon=5.0,
-                         hidden=(128, 64), steps=15, rate=0.3, lr=0.01, seed=I.SEED)
-    scored = _scored(dp_mlp.predict(rows, model), ["split"], "y", "binary")
-    return scored.withColumn("target_epsilon", F.lit(model.epsilon)).withColumn(
-        "actual_epsilon", F.lit(round(model.actual_epsilon, 4)))
+    models = dp_mlp.train_sweep(rows.where("split = 'train'"), "row_id", "features", "y", 2, EPSILON_GRID, seed=I.SEED)
+    preds = reduce(DataFrame.unionByName, [dp_mlp.predict(rows, m) for m in models.values()])
+    spent = spark.createDataFrame([(e, m.actual_epsilon) for e, m in models.items()], "epsilon double, actual double")
+    scored = _scored(preds, ["epsilon", "split"], "y", "binary").join(spent, "epsilon")
+    return scored.withColumn("actual_epsilon", rnd("actual", 4)).drop("actual")
 
 
 SMALL = replace(DEFAULTS, epsilons=(0.1, 1.0, 10.0), n_trees=20, tree_depth=5)
