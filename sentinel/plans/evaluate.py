@@ -30,3 +30,12 @@ def score_runs(scored: DataFrame, dataset: str, label_type: str, model_name: str
         run.alias("run_id"), F.lit(dataset).alias("dataset"), F.lit(label_type).alias("label_type"),
         F.lit(model_name).alias("model_name"), eps.alias("epsilon"), "row_id", "split", "y_true",
         "y_pred", "probs")
+
+
+SCALARS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "mcc", "roc_auc",
+           "false_positive_rate", "detection_rate", "false_negative_rate")
+
+
+def summarise(results: DataFrame) -> DataFrame:
+    """One flat row per run and split: the run's columns and every scalar metric."""
+    return results.select("run_id", "dataset", "label_type", "model_name", "epsilon", "split", *SCALARS)

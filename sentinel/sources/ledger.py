@@ -126,6 +126,17 @@ PARAMETER_SCHEMA = T.StructType([
 PARAMETER_KEY = ("dataset", "label_type", "model_name", "epsilon")
 
 
+def save_parameters(models: DataFrame, root: str) -> int:
+    """Add models (dataset, label_type, model_name, epsilon, names, values) to the store; equal keys are replaced."""
+    return save(models, root, PARAMETER_SCHEMA, PARAMETER_KEY)
+
+
+def stored_models(spark: SparkSession, root: str) -> DataFrame:
+    """Listing of the store with the size of each parameter vector."""
+    models = load(spark, root, PARAMETER_SCHEMA).where("model_name <> 'scaler'")
+    return list_models(models.select(*PARAMETER_KEY, F.size("values").cast("long").alias("n_values"), (F.size("values") * 8 / 1024).alias("size_kb")))
+
+
 def load_parameters(spark: SparkSession, root: str, dataset: str, label_type: str, model_name: str,
                     epsilon: float | None = None) -> list[float]:
     """Stored parameter vector of one model (a scaler is a model named 'scaler')."""

@@ -59,10 +59,15 @@ def reader_options(dialect: Dialect) -> dict[str, str]:
     }
 
 
-def over_long(n_columns: int, sep: str = ",") -> Column:
-    """Is the row malformed by having more fields than the schema? Separators in quotes do not count."""
+def over_long(columns: list[str], sep: str = ",") -> Column:
+    """Is the row malformed by having more fields than its schema? Separators in quotes do not count.
+
+    Spark refuses a scan of nothing but the corrupt record, as a plain count would make, so the first column is read, too.
+    """
+    names = [c for c in columns if c != CORRUPT]
     bare = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
-    return F.col(CORRUPT).isNotNull() & (F.size(F.split(bare, f"[{sep}]")) > n_columns)
+    read = F.length(F.concat(F.col(CORRUPT), F.coalesce(F.col(names[0]), F.lit("")))) > 0
+    return F.col(CORRUPT).isNotNull() & read & (F.size(F.split(bare, f"[{sep}]")) > len(names))
 
 
 def read_files(spark: SparkSession, files: list[str], dataset: str) -> DataFrame:
@@ -72,7 +77,7 @@ def read_files(spark: SparkSession, files: list[str], dataset: str) -> DataFrame
     with NULL; rows with more are left out, see :func:`count_malformed`.
     """
     sep = _dialect(dataset).sep
-    parts = [df.where(~over_long(n, sep)).drop(CORRUPT) for df, n in _scans(spark, files, dataset)]
+    parts = [df.where(~over_long(df.columns, sep)).drop(CORRUPT) for df in _scans(spark, files, dataset)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -86,8 +91,8 @@ def count_malformed(spark: SparkSession, raw_dir: str, dataset: str) -> DataFram
     """(file, n_malformed, n_filled): rows that :func:`read_raw` leaves out, and all rows whose first
     field is not empty."""
     sep = _dialect(dataset).sep
-    parts = [df.select(F.col("_metadata.file_name").alias("file"), over_long(n, sep).alias("_bad"), F.col(df.columns[0]).alias("_first"))
-             for df, n in _scans(spark, list_raw_files(spark, raw_dir, dataset), dataset)]
+    parts = [df.select(F.col("_metadata.file_name").alias("file"), over_long(df.columns, sep).alias("_bad"), F.col(df.columns[0]).alias("_first"))
+             for df in _scans(spark, list_raw_files(spark, raw_dir, dataset), dataset)]
     return reduce(DataFrame.union, parts).groupBy("file").agg(
         F.count_if("_bad").alias("n_malformed"), F.count("_first").alias("n_filled"))
 
@@ -98,9 +103,9 @@ def _dialect(dataset: str) -> Dialect:
     return DIALECTS[dataset]
 
 
-def _scans(spark: SparkSession, files: list[str], dataset: str) -> list[tuple[DataFrame, int]]:
+def _scans(spark: SparkSession, files: list[str], dataset: str) -> list[DataFrame]:
     dialect = _dialect(dataset)
-    return [(spark.read.options(**reader_options(dialect)).schema(text_schema(names)).csv(same), len(names))
+    return [spark.read.options(**reader_options(dialect)).schema(text_schema(names)).csv(same)
             for names, same in layouts(spark, files, dialect).items()]
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.storage import path_exists
+from sentinel.sources import raw
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -57,3 +59,17 @@ def export_csv(report: DataFrame, path: str) -> None:
     """A report table as one CSV file with header."""
     report.coalesce(1).write.mode("overwrite").option("header", True).option(
         "encoding", "UTF-8").csv(path)
+
+
+def stage_status(spark: SparkSession, raw_dir: str, out_dir: str, dataset: str) -> DataFrame:
+    """(stage, complete, n_rows) of a data set: raw files, processed table, subset, results. A missing stage has 0 rows."""
+    out = out_dir.rstrip("/")
+    paths = {"processed": f"{out}/processed/{dataset}", "subset": f"{out}/subsets/{dataset}", "results": f"{out}/results/{dataset}"}
+    done = {stage: is_complete(spark, path) for stage, path in paths.items()}
+    has_raw = path_exists(spark, f"{raw_dir.rstrip('/')}/{dataset}")
+    parts = [raw.read_raw(spark, raw_dir, dataset).select(F.lit("raw").alias("stage"))] if has_raw else []
+    parts += [spark.read.parquet(paths[stage]).select(F.lit(stage).alias("stage")) for stage, complete in done.items() if complete]
+    known = spark.createDataFrame([("raw", has_raw), *done.items()], "stage string, complete boolean")
+    none = spark.createDataFrame([], "stage string")
+    counts = reduce(DataFrame.union, parts, none).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counts, "stage", "left").select("stage", "complete", F.coalesce("n", F.lit(0)).alias("n_rows"))

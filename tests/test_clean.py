@@ -143,6 +143,7 @@ def test_files_are_aligned_by_their_own_headers(spark, tmp_path):
     write_csv(folder, "b.csv", "Flow ID,Src IP,Dst Port,Flow Duration,Label", ["x,10.0.0.1,443,2.5,Bot", "y,10.0.0.2,444,3.5,Bot,long"])
     write_csv(folder, "c.csv", "Flow Duration, Dst  Port ,Label", ['9.5,8080,"Benign"'])
     rows = raw.read_raw(spark, str(tmp_path), "cic_ids2018").orderBy("dst_port").collect()
+    assert raw.read_raw(spark, str(tmp_path), "cic_ids2018").count() == 4
     assert [(r["dst_port"], r["flow_duration"], r["label"], r["src_ip"]) for r in rows] == [
         ("443", "2.5", "Bot", "10.0.0.1"), ("80", "1.5", "Benign", None), ("8080", "9.5", "Benign", None), ("81", None, None, None)]
     bad = {r["file"]: (r["n_malformed"], r["n_filled"]) for r in raw.count_malformed(spark, str(tmp_path), "cic_ids2018").collect()}

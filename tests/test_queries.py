@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from workload import registry
 from workload.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {n: q for n, q in entry.queries().items() if n in registry.QUERIES}, registry.SQL
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from sentinel.functions.cols import normalize_columns, rnd
 from sentinel.functions.storage import list_dir, shared_dir
 from sentinel.operators import clean, labels
 from sentinel.plans import preprocess
+from sentinel.schema import DEFAULTS
 from sentinel.sources import raw, tables
 from sentinel.streaming import ingest
 from workload import inputs as I
@@ -248,6 +250,39 @@ def malformed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return counts.agg(F.sum("n_malformed").alias("n_malformed"), F.sum("n_filled").alias("n_filled"))
 
 
+SUBSET_ROWS = 500
+_QUOTA = f""", u AS (SELECT DISTINCT {CLEAN_COLUMNS} FROM cleaned),
+c AS (SELECT label_multiclass, count(*) AS n FROM u GROUP BY 1),
+q AS (SELECT label_multiclass, floor(n / CAST(sum(n) OVER () AS DOUBLE) * {SUBSET_ROWS}e0) AS q FROM c),
+t AS (SELECT *, floor(q * 0.2e0 + 0.5e0) AS test FROM q),
+v AS (SELECT *, floor((q - test) * 0.25e0 + 0.5e0) AS val FROM t)"""
+
+
+def _staged(spark: SparkSession, sf: str) -> str:
+    """Raw files, processed table and subset of one data set in a new folder."""
+    root = _write_raw_csv(spark, sf)
+    preprocess.run_preprocessing(spark, root, root, "cic_ids2018")
+    preprocess.run_sampling(spark, root, "cic_ids2018", replace(DEFAULTS, subset_size=SUBSET_ROWS, seed=I.SEED))
+    return root
+
+
+@query(CLEAN + _QUOTA + """SELECT label_multiclass, split, CAST(n_rows AS BIGINT) AS n_rows FROM (
+SELECT label_multiclass, 'test' AS split, test AS n_rows FROM v UNION ALL SELECT label_multiclass, 'val', val FROM v
+UNION ALL SELECT label_multiclass, 'train', q - test - val FROM v) WHERE n_rows > 0""")
+def processed_to_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotas hold exactly although filled gaps make processed rows equal."""
+    subset = tables.read_table(spark, f"{_staged(spark, sf)}/subsets/cic_ids2018")
+    return subset.groupBy("label_multiclass", "split").agg(F.countDistinct("row_id").alias("n_rows"))
+
+
+@query(CLEAN + _QUOTA + """SELECT 'raw' AS stage, true AS complete, count(*) AS n_rows FROM events
+UNION ALL SELECT 'processed', true, count(*) FROM u UNION ALL SELECT 'subset', true, CAST(sum(q) AS BIGINT) FROM q
+UNION ALL SELECT 'results', false, 0""")
+def stage_status(spark: SparkSession, sf: str) -> DataFrame:
+    root = _staged(spark, sf)
+    return tables.stage_status(spark, root, root, "cic_ids2018")
+
+
 @query(CLEAN + f""", u AS (SELECT DISTINCT {CLEAN_COLUMNS} FROM cleaned)
 SELECT label_raw, label_multiclass, {_filled('u')}, CAST({I.SQL_BINARY} AS INTEGER) AS label_binary,
 'cic_ids2018' AS dataset_source FROM u""")

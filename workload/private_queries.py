@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
-from sentinel.functions.storage import cut_lineage
+from sentinel.functions.storage import cut_lineage, shared_dir
 from sentinel.operators import accountant, baselines, dp_forest, dp_linear, dp_mlp, scale
 from sentinel.operators.metrics import evaluate
 from sentinel.operators.sample import add_split
@@ -17,6 +18,7 @@ from sentinel.operators.scale import norm_bound
 from sentinel.plans import evaluate as evaluate_runs
 from sentinel.plans import train
 from sentinel.schema import DEFAULTS, EPSILON_GRID
+from sentinel.sources import ledger
 from workload import inputs as I
 from workload.registry import ctes, query
 
@@ -124,6 +126,39 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return dp_forest.predict(held.withColumn("y_true", F.col("code")), FOREST, labels, N_CLASSES)
 
 
+def _store(spark: SparkSession, sf: str) -> str:
+    """Scaler and private forests of every budget, saved as parameter vectors."""
+    rows, bounded = forest_inputs(spark, sf)
+    labels = dp_forest.noisy_labels(_counts(rows, bounded), EPSILON_GRID, I.SEED)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("tree", "leaf", "label"))), lambda s: s["label"].cast("double"))
+    forests = labels.groupBy("epsilon").agg(ordered.alias("values")).select(
+        F.lit("dp_random_forest").alias("model_name"), "epsilon", F.lit(None).cast("array<string>").alias("names"), "values")
+    pairs = F.array_sort(F.collect_list(F.struct("feature", "mean")))
+    scaler = scale.fit_scaler(rows.where("split = 'train'"), I.FLOW_FEATURES).agg(pairs.alias("p")).select(
+        F.lit("scaler").alias("model_name"), F.lit(None).cast("double").alias("epsilon"), F.col("p.feature").alias("names"), F.col("p.mean").alias("values"))
+    root = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    meta = F.lit("events").alias("dataset"), F.lit("multiclass").alias("label_type")
+    ledger.save_parameters(forests.select(*meta, "*"), root)
+    ledger.save_parameters(scaler.select(*meta, "*"), root)
+    return root
+
+
+@query(FOREST_SQL + ", " + _LABELS + f"""SELECT 'dp_random_forest' AS model_name, epsilon, tree * {FOREST.n_leaves} + leaf AS position,
+CAST(label AS DOUBLE) AS value FROM leaf_labels UNION ALL SELECT 'scaler', NULL, row_number() OVER (ORDER BY feature) - 1, {I.sql_round('mean')}
+FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean FROM coded WHERE split = 'train'" for c in I.FLOW_FEATURES) + ")")
+def model_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters read back from the store."""
+    stored = ledger.load(spark, _store(spark, sf), ledger.PARAMETER_SCHEMA)
+    return stored.select("model_name", "epsilon", F.posexplode("values").alias("position", "value")).select(
+        "model_name", "epsilon", F.col("position").cast("bigint").alias("position"), rnd("value", 6).alias("value"))
+
+
+@query(FOREST_SQL + ", " + _LABELS + """SELECT 'events' AS dataset, 'multiclass' AS label_type, 'dp_random_forest' AS model_name, epsilon,
+count(*) AS n_values, count(*) * 8 / 1024e0 AS size_kb FROM leaf_labels GROUP BY epsilon""")
+def run_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.stored_models(spark, _store(spark, sf))
+
+
 _SHARES = ", ".join(f"sum(CASE WHEN label = {c} THEN 1 ELSE 0 END) / 10e0 AS p{c}" for c in range(N_CLASSES))
 _SHARE_LONG = " UNION ALL ".join(
     f"SELECT epsilon, split, {c} AS class, p{c} AS score, CASE WHEN code = {c} THEN 1 ELSE 0 END AS hit FROM shares"

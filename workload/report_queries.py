@@ -75,13 +75,11 @@ def loss_bands(spark: SparkSession, sf: str) -> DataFrame:
     return reports.loss_bands(reports.tradeoff_table(results(spark, sf, auc=False)))
 
 
-@query(PLAIN + f"""SELECT dataset, label_type, model_name, epsilon, {', '.join(
-    f'{r4(m)} AS {m}' for m in ('accuracy', 'f1_macro', 'f1_weighted', 'precision_macro', 'recall_macro', 'mcc'))}
+@query(FULL + f"""SELECT dataset, label_type, model_name, epsilon, {', '.join(f'{r4(m)} AS {m}' for m in evaluate.SCALARS)}
 FROM results""")
 def summarise_results(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "mcc")
-    return results(spark, sf, auc=False).select("dataset", "label_type", "model_name", "epsilon",
-                                                *[rnd(m, 4).alias(m) for m in names])
+    flat = evaluate.summarise(results(spark, sf))
+    return flat.select("dataset", "label_type", "model_name", "epsilon", *[rnd(m, 4).alias(m) for m in evaluate.SCALARS])
 
 
 @query(PLAIN + ", " + LR + ", " + BEST + f"""SELECT dataset, label_type, base_model AS best_model,
@@ -307,15 +305,6 @@ def pipeline_status(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.pipeline_status(done, EPSILON_GRID)
 
 
-@query(PLAIN + f"""SELECT model_name, epsilon, {I.sql_round('train_time_s', 1)} AS size_kb,
-row_number() OVER (ORDER BY {' '.join(['CASE model_name'] + [f"WHEN '{m}' THEN {i}" for i, m in enumerate(DISPLAY_NAMES)] + ['END'])},
-epsilon NULLS FIRST) AS position FROM run_meta""")
-def run_listing(spark: SparkSession, sf: str) -> DataFrame:
-    models = I.run_table(spark, sf).select("model_name", "epsilon", rnd("train_time_s", 1).alias("size_kb"))
-    order = Window.orderBy(ledger.run_rank(), F.col("epsilon").asc_nulls_first())  # one row per run
-    return ledger.list_models(models).withColumn("position", F.row_number().over(order).cast("bigint"))
-
-
 # -- data overview -----------------------------------------------------------------------
 
 def subset(spark: SparkSession, sf: str) -> DataFrame:
