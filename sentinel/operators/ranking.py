@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,10 +174,10 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     columns = "feature", "prob", "h", "n", "side", "rank", "lo", "hi"
     hit = F.expr("rank >= _before AND rank < _before + _rows")
     found = wanted.select("*", "_p.prob", "_p.h").where(hit).withColumn("rank", F.col("rank") - F.col("_before")).select(*columns)
-    schema, spots = found.schema, [tuple(r) for r in found.collect()]
-    while any(lo < hi for *_, lo, hi in spots):
-        done = [s for s in spots if s[-2] == s[-1]]
-        searched = spark.createDataFrame([s for s in spots if s[-2] < s[-1]], schema)
+    schema, spots = found.schema, found.toArrow()
+    while pc.any(pc.less(spots["lo"], spots["hi"])).as_py():
+        done = spots.filter(pc.equal(spots["lo"], spots["hi"]))
+        searched = spark.createDataFrame(spots.filter(pc.less(spots["lo"], spots["hi"])), schema)
         ranges = searched.select("feature", "lo", "hi").distinct().withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
         near = rows.join(ranges, "feature").where("value >= _lo AND value <= _hi")
         # Halves first, so that the width of no range overflows.
@@ -185,7 +187,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
         inner = inner.withColumn("_before", F.sum("_rows").over(over) - F.col("_rows"))
         asked = searched.select("feature", "prob", "h", "n", "side", "rank", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
         found = inner.join(asked, ["feature", "_lo", "_hi"]).where(hit).withColumn("rank", F.col("rank") - F.col("_before")).select(*columns)
-        spots = done + [tuple(r) for r in found.collect()]
+        spots = pa.concat_tables([done, found.toArrow().cast(done.schema)])
     value = F.max(F.when(F.col("side") == 0, F.col("lo"))), F.max(F.when(F.col("side") == 1, F.col("lo")))
     return spark.createDataFrame(spots, schema).groupBy("feature", "prob").agg(
         F.max("n").alias("n"), (value[0] + (value[1] - value[0]) * (F.max("h") - F.floor(F.max("h")))).alias("quantile"))
