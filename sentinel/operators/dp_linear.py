@@ -30,13 +30,21 @@ CURVATURE = 0.25  # largest second derivative of the logistic loss
 
 @dataclass(frozen=True)
 class LinearModels:
-    """Weights per epsilon (None = not private), shape (problems, d + 1), on unscaled features."""
+    """Weights per epsilon (None = not private), shape (problems, d + 1), on unscaled features.
+
+    The privacy of objective perturbation holds at the minimiser. ``residuals`` has the final gradient norm per epsilon,
+    relative to the start; a model with a large one is not the minimiser and must not be called private.
+    """
 
     epsilons: tuple[float | None, ...]
     weights: tuple[np.ndarray, ...]
     n_classes: int
     norm_bound: float
     passes: int
+    residuals: tuple[float, ...]
+
+    def converged(self, tolerance: float = 1e-3) -> bool:
+        return max(self.residuals) <= tolerance
 
 
 def perturbation(epsilon: float, n: int, reg: float, dim: int,
@@ -142,9 +150,10 @@ def train(
         if not moved:
             break
     unscaled = w / radius
+    residual = np.linalg.norm(grad, axis=1) / scale
     return LinearModels(
         tuple(epsilons), tuple(unscaled[i * per_eps:(i + 1) * per_eps] for i in range(len(epsilons))),
-        n_classes, norm_bound, passes)
+        n_classes, norm_bound, passes, tuple(float(residual[i * per_eps:(i + 1) * per_eps].max()) for i in range(len(epsilons))))
 
 
 def _two_loop(grad: np.ndarray, memory: list, inverse0: np.ndarray) -> np.ndarray:

@@ -68,6 +68,8 @@ def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepa
         bound = scale.norm_bound(data.train).first()["bound"]
         models = dp_linear.train(data.train, "features", "y", len(data.classes), bound,
                                  settings.epsilons, seed=seed)
+        if not models.converged():
+            raise RuntimeError(f"private logistic regression did not reach its minimum, residuals {models.residuals}")
         return dp_linear.predict(data.rows, models), {}
 
     def dp_rf(data: Prepared) -> Scored:

@@ -342,12 +342,43 @@ def dp_logreg_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(dp_linear.predict(rows, models), ["epsilon", "split"], "y", "binary")
 
 
+_SPLIT_VECTORS = f"vectors AS (SELECT vec_id, {I.SQL_SPLIT.format(u=I.sql_uniform('part', 'vec_id'))} AS split FROM embeddings)"
+
+
+def _sound(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per run, and how many of them have probabilities that do not sum to 1 or a class that is not the likeliest."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    bad = (F.abs(total - 1) > 1e-9) | (F.get("probs", F.col("y_pred")) < F.array_max("probs"))
+    return preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad"))
+
+
+@query(ctes(_SPLIT_VECTORS) + f"""SELECT epsilon, split, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad, 0e0 AS residual
+FROM vectors CROSS JOIN (VALUES {_EPS}) e(step, epsilon) GROUP BY ALL""")
+def dp_logreg_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Every budget's model scores every row, gives probabilities, and is at its minimum."""
+    rows = vectors(spark, sf)
+    fit = rows.where("split = 'train'")
+    models = dp_linear.train(fit, "features", "y", 2, norm_bound(fit).first()["bound"], seed=I.SEED)
+    residuals = spark.createDataFrame(list(zip(models.epsilons, models.residuals)), "epsilon double, residual double")
+    return _sound(dp_linear.predict(rows, models), ["epsilon", "split"]).join(residuals, "epsilon").withColumn("residual", rnd("residual", 3))
+
+
+@query(ctes(_SPLIT_VECTORS) + """SELECT model, split, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad
+FROM vectors CROSS JOIN (VALUES ('logistic_regression'), ('random_forest')) m(model) GROUP BY ALL""")
+def baseline_properties(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark, sf)
+    fit = rows.where("split = 'train'")
+    found = {"logistic_regression": baselines.train_logistic(fit, "features", "y"), "random_forest": baselines.train_forest(fit, "features", "y")}
+    parts = [_sound(baselines.predict(m, rows, "features"), ["split"]).withColumn("model", F.lit(name)) for name, m in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def dp_logreg_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
     fit = rows.where("split = 'train'")
     bound = norm_bound(fit).first()["bound"]
-    models = dp_linear.train(fit, "features", "y5", 5, bound, epsilons=(1.0, 10.0), seed=I.SEED)
+    models = dp_linear.train(fit, "features", "y5", 5, bound, seed=I.SEED)
     return _scored(dp_linear.predict(rows, models), ["epsilon", "split"], "y5", "multiclass")
 
 
