@@ -66,7 +66,7 @@ def test_mined_rules_against_counting_all_token_sets(spark):
         fits = [x for x in rules.values() if set(x["needs"]) <= set(r["t"])]
         best = max(fits, key=lambda x: (x["confidence"], x["support"], x["rule"]))["rule"] if fits else None
         assert out[r["page_id"]]["mined_rule"] == best
-    assert out[1]["verdict"] == out[2]["verdict"] == "block" and out[3]["verdict"] == out[4]["verdict"] == "allow" and out[5]["verdict"] == "allow"
+    assert out[1]["verdict"] == out[2]["verdict"] == "block" and out[3]["verdict"] == out[4]["verdict"] == "allow" and out[5]["verdict"] == "block"
 
 
 def test_no_labels_and_empty(spark):
