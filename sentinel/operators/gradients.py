@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,14 +35,21 @@ def sum_partials(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray],
             if b.num_rows:
                 acc += partial(b)
         slot = TaskContext.get().partitionId() % fan
-        yield pa.RecordBatch.from_pydict(
-            {"slot": pa.array([slot], pa.int32()), "acc": pa.array([acc], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), _row(acc)], ["slot", "acc"])
 
-    def per_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"acc": [np.sum(np.stack(pdf["acc"].to_numpy()), axis=0)]})
+    def per_slot(table: pa.Table) -> pa.Table:
+        return pa.table([_row(_total(table, size))], ["acc"])
 
     partials = df.mapInArrow(per_task, "slot int, acc array<double>")
     if fan > 1:
-        partials = partials.groupBy("slot").applyInPandas(per_slot, "acc array<double>")
-    rows = partials.select("acc").collect()
-    return np.sum([np.asarray(r["acc"]) for r in rows], axis=0) if rows else np.zeros(size)
+        partials = partials.groupBy("slot").applyInArrow(per_slot, "acc array<double>")
+    return _total(partials.select("acc").toArrow(), size)
+
+
+def _row(values: np.ndarray) -> pa.Array:
+    """One list<double> value, without Python objects per number."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+
+
+def _total(table: pa.Table, size: int) -> np.ndarray:
+    return sum((chunk.flatten().to_numpy().reshape(-1, size).sum(axis=0) for chunk in table.column("acc").chunks), np.zeros(size))
