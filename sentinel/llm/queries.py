@@ -50,7 +50,7 @@ def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     pages, labels = _table(spark, sf, "pages"), _table(spark, sf, "labels")
     named = pages.select("url", F.regexp_extract("url", r"/([0-9]{1,18})(?:[^0-9/][^/]*)?/?$", 1).try_cast("long").alias("doc_id"))
     labelled = named.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    return url_rules.judge(pages, URL_RULES, url_rules.mine(labelled))
+    return url_rules.judge(pages, URL_RULES, url_rules.mine(labelled, max_tokens=None))
 
 
 def op8_pivotal_mixing(spark: SparkSession, sf: str) -> DataFrame:

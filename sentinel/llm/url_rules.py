@@ -67,19 +67,33 @@ def tokens(url: Column) -> Column:
     return F.when(F.coalesce(host != "", F.lit(False)), everything).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, least_rows: int = 20, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def _without_idle_tokens(rules: DataFrame) -> DataFrame:
+    """Rules without those that have a rule of one token less and at least the same confidence."""
+    shorter = rules.select(F.col("needs").alias("_needs"), F.col("confidence").alias("_least"))
+    longer = rules.select("needs", "confidence", F.explode("needs").alias("_token")).withColumn("_needs", F.array_remove("needs", F.col("_token")))
+    idle = longer.join(shorter, "_needs").where("_least >= confidence").select("needs").distinct()
+    return rules.join(idle, "needs", "left_anti")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, least_rows: int = 20, max_tokens: int | None = MAX_TOKENS) -> DataFrame:
     """Rules (rule, needs, key, confidence, support) from rows of url and blocked (boolean); key is the rarest token of the rule.
 
-    A rule must hold for ``min_support`` of the labelled rows and for ``least_rows`` of them."""
+    A rule must hold for ``min_support`` of the labelled rows and for ``least_rows`` of them.
+    ``max_tokens`` of None keeps rules of any length and leaves out those that say no more than a shorter rule: if one token can go
+    and the confidence is no lower, the shorter rule fires on the same URLs and more, so no verdict changes."""
     baskets = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("blocked", tokens(F.col("url")).alias("items")).where(F.size("items") > 0)
     baskets = baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
     baskets = cut_lineage(baskets)
     rows = max(baskets.count(), 1)
     support = min(max(min_support, least_rows / rows), 1.0)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK)
+    if max_tokens is not None:
+        rules = rules.where(F.size("antecedent") <= max_tokens)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("key"), "freq")
     rules = rules.select(F.array_sort("antecedent").alias("needs"), "confidence", "support").withColumn("rule", F.array_join("needs", " & "))
+    if max_tokens is None:
+        rules = _without_idle_tokens(cut_lineage(rules))
     ranked = rules.select("*", F.explode("needs").alias("key")).join(single, "key")
     return ranked.groupBy("rule").agg(F.min_by("key", F.struct("freq", "key")).alias("key"), F.first("needs").alias("needs"),
                                       F.first("confidence").alias("confidence"), F.first("support").alias("support"))
