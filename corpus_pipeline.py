@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live secrets are replaced by a mark; widely copied examples stay."""
+    """Secrets are replaced by a mark; widely copied examples stay."""
     return secret_scan.redact(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 

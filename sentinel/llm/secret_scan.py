@@ -153,8 +153,8 @@ def report(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
 
 
 def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with live secrets replaced by ``mark``; examples and all other text stay. n_chars follows the text, if there is such a column."""
-    live = scan(docs, owner, repo).select("_key", F.filter("spans", lambda s: s["verdict"] == "live").alias("_spans")).where(F.size("_spans") > 0)
+    """``docs`` with base spans and live tokens replaced by ``mark``; copied examples and all other text stay. n_chars follows the text, if there is such a column."""
+    hidden = scan(docs, owner, repo).select("_key", F.filter("spans", lambda s: s["verdict"] != "example").alias("_spans")).where(F.size("_spans") > 0)
     # Only rows that can hold a candidate are shuffled with their texts.
     may = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p, _, _ in PATTERNS.values())), F.lit(False))
     rest, suspects = docs.where(~may), docs.where(may).withColumn("_key", row_key("doc_id", "text"))
@@ -163,7 +163,7 @@ def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]")
     )).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"].cast("int")).alias("at")))
     done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
                        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    changed = suspects.join(live, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
+    changed = suspects.join(hidden, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rest.unionByName(changed.select(*docs.columns))
