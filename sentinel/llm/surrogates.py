@@ -2,7 +2,7 @@
 
 Detected entities (mail and IP addresses, phone, card, bank and social security numbers, personal names) are replaced by values of
 the same kind and format. A surrogate is a function of a secret key and the entity's canonical form (case and
-separators taken out), so an entity has one surrogate in the whole corpus, and every mention of it gets that surrogate in its own
+separators taken out), so an entity has one surrogate in the whole corpus, and every detected mention of it gets that surrogate in its own
 case and separators. Given names keep their gender and script: each list of names is put into a ring by keyed hashes
 and a name is replaced by the next one. All other surrogates are checked: where two entities meet in one
 surrogate, or a surrogate equals a detected entity, all but one try again with the next number until none meet.
