@@ -6,6 +6,7 @@ import csv
 import io
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,20 +57,43 @@ def reader_options(dialect: Dialect) -> dict[str, str]:
         "encoding": dialect.encoding, "sep": dialect.sep, "header": str(dialect.header).lower(),
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "enforceSchema": "true",
         "columnPruning": "false",  # a pruned parse would not see that a row is too long
+        "quote": '"', "escape": '"',  # a quote in a quoted field is doubled; a backslash is a character like any other
     }
 
 
+def _whole_quotes(text: Column, sep: str) -> Column:
+    """The text without its complete quoted fields; doubled quotes go first."""
+    return F.regexp_replace(F.replace(text, F.lit('""'), F.lit("")), f'(^|[{sep}])"[^"]*"', "$1")
+
+
 def over_long(columns: list[str], sep: str = ",") -> Column:
-    """Is the row malformed by having more fields than its schema? Separators in quotes do not count.
+    """Is the row malformed by having more fields than its schema? Separators and line breaks in quotes do not count.
 
     Spark refuses a scan of nothing but the corrupt record, as a plain count would make, so the first column is read, too.
     """
     names = [c for c in columns if c != CORRUPT]
-    bare = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
+    bare = _whole_quotes(F.col(CORRUPT), sep)
     read = F.length(F.concat(F.col(CORRUPT), F.coalesce(F.col(names[0]), F.lit("")))) > 0
     return F.col(CORRUPT).isNotNull() & read & (F.size(F.split(bare, f"[{sep}]")) > len(names))
 
 
+def _base_name(path: str) -> str:
+    return unquote(path.rsplit("/", 1)[-1])
+
+
+def files_with_spanning_records(spark: SparkSession, files: list[str], dialect: Dialect) -> set[str]:
+    """Those of ``files`` in which a quoted field runs over the end of a line.
+
+    One scan over the lines that hold a quote. The first such record of a file begins on a line of its own, so it is found; only file names come
+    to the driver. The files of one call lie in one folder.
+    """
+    lines = spark.read.option("encoding", dialect.encoding).text(files)  # quotes and separators are ASCII in every encoding used here
+    opens = _whole_quotes(F.col("value"), dialect.sep).rlike(f'(^|[{dialect.sep}])"')
+    found = lines.where(F.col("value").contains('"')).where(opens).select(F.col("_metadata.file_path").alias("path")).distinct()
+    names = {_base_name(r["path"]) for r in found.collect()}
+    return {f for f in files if _base_name(f) in names}
+
+
 def read_files(spark: SparkSession, files: list[str], dataset: str) -> DataFrame:
     """Files of a data set as text columns, aligned by normalised name; a column that a file lacks is NULL.
 
@@ -104,9 +128,17 @@ def _dialect(dataset: str) -> Dialect:
 
 
 def _scans(spark: SparkSession, files: list[str], dataset: str) -> list[DataFrame]:
+    """One scan per layout, and one more for its files whose records span lines: those cannot be split, all others can."""
     dialect = _dialect(dataset)
-    return [spark.read.options(**reader_options(dialect)).schema(text_schema(names)).csv(same)
-            for names, same in layouts(spark, files, dialect).items()]
+    spanning = files_with_spanning_records(spark, files, dialect)
+    out = []
+    for names, same in layouts(spark, files, dialect).items():
+        reader = spark.read.options(**reader_options(dialect)).schema(text_schema(names))
+        for whole in (False, True):
+            part = [f for f in same if (f in spanning) == whole]
+            if part:
+                out.append(reader.option("multiLine", whole).csv(part))
+    return out
 
 
 def text_schema(names: Iterable[str]) -> T.StructType:

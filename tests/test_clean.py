@@ -185,3 +185,31 @@ def test_csv_export(spark, tmp_path):
     part = [f for f in os.listdir(f"{tmp_path}/r") if f.endswith(".csv")]
     assert len(part) == 1
     assert open(f"{tmp_path}/r/{part[0]}", encoding="utf-8").read() == "name,v\nε,1.5\n"
+
+
+def test_quoted_fields_like_a_csv_reader(spark, tmp_path):
+    import csv
+
+    texts = ["plain", 'say ""hi"", ok', "two\nlines", "a,b", "", '""', 'ends with ""', "three\n\n,lines \"\"\n", "back\\slash", "back\\\\", "ü, é", '5" disk', " padded "]
+    folder = f"{tmp_path}/cic_ids2018"
+    os.makedirs(folder)
+    for name, some in (("with breaks.csv", texts), ("lines.csv", [t for t in texts if "\n" not in t])):
+        with open(f"{folder}/{name}", "w", encoding="latin-1", newline="") as fh:
+            fh.write("Flow Value,Note,Label\n")
+            for i, t in enumerate(some):
+                note = t if '5"' in t else f'"{t}"'
+                fh.write(f"{i}.5,{note},Benign\n")
+            fh.write('99,"x\ny",Bot,more,"and, more"\n' if "breaks" in name else '99,"x,y",Bot,more\n')
+            fh.write("98\n")
+    want = []
+    for name in ("lines.csv", "with breaks.csv"):
+        with open(f"{folder}/{name}", encoding="latin-1", newline="") as fh:
+            rows = list(csv.reader(fh))[1:]
+        want += [[v or None for v in [*r, None, None][:3]] for r in rows if len(r) <= 3]
+    got = [[r["flow_value"], r["note"] or None, r["label"]] for r in raw.read_raw(spark, str(tmp_path), "cic_ids2018").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 2 * len(texts) - 2 + 2
+    assert {r["file"].replace("%20", " "): r["n_malformed"] for r in raw.count_malformed(spark, str(tmp_path), "cic_ids2018").collect()} == {"with breaks.csv": 1, "lines.csv": 1}
+    ingest.ingest_available(spark, str(tmp_path), "cic_ids2018", f"{tmp_path}/out", f"{tmp_path}/state")
+    assert ingest.read_ingested(spark, f"{tmp_path}/out").count() == len(want)
+    spanning = raw.files_with_spanning_records(spark, raw.list_raw_files(spark, str(tmp_path), "cic_ids2018"), raw.DIALECTS["cic_ids2018"])
+    assert [f.rsplit("/", 1)[1] for f in spanning] == ["with breaks.csv"]

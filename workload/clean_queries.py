@@ -250,6 +250,41 @@ def malformed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return counts.agg(F.sum("n_malformed").alias("n_malformed"), F.sum("n_filled").alias("n_filled"))
 
 
+def _write_quoted(spark: SparkSession, sf: str) -> str:
+    """Events as a file of plain records and a file whose notes hold doubled quotes, separators, line breaks and backslashes."""
+    root = f"{shared_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    e, number = I.read(spark, sf, "events"), F.col("event_id")
+    note = (F.when(number % 4 == 0, F.concat(F.lit('say "'), "event_type", F.lit('", ok'))).when(number % 4 == 1, F.concat("event_type", F.lit("\n,second line")))
+            .when(number % 4 == 2, F.concat("event_type", F.lit("\\"))).otherwise(F.col("event_type")))
+    for odd, name in ((0, "spanning"), (1, "plain")):
+        part = e.where(number % 8 == 7 if odd else number % 8 != 7).select(
+            F.col("event_id").cast("string").alias("Flow ID"), note.alias("Note"), F.col("event_type").alias("Label"))
+        part.write.mode("append").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(f"{root}/cic_ids2018")
+    return root
+
+
+_QUOTED = """SELECT event_id AS flow_id, CASE event_id % 4 WHEN 0 THEN 'say "' || event_type || '", ok' WHEN 1 THEN event_type || chr(10) || ',second line'
+WHEN 2 THEN event_type || chr(92) ELSE event_type END AS note, event_type AS label FROM events"""
+
+
+@query(_QUOTED)
+def csv_ingest_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """Doubled quotes, separators, line breaks and backslashes within fields, in files of which some can be split and some cannot."""
+    rows = raw.read_raw(spark, _write_quoted(spark, sf), "cic_ids2018")
+    return rows.select(F.col("flow_id").cast("long").alias("flow_id"), "note", "label")
+
+
+@query(f"SELECT flow_id % 4 AS kind, count(*) AS n_rows, count(DISTINCT note) AS n_notes, coalesce(max(length(note)), 0) AS longest FROM ({_QUOTED}) GROUP BY 1")
+def stream_ingest_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    root = _write_quoted(spark, sf)
+    batches = ingest.stream_files(spark, root, "cic_ids2018", 3).writeStream.foreachBatch(
+        lambda batch, number: raw.read_files(batch.sparkSession, sorted(r["path"] for r in batch.collect()), "cic_ids2018").write.mode(
+            "overwrite").parquet(f"{root}/out/batch={number}"))
+    batches.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/out").groupBy((F.col("flow_id").cast("long") % 4).alias("kind"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("note").alias("n_notes"), F.coalesce(F.max(F.length("note")), F.lit(0)).cast("long").alias("longest"))
+
+
 SUBSET_ROWS = 500
 _QUOTA = f""", u AS (SELECT DISTINCT {CLEAN_COLUMNS} FROM cleaned),
 c AS (SELECT label_multiclass, count(*) AS n FROM u GROUP BY 1),
