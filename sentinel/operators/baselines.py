@@ -1,4 +1,4 @@
-"""Non-private classifiers on MLlib, all returning ``probs`` arrays and integer ``y_pred``."""
+"""Non-private classifiers (MLlib, and boosted trees of our own), all returning ``probs`` arrays and integer ``y_pred``."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ from collections.abc import Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest,
-    OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.storage import path_exists
+from sentinel.operators import boosting
 from sentinel.operators.sample import add_class_weight
 
+Fitted = Model | boosting.Boosted
+
 
 def _vectors(df: DataFrame, features: str) -> DataFrame:
     as_double = F.transform(features, lambda v: v.cast("double"))
@@ -41,48 +43,44 @@ def train_forest(train: DataFrame, features: str, label: str, n_trees: int = 100
         featureSubsetStrategy="sqrt", seed=seed).fit(weighted)
 
 
-def train_boosted(train: DataFrame, features: str, label: str, n_classes: int, rounds: int = 100,
-                  depth: int = 10, seed: int = 42) -> Model:
-    """Boosted trees without class weights; one-vs-rest beyond two classes."""
-    gbt = GBTClassifier(featuresCol="_vec", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed)
-    data = _vectors(train, features)
-    if n_classes == 2:
-        return gbt.fit(data)
-    return OneVsRest(classifier=gbt, featuresCol="_vec", labelCol=label, parallelism=min(n_classes, 8)).fit(data)
+def train_boosted(train: DataFrame, features: str, label: str, n_classes: int, rounds: int = 100, depth: int = 10,
+                  objective: str | None = None) -> boosting.Boosted:
+    """Boosted trees without class weights: logistic for two classes, softmax beyond, or one-vs-rest on request."""
+    return boosting.train(train, features, label, n_classes, rounds, depth, objective=objective)
 
 
-def predict(model: Model, df: DataFrame, features: str) -> DataFrame:
-    """Add ``probs`` and ``y_pred``; one-vs-rest raw scores become normalised sigmoids."""
-    out = model.transform(_vectors(df, features))
-    if "probability" in out.columns:
-        out = out.withColumn("probs", vector_to_array("probability"))
-    else:
-        each = F.transform(vector_to_array("rawPrediction"), lambda z: 1.0 / (1.0 + F.exp(-2.0 * z)))
-        out = out.withColumn("_p", each).withColumn("_s", F.aggregate(
-            "_p", F.lit(0.0), lambda a, v: a + v))
-        out = out.withColumn("probs", F.transform("_p", lambda v: v / F.col("_s"))).drop("_p", "_s")
+def predict(model: Fitted, df: DataFrame, features: str) -> DataFrame:
+    """Add ``probs`` and ``y_pred``."""
+    if isinstance(model, boosting.Boosted):
+        return boosting.predict(df, model, features)
+    out = model.transform(_vectors(df, features)).withColumn("probs", vector_to_array("probability"))
     return out.withColumn("y_pred", F.col("prediction").cast("int")).drop(
         "_vec", "rawPrediction", "probability", "prediction")
 
 
-MODEL_CLASSES = {c.__name__: c for c in (
-    LogisticRegressionModel, RandomForestClassificationModel, GBTClassificationModel, OneVsRestModel)}
+MODEL_CLASSES = {c.__name__: c for c in (LogisticRegressionModel, RandomForestClassificationModel)}
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Fitted, path: str) -> None:
+    if isinstance(model, boosting.Boosted):
+        boosting.save(SparkSession.active(), model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(spark: SparkSession, path: str) -> Model:
+def load_model(spark: SparkSession, path: str) -> Fitted:
     """The fitted model saved at ``path``, whichever family it is of."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no model at {path}; train it first")
+    if not path_exists(spark, f"{path.rstrip('/')}/metadata"):
+        return boosting.load(spark, path)
     described = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()[0])
     return MODEL_CLASSES[described["class"].rsplit(".", 1)[-1]].load(path)
 
 
-def feature_importances(model: Model, df: DataFrame, names: Sequence[str]) -> DataFrame:
+def feature_importances(model: Fitted, df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(feature, importance), largest first."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+    shares = boosting.importances(model, len(names)) if isinstance(model, boosting.Boosted) else model.featureImportances.toArray()
+    rows = [(n, float(v)) for n, v in zip(names, shares)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature")

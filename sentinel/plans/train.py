@@ -95,7 +95,7 @@ def _families(settings: Settings, seed: int | None) -> dict[str, Callable[[Prepa
         "logistic_regression": lambda d: scored(baselines.train_logistic(d.train, "features", "y"), d),
         "random_forest": lambda d: scored(baselines.train_forest(d.train, "features", "y", *size), d),
         "xgboost": lambda d: scored(
-            baselines.train_boosted(d.train, "features", "y", len(d.classes), settings.boosting_rounds, *size[1:]), d),
+            baselines.train_boosted(d.train, "features", "y", len(d.classes), settings.boosting_rounds, settings.tree_depth), d),
         "dp_logistic_regression": dp_lr,
         "dp_random_forest": dp_rf,
         "dp_sgd": dp_sgd,

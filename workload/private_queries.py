@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
 from sentinel.functions.storage import cut_lineage, shared_dir
-from sentinel.operators import accountant, baselines, dp_forest, dp_linear, dp_mlp, scale
+from sentinel.operators import accountant, baselines, boosting, dp_forest, dp_linear, dp_mlp, scale
 from sentinel.operators.metrics import evaluate
 from sentinel.operators.sample import add_split
 from sentinel.operators.scale import norm_bound
@@ -321,11 +321,73 @@ def gbt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gbt_one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark, sf)
+    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y5", 5, objective="one_vs_rest")
+    return _scored(baselines.predict(model, rows, "features"), ["split"], "y5", "multiclass")
+
+
+@query()
+def gbt_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    """Softmax over five classes, 100 rounds of depth 10."""
     rows = vectors(spark, sf)
     model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y5", 5)
     return _scored(baselines.predict(model, rows, "features"), ["split"], "y5", "multiclass")
 
 
+_LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines with four features and the return flag as the class."""
+    li = I.read_spread(spark, sf, "lineitem")
+    code = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1
+    late = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
+    u = I.uniform(I.SEED, "part", "l_orderkey", "l_linenumber")
+    return li.select(F.array(*[F.col(c).cast("double") for c in _LINE_FEATURES], late).alias("features"), code.cast("int").alias("y"),
+                     F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test").alias("split"))
+
+
+@query()
+def gbt_order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Softmax over the return flags of all order lines, 100 rounds of depth 10."""
+    rows = order_lines(spark, sf)
+    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y", 3)
+    return _scored(baselines.predict(model, rows, "features"), ["split"], "y", "multiclass")
+
+
+def _sql_units(value: float) -> str:
+    """A number as the whole multiple of 2**-24 that the histograms add."""
+    return f"({round(value * (1 << 24))} / 16777216e0)"
+
+
+_SHARE = 1.0 / N_CLASSES
+_CUTS = "cuts AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(
+    f"SELECT {i} AS feature, unnest(quantile_cont({f}, [{', '.join(f'{k}e0 / 64' for k in range(1, 64))}])) AS cut FROM coded WHERE split = 'train'"
+    for i, f in enumerate(I.FLOW_FEATURES)) + "))"
+_SIDES = "sides AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS feature, cut, k AS class, count(*) FILTER ({f} <= cut) AS nl, count(*) FILTER ({f} <= cut AND code = k) AS pl, "
+    f"count(*) AS n, count(*) FILTER (code = k) AS p FROM coded CROSS JOIN (SELECT cut FROM cuts WHERE feature = {i}) CROSS JOIN range({N_CLASSES}) c(k) "
+    "WHERE split = 'train' GROUP BY ALL" for i, f in enumerate(I.FLOW_FEATURES)) + ")"
+
+
+@query(ctes(I.SQL_FLOWS, _CODED, _CUTS, _SIDES, f"""sums AS (SELECT *, (nl - pl) * {_sql_units(_SHARE)} + pl * {_sql_units(_SHARE - 1)} AS gl, nl * {_sql_units(2 * _SHARE * (1 - _SHARE))} AS hl,
+  (n - p) * {_sql_units(_SHARE)} + p * {_sql_units(_SHARE - 1)} AS g, n * {_sql_units(2 * _SHARE * (1 - _SHARE))} AS h FROM sides)""",
+            """gains AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM sums WHERE hl >= 1 AND h - hl >= 1)""",
+            "picked AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY gain DESC, feature, cut) AS rn FROM gains)") + f"""
+SELECT CAST(class AS INTEGER) AS class, CAST(feature AS INTEGER) AS feature, {I.sql_round('cut')} AS threshold, {I.sql_round('gain', 4)} AS gain,
+{I.sql_round('-0.3e0 * gl / (hl + 1)')} AS left_value, {I.sql_round('-0.3e0 * (g - gl) / (h - hl + 1)')} AS right_value FROM picked WHERE rn = 1 AND gain > 1e-6""")
+def boosted_root_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The first split of each class's first tree in a softmax boosting of the flows, and the values of its two leaves."""
+    rows = scale.assemble(coded_flows(spark, sf), I.FLOW_FEATURES).where("split = 'train'")
+    table = boosting.nodes(spark, boosting.train(rows, "features", "code", N_CLASSES, rounds=1, depth=1))
+    value = {n: F.max(F.when(F.col("node") == n, F.col("value"))) for n in (1, 2)}
+    root = lambda c: F.max(F.when((F.col("node") == 0) & (F.col("feature") >= 0), F.col(c)))
+    found = table.groupBy(F.col("group").alias("class")).agg(root("feature").alias("feature"), root("threshold").alias("threshold"), root("gain").alias("gain"),
+                                                            value[1].alias("left_value"), value[2].alias("right_value")).where("feature IS NOT NULL")
+    return found.select("class", "feature", rnd("threshold", 6).alias("threshold"), rnd("gain", 4).alias("gain"), rnd("left_value", 6).alias("left_value"),
+                        rnd("right_value", 6).alias("right_value"))
+
+
 @query()
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = scale.assemble(coded_flows(spark, sf), I.FLOW_FEATURES)
