@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +88,58 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of temporary tables that this job wrote."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def file_states(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of files."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        out.append((p.getName(), status.getLen(), status.getModificationTime()))
+    return out
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The whole of a small text file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark.sparkContext._jvm.java.lang.String(stream.readAllBytes(), "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with ``text``; False if it exists already. Of several writers exactly one succeeds.
+
+    HDFS and stores with conditional puts refuse a second create. The local file system does not, so there a finished
+    file is linked to the name, which fails if the name is taken.
+    """
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":
+        target = jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(p).toString()
+        draft = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+        with open(draft, "x", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(draft, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    try:
+        stream = fs.create(p, False)
+    except Exception as refused:  # the JVM's error, whichever class the store uses
+        if fs.exists(p):
+            return False
+        raise refused
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True

@@ -2,8 +2,10 @@
 
 Features are binned once at exact quantiles. Rows live as blocks of bin numbers and margins, one per partition, in reliable
 lineage. A level of all trees of a round is one pass: every block adds up gradients and Hessians per (tree, node, feature, bin), and
-blocks are summed by a tree reduction. Only the smaller child of a split is counted, its sibling is the parent minus it. What reaches the driver is
-bounded by the model (nodes x features x bins), never by rows; levels that exceed ``HELD_BYTES`` are counted in several passes.
+blocks are summed by a tree reduction. Only the smaller child of a split is counted, its sibling is the parent minus it. A node of at most
+``LOCAL_ROWS`` rows leaves the levels: once a round the rows of all such nodes are shuffled by node and each node is grown to its end in one
+bounded task. What reaches the driver is bounded by the model (nodes x features x bins), never by rows; levels that exceed ``HELD_BYTES`` are
+counted in several passes.
 
 Gradients are rounded to multiples of 2**-24 and added as whole numbers, so the trees do not depend on the partitioning or on the order
 of tasks. Null and NaN features go left.
@@ -27,7 +29,8 @@ from sentinel.functions.storage import cut_lineage, path_exists, shared_dir
 from sentinel.operators.ranking import exact_quantiles, vector_to_long
 
 UNIT = float(1 << 24)
-CELLS_PER_TASK = 1 << 20
+CELLS_PER_TASK, LARGEST_BLOCK = 1 << 18, 1 << 26
+LOCAL_ROWS = 4096
 HELD_BYTES = 256 << 20
 LINEAGE_ROUNDS = 25
 LEAST_GAIN = 1e-6
@@ -71,6 +74,17 @@ class Tree:
         return at
 
 
+@dataclass(frozen=True)
+class Rule:
+    """How trees grow."""
+
+    depth: int
+    rate: float
+    l2: float
+    least_child: float
+    bins: int
+
+
 @dataclass(frozen=True)
 class Boosted:
     """``trees[round][group]``: one group for the logistic objective, one per class otherwise."""
@@ -123,43 +137,95 @@ def gradients(margins: np.ndarray, y: np.ndarray, objective: str) -> tuple[np.nd
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]  # bins (features x rows), labels, margins (groups x rows)
 
 
-def _counted(block: Block, trees: Sequence[Tree], wanted: Sequence[dict[int, int]], slots: int, bins: int, objective: str) -> np.ndarray:
-    """Sums (slot, feature, bin, gradient and Hessian) of one block; ``wanted[group]`` maps nodes to slots."""
+def _histogram(at: np.ndarray, rows: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, bins: int) -> np.ndarray:
+    """(slot, feature, bin, [gradient, Hessian, rows]) of the chosen rows."""
+    out = np.empty((slots, len(at), bins, 3), np.int64)
+    first, gradient, hessian, size = slot * bins, g[rows], h[rows], slots * bins
+    for f in range(len(at)):
+        cell = first + at[f][rows]
+        out[:, f, :, 0] = np.bincount(cell, gradient, size).reshape(slots, bins)
+        out[:, f, :, 1] = np.bincount(cell, hessian, size).reshape(slots, bins)
+        out[:, f, :, 2] = np.bincount(cell, minlength=size).reshape(slots, bins)
+    return out
+
+
+def _slots(tree: Tree, at: np.ndarray, nodes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that lie in ``nodes``, and the number of their node."""
+    slot_of = np.full(len(tree.feature), -1, np.int64)
+    slot_of[list(nodes)] = np.arange(len(nodes))
+    slot = slot_of[tree.places(at, tree.bin)] if len(tree.feature) > 1 else np.zeros(at.shape[1], np.int64)
+    rows = np.flatnonzero(slot >= 0)
+    return rows, slot[rows]
+
+
+def _counted(block: Block, trees: Sequence[Tree], wanted: Sequence[list[int]], bins: int, objective: str) -> np.ndarray:
+    """Histograms of one block for the nodes ``wanted[group]``, one group after the other."""
     at, y, margins = block
-    out = np.zeros((slots, len(at), bins, 2), np.int64)
-    if not len(y):
-        return out
     g, h = gradients(margins, y, objective)
+    parts = [_histogram(at, *_slots(tree, at, nodes), g[k], h[k], len(nodes), bins) for k, (tree, nodes) in enumerate(zip(trees, wanted)) if nodes]
+    return np.concatenate(parts)
+
+
+def _rows_of(block: Block, trees: Sequence[Tree], wanted: Sequence[list[int]], objective: str) -> list:
+    """((group, node), (bins, gradients, Hessians)) of the rows of one block in the nodes ``wanted[group]``."""
+    at, y, margins = block
+    g, h = gradients(margins, y, objective)
+    out = []
     for k, (tree, nodes) in enumerate(zip(trees, wanted)):
-        if not nodes:
-            continue
-        slot_of = np.full(len(tree.feature), -1, np.int64)
-        slot_of[list(nodes)] = list(nodes.values())
-        slot = slot_of[tree.places(at, tree.bin)] if len(tree.feature) > 1 else np.full(len(y), slot_of[0])
-        rows = np.flatnonzero(slot >= 0)
-        low, base = min(nodes.values()), max(nodes.values()) + 1
-        first, weights = (slot[rows] - low) * bins, (g[k][rows], h[k][rows])
-        for f in range(len(at)):
-            cell = first + at[f][rows]
-            for part, w in enumerate(weights):
-                out[low:base, f, :, part] += np.bincount(cell, w, (base - low) * bins).reshape(-1, bins).astype(np.int64)
+        if nodes:
+            rows, slot = _slots(tree, at, nodes)
+            order = np.argsort(slot, kind="stable")
+            edges = np.searchsorted(slot[order], np.arange(len(nodes) + 1))
+            for i, node in enumerate(nodes):
+                mine = rows[order[edges[i]:edges[i + 1]]]
+                if len(mine):
+                    out.append(((k, node), (at[:, mine], g[k][mine], h[k][mine])))
     return out
 
 
+def _decide(tree: Tree, node: int, total: np.ndarray, found: tuple[float, int, int], rule: Rule, cuts: Sequence[np.ndarray]) -> tuple[int, int] | None:
+    """Splits a node, or gives the leaf its value."""
+    gain, feature, at = found
+    if gain > LEAST_GAIN:
+        return tree.split(node, feature, at, float(cuts[feature][at]), gain)
+    g, h = (total[0, :, :2].sum(axis=0) / UNIT).tolist()
+    tree.value[node] = -rule.rate * g / (h + rule.l2)
+    return None
+
+
+def _finished(item: tuple, depths: dict, rule: Rule, cuts: Sequence[np.ndarray]) -> tuple:
+    """The subtree below one node, grown from all its rows."""
+    key, parts = item
+    parts = list(parts)
+    at = np.concatenate([p[0] for p in parts], axis=1)
+    g, h = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    tree, active = Tree.leaf(), [0]
+    for level in range(depths[key], rule.depth + 1):
+        rows, slot = _slots(tree, at, active)
+        sums = _histogram(at, rows, slot, g, h, len(active), rule.bins)
+        found = _best_splits(sums, rule) if level < rule.depth else [(-np.inf, 0, 0)] * len(active)
+        children = [_decide(tree, node, total, best, rule, cuts) for node, total, best in zip(active, sums, found)]
+        active = [c for pair in children if pair for c in pair]
+        if not active:
+            break
+    return key, tree
+
+
 def _advanced(block: Block, trees: Sequence[Tree]) -> Block:
     at, y, margins = block
     moved = [m + np.array(t.value)[t.places(at, t.bin)] for m, t in zip(margins, trees)]
     return at, y, np.stack(moved)
 
 
-def _best_splits(sums: np.ndarray, l2: float, least_child: float) -> list[tuple[float, int, int]]:
+def _best_splits(sums: np.ndarray, rule: Rule) -> list[tuple[float, int, int]]:
     """(gain, feature, bin) of the best split of each node; ties go to the smallest feature, then bin."""
+    sums = sums[..., :2]
     total = sums[:, :1].sum(axis=2, keepdims=True) / UNIT
     left = np.cumsum(sums, axis=2)[:, :, :-1] / UNIT
     right = total - left
-    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
+    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + rule.l2)
     gain = score(left) + score(right) - score(total)
-    gain[(left[..., 1] < least_child) | (right[..., 1] < least_child)] = -np.inf
+    gain[(left[..., 1] < rule.least_child) | (right[..., 1] < rule.least_child)] = -np.inf
     flat = gain.reshape(len(gain), -1)
     best = flat.argmax(axis=1)
     return [(float(flat[i, b]), int(b) // gain.shape[2], int(b) % gain.shape[2]) for i, b in enumerate(best)]
@@ -211,11 +277,13 @@ def train(rows: DataFrame, features: str, label: str, n_classes: int, rounds: in
         raise ValueError("no rows to train on")
     dim = len(stored.first()[features])
     cuts = feature_cuts(stored, features, bins, dim)
-    tasks = -(-n * dim // CELLS_PER_TASK)
+    cells = n * dim * groups
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(min(-(-cells // CELLS_PER_TASK), 2 * cores), -(-cells // LARGEST_BLOCK))
     held = stored.rdd.getNumPartitions()
     dealt = stored.repartition(tasks) if tasks > held else stored.coalesce(tasks)
     state = _blocks(dealt, features, label, cuts, groups).persist(StorageLevel.MEMORY_AND_DISK)
-    grower = _Grower(cuts, groups, depth, rate, l2, least_child, bins, objective)
+    grower = _Grower(cuts, groups, n, Rule(depth, rate, l2, least_child, bins), objective, cores)
     done: list[tuple[Tree, ...]] = []
     before: RDD | None = None
     try:
@@ -234,60 +302,86 @@ def train(rows: DataFrame, features: str, label: str, n_classes: int, rounds: in
     return Boosted(n_classes, objective, tuple(done), grower.passes)
 
 
+Node = tuple[int, int]  # group and number
+
+
 class _Grower:
-    """Grows the trees of one round level by level."""
+    """Grows the trees of one round: large nodes level by level, small ones in one task each."""
+
+    def __init__(self, cuts: list[np.ndarray], groups: int, rows: int, rule: Rule, objective: str, cores: int):
+        self.cuts, self.groups, self.rows, self.rule, self.objective, self.cores, self.passes = cuts, groups, rows, rule, objective, cores, 0
+        self.at_once = max(HELD_BYTES // (len(cuts) * rule.bins * 3 * 8), 2)
 
-    def __init__(self, cuts: list[np.ndarray], groups: int, depth: int, rate: float, l2: float, least_child: float, bins: int, objective: str):
-        self.cuts, self.groups, self.depth, self.rate, self.l2, self.least_child = cuts, groups, depth, rate, l2, least_child
-        self.bins, self.objective, self.passes = bins, objective, 0
-        self.node_bytes = len(cuts) * bins * 2 * 8
+    def _by_group(self, nodes: Sequence[Node]) -> list[list[int]]:
+        return [[n for k, n in nodes if k == group] for group in range(self.groups)]
 
-    def _sums(self, state: RDD, trees: list[Tree], nodes: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
-        wanted: list[dict[int, int]] = [{} for _ in trees]
-        for slot, (k, node) in enumerate(nodes):
-            wanted[k][node] = slot
+    def _sums(self, state: RDD, trees: list[Tree], nodes: list[Node]) -> dict[Node, np.ndarray]:
         self.passes += 1
-        job = partial(_counted, trees=trees, wanted=wanted, slots=len(nodes), bins=self.bins, objective=self.objective)
-        total = state.map(job).treeReduce(np.add)
-        return {node: total[i] for i, node in enumerate(nodes)}
+        job = partial(_counted, trees=trees, wanted=self._by_group(nodes), bins=self.rule.bins, objective=self.objective)
+        return dict(zip(nodes, state.map(job).treeReduce(np.add)))
 
     def grow(self, state: RDD) -> list[Tree]:
         trees = [Tree.leaf() for _ in range(self.groups)]
-        at_once = max(HELD_BYTES // self.node_bytes, 1)
-        held: dict[tuple[int, int], np.ndarray] = {}
-        families: list[tuple] = [(None, [(k, 0)]) for k in range(self.groups)]
-        for level in range(self.depth + 1):
-            splits, next_held = [], {}
+        small: dict[Node, int] = {}  # and their levels
+        held: dict[Node, np.ndarray] = {}
+        families: list[tuple[Node | None, list[Node]]] = []
+        for k in range(self.groups):
+            if self.rows <= LOCAL_ROWS:
+                small[k, 0] = 0
+            else:
+                families.append((None, [(k, 0)]))
+        for level in range(self.rule.depth + 1):
+            following, next_held = [], {}
             while families:
-                batch, families = families[:max(at_once // 2, 1)], families[max(at_once // 2, 1):]
+                batch, families = families[:self.at_once // 2], families[self.at_once // 2:]
+                # the lighter child is counted; the heavier one, too, if the parent is not at hand
                 ask = [m for parent, members in batch for m in (members[:1] if parent in held else members)]
-                sums = self._sums(state, trees, sorted(ask))
+                sums = self._sums(state, trees, sorted(ask)) if ask else {}
                 for parent, members in batch:
                     if parent in held:
-                        sums[members[1]] = held.pop(parent) - sums[members[0]]
-                splits += self._split(trees, sums, next_held, at_once, level < self.depth)
-            if not splits:
+                        whole = held.pop(parent)
+                        for other in members[1:]:
+                            sums[other] = whole - sums[members[0]]
+                nodes = sorted(sums)
+                found = _best_splits(np.stack([sums[n] for n in nodes]), self.rule) if level < self.rule.depth else [(-np.inf, 0, 0)] * len(nodes)
+                for node, best in zip(nodes, found):
+                    pair = _decide(trees[node[0]], node[1], sums[node], best, self.rule, self.cuts)
+                    if pair is None:
+                        continue
+                    _, feature, at = best
+                    sizes = int(sums[node][feature, :at + 1, 2].sum()), int(sums[node][feature, at + 1:, 2].sum())
+                    ordered = sorted(zip(sizes, ((node[0], c) for c in pair)))
+                    for size, child in ordered:
+                        if size <= LOCAL_ROWS:
+                            small[child] = level + 1
+                    large = [child for size, child in ordered if size > LOCAL_ROWS]
+                    # the rest of a parent with one small child is that child's complement, but the child is not counted
+                    if len(large) == 2 and len(next_held) < self.at_once:
+                        next_held[node] = sums[node]
+                    if large:
+                        following.append((node, large))
+            families, held = following, next_held
+            if not families:
                 break
-            families, held = splits, next_held
+        if small:
+            self._finish(state, trees, small)
         return trees
 
-    def _split(self, trees: list[Tree], sums: dict, next_held: dict, at_once: int, more: bool) -> list[tuple]:
-        """Settles or splits the counted nodes; the child with the smaller Hessian comes first."""
-        families = []
-        nodes = sorted(sums)
-        found = _best_splits(np.stack([sums[n] for n in nodes]), self.l2, self.least_child) if more and nodes else [(-np.inf, 0, 0)] * len(nodes)
-        for (k, node), (gain, feature, at) in zip(nodes, found):
-            total = sums[k, node]
-            g, h = (total[0].sum(axis=0) / UNIT).tolist()
-            if gain > LEAST_GAIN:
-                left, right = trees[k].split(node, feature, at, float(self.cuts[feature][at]), gain)
-                light = total[feature, :at + 1, 1].sum() * 2 <= total[feature, :, 1].sum()
-                families.append(((k, node), [(k, left), (k, right)] if light else [(k, right), (k, left)]))
-                if len(next_held) < at_once:
-                    next_held[k, node] = total
-            else:
-                trees[k].value[node] = -self.rate * g / (h + self.l2)
-        return families
+    def _finish(self, state: RDD, trees: list[Tree], small: dict[Node, int]) -> None:
+        """Grow all small nodes, in one shuffle of their rows, and graft what comes back."""
+        self.passes += 1
+        rows = state.flatMap(partial(_rows_of, trees=trees, wanted=self._by_group(sorted(small)), objective=self.objective))
+        grown = rows.groupByKey(min(len(small), 2 * self.cores)).map(partial(_finished, depths=small, rule=self.rule, cuts=self.cuts)).collect()
+        for (k, node), part in sorted(grown, key=lambda g: g[0]):
+            tree, base = trees[k], len(trees[k].feature) - 1
+            number = lambda i: node if i == 0 else base + i  # noqa: E731, B023
+            for i in range(len(part.feature)):
+                row = (part.feature[i], part.bin[i], part.threshold[i], number(part.left[i]), number(part.right[i]), part.value[i], part.gain[i])
+                for column, value in zip((tree.feature, tree.bin, tree.threshold, tree.left, tree.right, tree.value, tree.gain), row):
+                    if i:
+                        column.append(value)
+                    else:
+                        column[node] = value
 
 
 def predict(df: DataFrame, model: Boosted, features: str = "features") -> DataFrame:

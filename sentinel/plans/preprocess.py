@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinel.functions.storage import cut_lineage
+from sentinel.functions.storage import cut_lineage, file_states
 from sentinel.operators import clean, labels, sample
 from sentinel.schema import DEFAULTS, Settings
 from sentinel.sources import raw, tables
@@ -32,17 +32,19 @@ def clean_table(df: DataFrame, dataset: str, threshold: float = DEFAULTS.null_th
 
 def run_preprocessing(spark: SparkSession, raw_dir: str, out_dir: str, dataset: str,
                       force: bool = False) -> bool:
-    """Build ``out_dir/processed/<dataset>`` and ``out_dir/dropped_columns/<dataset>``."""
+    """Build ``out_dir/processed/<dataset>`` and ``out_dir/dropped_columns/<dataset>``, again if a raw file has changed."""
     path = f"{out_dir.rstrip('/')}/processed/{dataset}"
+    files = file_states(spark, raw.list_raw_files(spark, raw_dir, dataset))
+    made_of = tables.fingerprint("processed", dataset, files, DEFAULTS.null_threshold)
 
     def build() -> None:
         df, dropped = clean_table(raw.read_raw(spark, raw_dir, dataset), dataset)
-        # First, since the stage counts as done once the processed table is complete.
+        # First, since the stage counts as done once the processed table is complete. The commit names the columns, too.
         spark.createDataFrame([(dataset, c) for c in dropped], "dataset string, column string").write.mode(
             "overwrite").parquet(f"{out_dir.rstrip('/')}/dropped_columns/{dataset}")
-        tables.write_processed(df, path)
+        tables.publish(df, path, ["dataset_source"], made_of, dropped=dropped)
 
-    return tables.build_once(spark, path, build, force)
+    return tables.build_once(spark, path, build, force, made_of)
 
 
 def row_key(df: DataFrame) -> DataFrame:
@@ -53,12 +55,14 @@ def row_key(df: DataFrame) -> DataFrame:
 
 def run_sampling(spark: SparkSession, out_dir: str, dataset: str, settings: Settings = DEFAULTS,
                  force: bool = False) -> bool:
-    """Build ``out_dir/subsets/<dataset>`` with its split column."""
-    path = f"{out_dir.rstrip('/')}/subsets/{dataset}"
+    """Build ``out_dir/subsets/<dataset>`` with its split column, again if the processed table or the settings have changed."""
+    path, origin = (f"{out_dir.rstrip('/')}/{stage}/{dataset}" for stage in ("subsets", "processed"))
+    made_of = tables.fingerprint("subset", tables.published(spark, origin), settings.subset_size, settings.seed, settings.test_size)
 
     def build() -> None:
-        source = tables.read_table(spark, f"{out_dir.rstrip('/')}/processed/{dataset}")
+        source = tables.read_table(spark, origin)
         taken = cut_lineage(sample.stratified_subset(source, settings.subset_size, "row_id", settings.seed))
-        tables.write_subset(sample.add_split(taken, "row_id", settings.test_size, seed=settings.seed), path)
+        split = sample.add_split(taken, "row_id", settings.test_size, seed=settings.seed)
+        tables.publish(split, path, ["dataset_source", "split"], made_of)
 
-    return tables.build_once(spark, path, build, force)
+    return tables.build_once(spark, path, build, force, made_of)

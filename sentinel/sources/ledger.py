@@ -1,7 +1,8 @@
 """Result store: runs, attacks and model parameters as versioned Parquet tables.
 
-A save writes a complete new version next to the old ones; readers take the newest version that has
-its success marker, so a lost job never leaves a half-written store.
+A save writes a complete new version next to the old ones and then commits it; readers take the last commit, so a
+lost job never leaves a half-written store. A save that finds another one committed since it read the store merges again on top
+of that, so savers at the same time lose no row of each other.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentinel.functions.storage import list_dir, path_exists
+from sentinel.functions.storage import list_dir, path_exists, remove_dir
 from sentinel.schema import DP_MODELS, MODEL_ORDER
-from sentinel.sources.tables import is_complete
+from sentinel.sources.commits import CommitLog
 
 RUN_KEY = ("dataset", "label_type", "model_name", "epsilon", "split")
 ATTACK_KEY = ("dataset", "label_type", "target_model", "epsilon")
@@ -52,33 +53,32 @@ def pending(runs: DataFrame, done: DataFrame, key: Sequence[tuple[str, str]]) ->
     return r.join(d, cond, "left_anti")
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    names = [n for n in list_dir(spark, root) if n.startswith("v=")]
-    return sorted(int(n[2:]) for n in names if is_complete(spark, f"{root.rstrip('/')}/{n}"))
-
-
 def load(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """Newest complete version, or an empty table with the schema."""
-    found = _versions(spark, root)
-    if not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/v={found[-1]}")
+    """The store as of its last commit, or an empty table with the schema."""
+    log = CommitLog(spark, root)
+    _, entry = log.last()
+    return spark.createDataFrame([], schema) if entry is None else spark.read.schema(schema).parquet(log.folder(entry))
 
 
-def save(new: DataFrame, root: str, schema: T.StructType, key: Sequence[str] = RUN_KEY) -> int:
+def save(new: DataFrame, root: str, schema: T.StructType, key: Sequence[str] = RUN_KEY, attempts: int = 20) -> int:
     """Upsert into the store; returns the new version number."""
-    spark = new.sparkSession
-    found = _versions(spark, root)
-    taken = [int(n[2:]) for n in list_dir(spark, root) if n.startswith("v=")]
-    version = max(taken, default=0) + 1
-    stamped = new.withColumn("version", F.lit(version).cast("bigint"))
-    old = load(spark, root, schema) if found else stamped.limit(0)
-    merged = upsert(old, stamped, key)
-    present = set(merged.columns)
-    merged.select(*[
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema]).write.parquet(f"{root.rstrip('/')}/v={version}")
-    return version
+    spark, log = new.sparkSession, CommitLog(new.sparkSession, root)
+    for _ in range(attempts):
+        seen, entry = log.last()
+        taken = [int(n[2:].split("-")[0]) for n in list_dir(spark, root) if n.startswith("v=")]
+        version = max(taken, default=0) + 1
+        stamped = new.withColumn("version", F.lit(version).cast("bigint"))
+        old = stamped.limit(0) if entry is None else spark.read.schema(schema).parquet(log.folder(entry))
+        merged = upsert(old, stamped, key)
+        present = set(merged.columns)
+        folder = log.new_folder(f"v={version}")
+        merged.select(*[
+            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema]).write.parquet(f"{root.rstrip('/')}/{folder}")
+        if log.append(seen, {"folder": folder, "version": version}):
+            return version
+        remove_dir(spark, f"{root.rstrip('/')}/{folder}")
+    raise RuntimeError(f"{root} was saved by others {attempts} times while this save ran")
 
 
 def run_rank(model: str = "model_name") -> Column:

@@ -1,7 +1,13 @@
-"""Processed tables and working subsets as Parquet."""
+"""Processed tables and working subsets as Parquet.
+
+A published table is a folder of its own that the last commit names, with a fingerprint of what it was made from: a stage runs again when
+its inputs or settings have changed, and a stage that fails leaves the table as it was.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,15 +16,37 @@ from pyspark.sql import functions as F
 
 from sentinel.functions.storage import path_exists
 from sentinel.sources import raw
+from sentinel.sources.commits import CommitLog
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return CommitLog(spark, path).last()[1] is not None or path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def fingerprint(*parts: object) -> str:
+    """Of inputs and settings, by their JSON form."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def published(spark: SparkSession, path: str) -> dict | None:
+    """The entry of a published table: folder, fingerprint and what the stage added."""
+    return CommitLog(spark, path).last()[1]
+
+
+def publish(df: DataFrame, path: str, partitions: Sequence[str] = (), of: str = "", **more: object) -> None:
+    """Write a table and make it the current one at ``path``. Older ones stay until :meth:`CommitLog.vacuum`."""
+    log = CommitLog(df.sparkSession, path)
+    folder = log.new_folder("data")
+    df.write.option("compression", "snappy").partitionBy(*partitions).parquet(f"{path.rstrip('/')}/{folder}")
+    while not log.append(log.last()[0], {"folder": folder, "fingerprint": of, **more}):
+        pass  # another writer came first; the later commit stands
 
 
-def build_once(spark: SparkSession, path: str, build: Callable[[], None], force: bool = False) -> bool:
-    """Run a stage unless its output is complete; returns whether it ran."""
-    if is_complete(spark, path) and not force:
+def build_once(spark: SparkSession, path: str, build: Callable[[], None], force: bool = False, of: str | None = None) -> bool:
+    """Run a stage unless its output is complete and, with ``of``, made from the same inputs and settings; returns whether it ran."""
+    entry = published(spark, path)
+    same = of is None or (entry is not None and entry.get("fingerprint") == of)
+    if is_complete(spark, path) and same and not force:
         return False
     build()
     return True
@@ -39,7 +67,8 @@ def write_subset(df: DataFrame, path: str) -> None:
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     if not path_exists(spark, path):
         raise FileNotFoundError(f"{path} does not exist; run the stage that writes it")
-    df = spark.read.parquet(path)
+    entry = published(spark, path)
+    df = spark.read.parquet(path if entry is None else f"{path.rstrip('/')}/{entry['folder']}")
     return df.select(*columns) if columns else df
 
 
@@ -68,7 +97,7 @@ def stage_status(spark: SparkSession, raw_dir: str, out_dir: str, dataset: str)
     done = {stage: is_complete(spark, path) for stage, path in paths.items()}
     has_raw = path_exists(spark, f"{raw_dir.rstrip('/')}/{dataset}")
     parts = [raw.read_raw(spark, raw_dir, dataset).select(F.lit("raw").alias("stage"))] if has_raw else []
-    parts += [spark.read.parquet(paths[stage]).select(F.lit(stage).alias("stage")) for stage, complete in done.items() if complete]
+    parts += [read_table(spark, paths[stage]).select(F.lit(stage).alias("stage")) for stage, complete in done.items() if complete]
     known = spark.createDataFrame([("raw", has_raw), *done.items()], "stage string, complete boolean")
     none = spark.createDataFrame([], "stage string")
     counts = reduce(DataFrame.union, parts, none).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))

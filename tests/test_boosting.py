@@ -92,12 +92,15 @@ def test_independent_of_partitions_and_passes(data, monkeypatch):
     _, _, df = data
     first = b.train(df, "features", "y", 3, rounds=3, depth=5)
     monkeypatch.setattr(b, "CELLS_PER_TASK", 100)
-    monkeypatch.setattr(b, "HELD_BYTES", 4 * 4 * 64 * 16)
+    monkeypatch.setattr(b, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(b, "HELD_BYTES", 4 * 4 * 64 * 24)
     monkeypatch.setattr(b, "LINEAGE_ROUNDS", 2)
     second = b.train(df.repartition(7), "features", "y", 3, rounds=3, depth=5)
     assert [[vars(t) for t in g] for g in first.trees] != [] and second.passes > first.passes
+    monkeypatch.setattr(b, "LOCAL_ROWS", 60)
+    third = b.train(df.repartition(2), "features", "y", 3, rounds=3, depth=5)
     order = lambda m: [sorted(zip(t.feature, t.bin, t.threshold, t.value, t.gain)) for g in m.trees for t in g]
-    assert order(first) == order(second)
+    assert order(first) == order(second) == order(third)
 
 
 def test_default_size_separates_a_hard_problem(spark):

@@ -213,3 +213,14 @@ def test_quoted_fields_like_a_csv_reader(spark, tmp_path):
     assert ingest.read_ingested(spark, f"{tmp_path}/out").count() == len(want)
     spanning = raw.files_with_spanning_records(spark, raw.list_raw_files(spark, str(tmp_path), "cic_ids2018"), raw.DIALECTS["cic_ids2018"])
     assert [f.rsplit("/", 1)[1] for f in spanning] == ["with breaks.csv"]
+
+
+def test_stages_follow_their_inputs_and_settings(spark, tmp_path):
+    write_cic(f"{tmp_path}/raw/cic_ids2018", [f"{i},{i},n,Benign" for i in range(60)])
+    raw_dir, out = f"{tmp_path}/raw", f"{tmp_path}/out"
+    stages = lambda **k: (preprocess.run_preprocessing(spark, raw_dir, out, "cic_ids2018"), preprocess.run_sampling(spark, out, "cic_ids2018", Settings(**k)))
+    assert stages() == (True, True) and stages() == (False, False) and stages(seed=7) == (False, True)
+    write_cic(f"{tmp_path}/raw/cic_ids2018", [f"{i},{i},n,Bot" for i in range(60, 90)], "b.csv")
+    assert stages(seed=7) == (True, True) and stages(seed=7) == (False, False)
+    assert tables.read_table(spark, f"{out}/subsets/cic_ids2018").count() == 90
+    assert tables.published(spark, f"{out}/processed/cic_ids2018")["dropped"] == []

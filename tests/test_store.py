@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sentinel.plans import reports
 from sentinel.schema import EPSILON_GRID, RESULT_SCHEMA
-from sentinel.sources import ledger
+from sentinel.sources import commits, ledger, tables
 from workload import inputs as I
 from workload import metric_queries, report_queries, sample_queries
 
@@ -129,3 +129,44 @@ def test_split_does_not_shuffle_its_rows(spark):
     rows = I.read(spark, "/root/testdata/sf0.001", "orders").select("o_orderkey", "o_orderstatus")
     text = plan(sample_queries.sample.add_split(rows, "o_orderkey", stratum="o_orderstatus"))
     assert "Exchange hashpartitioning" not in text and "Window" not in text
+
+
+def test_savers_at_the_same_time_lose_no_row(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"{tmp_path}/r"
+    parts = [runs(spark, [("dp_sgd", float(i), i / 10), ("dp_sgd", float(10 + i), i / 10), ("shared", None, i / 10)]) for i in range(1, 6)]
+    with ThreadPoolExecutor(5) as pool:
+        versions = list(pool.map(lambda p: ledger.save(p, root, RESULT_SCHEMA), parts))
+    got = ledger.load(spark, root, RESULT_SCHEMA).collect()
+    assert sorted(r["epsilon"] for r in got if r["epsilon"]) == [1, 2, 3, 4, 5, 11, 12, 13, 14, 15] and len(got) == 11
+    last = [r for r in got if r["model_name"] == "shared"]
+    assert len(last) == 1 and last[0]["version"] == max(versions)
+    folders = [p.name for p in (tmp_path / "r").iterdir() if p.name.startswith("v=")]
+    assert len(folders) == 5 and commits.CommitLog(spark, root).numbers() == [1, 2, 3, 4, 5]
+
+
+def test_a_commit_is_made_once(spark, tmp_path):
+    log = commits.CommitLog(spark, f"{tmp_path}/log")
+    assert log.last() == (0, None) and log.append(0, {"folder": "a"}) and not log.append(0, {"folder": "b"})
+    assert log.last() == (1, {"folder": "a"}) and log.append(1, {"folder": "c"}) and log.last()[1] == {"folder": "c"}
+    with pytest.raises(FileExistsError):
+        open(f"{tmp_path}/log/_commits/000000000001.json", "x")
+
+
+def test_publish_switches_last_and_keeps_the_old_table_on_a_crash(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    build = lambda value: lambda: tables.publish(spark.range(3).withColumn("v", F.lit(value)), path, ["v"], value)
+    assert tables.build_once(spark, path, build("one"), of="one") and not tables.build_once(spark, path, build("one"), of="one")
+
+    def crash():
+        bad = F.udf(lambda i: 1 // (i - 2), "long")
+        tables.publish(spark.range(3).select(bad("id").alias("v")), path, of="two")
+
+    with pytest.raises(Exception):
+        tables.build_once(spark, path, crash, of="two")
+    assert {r["v"] for r in tables.read_table(spark, path).collect()} == {"one"}
+    assert tables.build_once(spark, path, build("two"), of="two") and tables.build_once(spark, path, build("two"), of="two", force=True)
+    assert tables.read_table(spark, path, ["v"]).distinct().collect()[0]["v"] == "two"
+    assert commits.CommitLog(spark, path).vacuum() == 2 and tables.read_table(spark, path).count() == 3
+    assert not tables.is_complete(spark, f"{tmp_path}/none")

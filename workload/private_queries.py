@@ -334,27 +334,6 @@ def gbt_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(baselines.predict(model, rows, "features"), ["split"], "y5", "multiclass")
 
 
-_LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-
-
-def order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines with four features and the return flag as the class."""
-    li = I.read_spread(spark, sf, "lineitem")
-    code = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1
-    late = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
-    u = I.uniform(I.SEED, "part", "l_orderkey", "l_linenumber")
-    return li.select(F.array(*[F.col(c).cast("double") for c in _LINE_FEATURES], late).alias("features"), code.cast("int").alias("y"),
-                     F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test").alias("split"))
-
-
-@query()
-def gbt_order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Softmax over the return flags of all order lines, 100 rounds of depth 10."""
-    rows = order_lines(spark, sf)
-    model = baselines.train_boosted(rows.where("split = 'train'"), "features", "y", 3)
-    return _scored(baselines.predict(model, rows, "features"), ["split"], "y", "multiclass")
-
-
 def _sql_units(value: float) -> str:
     """A number as the whole multiple of 2**-24 that the histograms add."""
     return f"({round(value * (1 << 24))} / 16777216e0)"
