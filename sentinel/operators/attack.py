@@ -94,32 +94,44 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, max_iter: int = 1
     return w
 
 
-def attack_scores(sampled: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
-    """Fit the attacker per run and score its test rows: (keys, key, member, y_pred, score).
+NOT_FINITE, ONE_SIDE, SINGULAR = "features are not finite", "only one side has fitting rows", "the fit is singular"
+
+
+def fit_attackers(sampled: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
+    """(keys, mean, scale, weights, problem) of every run with fitting rows; ``problem`` says why an attacker could not be fitted.
 
-    ``sampled`` holds (keys, key, member, part, attack_features). Only the fitting rows, a bounded number per run, are
-    grouped; the parameters they give are joined to the rows to be scored. A run whose attacker
-    cannot be fitted (one side missing, features that are not finite) is left out and does not stop the others.
+    Only the fitting rows, a bounded number per run, are grouped.
     """
     keys = list(keys)
 
     def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pdf.iloc[:0][keys].assign(mean=None, scale=None, weights=None)
         pdf = pdf.sort_values(["member", key])
         x, y = np.stack(pdf["attack_features"].to_numpy()), pdf["member"].to_numpy(dtype=float)
-        if not np.isfinite(x).all() or y.min() == y.max():
-            return none
-        mean, sd = x.mean(0), x.std(0)
-        sd = np.where(sd == 0, 1.0, sd)
-        try:
-            w = fit_logistic((x - mean) / sd, y)
-        except np.linalg.LinAlgError:
-            return none
-        return pdf.iloc[:1][keys].assign(mean=[mean], scale=[sd], weights=[w])
+        problem = NOT_FINITE if not np.isfinite(x).all() else ONE_SIDE if y.min() == y.max() else None
+        mean = sd = w = None
+        if problem is None:
+            mean, sd = x.mean(0), x.std(0)
+            sd = np.where(sd == 0, 1.0, sd)
+            try:
+                w = fit_logistic((x - mean) / sd, y)
+            except np.linalg.LinAlgError:
+                problem = SINGULAR
+        return pdf.iloc[:1][keys].assign(mean=[mean], scale=[sd], weights=[w], problem=[problem])
 
     fit = sampled.where("part = 'train'").select(*keys, key, "member", "attack_features")
     columns = ", ".join(f"`{c}` {t}" for c, t in sampled.select(*keys).dtypes)
-    models = fit.groupBy(*keys).applyInPandas(per_run, f"{columns}, mean array<double>, scale array<double>, weights array<double>")
+    return fit.groupBy(*keys).applyInPandas(per_run, f"{columns}, mean array<double>, scale array<double>, weights array<double>, problem string")
+
+
+def attack_scores(sampled: DataFrame, keys: Sequence[str], key: str, attackers: DataFrame | None = None) -> DataFrame:
+    """Fit the attacker per run and score its test rows: (keys, key, member, y_pred, score).
+
+    ``sampled`` holds (keys, key, member, part, attack_features). The parameters of :func:`fit_attackers` are joined to the rows to be
+    scored. A run whose attacker cannot be fitted has no scores and does not stop the others.
+    """
+    keys = list(keys)
+    attackers = fit_attackers(sampled, keys, key) if attackers is None else attackers
+    models = attackers.where("problem IS NULL").drop("problem")
     test = sampled.where("part = 'test'").select(*keys, key, "member", "attack_features").join(models, keys)
     scaled = F.zip_with(F.zip_with("attack_features", "mean", lambda v, m: v - m), "scale", lambda v, s: v / s)
     terms = F.zip_with(scaled, F.slice("weights", F.lit(1), F.size("attack_features")), lambda v, w: v * w)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,12 +178,25 @@ def _stored_lots(slim: DataFrame, rate: float, begin: int, last: int, seed: str,
 
 def predict(df: DataFrame, model: Mlp, features: str = "features") -> DataFrame:
     """Add ``probs``, ``y_pred`` and ``epsilon``."""
-    shapes, theta = model.shapes, model.theta
-
-    @F.pandas_udf("array<double>")
-    def probabilities(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy()).astype(np.float64)
-        return pd.Series(list(forward(m, _layers(theta, shapes))[1]))
-
-    scored = df.withColumn("probs", probabilities(features))
-    return scored.withColumn("y_pred", argmax(F.col("probs"))).withColumn("epsilon", F.lit(model.epsilon))
+    return predict_all(df, [model], features)
+
+
+def predict_all(df: DataFrame, models: Sequence[Mlp], features: str = "features") -> DataFrame:
+    """One row per input row and network, from one pass: the stacked weights of all networks meet each batch once."""
+    shapes, theta, budgets = models[0].shapes, np.stack([m.theta for m in models]), [m.epsilon for m in models]
+    if any(m.shapes != shapes for m in models):
+        raise ValueError("the networks have different layers")
+
+    @F.arrow_udf("array<array<double>>")
+    def probabilities(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(x), shapes[0][0])
+        each = np.stack([forward(rows, _layers(t, shapes))[1] for t in theta], axis=1)  # rows x networks x classes
+        n, count, classes = each.shape
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(n * count + 1) * classes, pa.int32()), pa.array(each.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), inner)
+
+    x = F.transform(features, lambda v: v.cast("double"))
+    pairs = F.arrays_zip(F.array(*map(F.lit, budgets)).alias("epsilon"), F.col("_all").alias("probs"))
+    scored = df.withColumn("_all", probabilities(x)).withColumn("_one", F.explode(pairs))
+    return scored.withColumn("probs", F.col("_one")["probs"]).withColumn("y_pred", argmax(F.col("probs"))).withColumn(
+        "epsilon", F.col("_one")["epsilon"]).drop("_all", "_one")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentinel.functions.storage import cut_lineage
 from sentinel.operators import attack
-from sentinel.schema import DEFAULTS
+from sentinel.schema import ATTACK_SCHEMA, DEFAULTS
 from sentinel.sources import ledger
 
 RUN = ["run_id"]
@@ -22,10 +22,19 @@ def sampled_features(preds: DataFrame, sample: DataFrame) -> DataFrame:
 def attack_runs(preds: DataFrame, rows: DataFrame, fit_rows: int = DEFAULTS.attack_cap,
                 seed: int = DEFAULTS.seed) -> DataFrame:
     """Attack metrics per run_id. ``rows`` lists the records of every data set with their split, once each."""
+    return _attacked(_sampled(preds, rows, fit_rows, seed))[0]
+
+
+def _sampled(preds: DataFrame, rows: DataFrame, fit_rows: int, seed: int) -> DataFrame:
     groups = [c for c in ("dataset", "label_type") if c in rows.columns]
-    sampled = cut_lineage(sampled_features(preds, attack.attack_sample(rows, "row_id", groups, fit_rows, seed)))
-    scores = attack.attack_scores(sampled, RUN, "row_id")
-    return attack.attack_metrics(scores, RUN).join(sample_sizes(sampled), RUN)
+    return cut_lineage(sampled_features(preds, attack.attack_sample(rows, "row_id", groups, fit_rows, seed)))
+
+
+def _attacked(sampled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics of the runs that could be attacked, and the attackers of all runs."""
+    attackers = cut_lineage(attack.fit_attackers(sampled, RUN, "row_id"))
+    scores = attack.attack_scores(sampled, RUN, "row_id", attackers)
+    return attack.attack_metrics(scores, RUN).join(sample_sizes(sampled), RUN), attackers
 
 
 def sample_sizes(sampled: DataFrame) -> DataFrame:
@@ -48,17 +57,45 @@ def attack_records(attacks: DataFrame, results: DataFrame) -> DataFrame:
         "attack_type", F.lit("black_box_confidence"))
 
 
-def sweep(preds: DataFrame, rows: DataFrame, results: DataFrame, done: DataFrame, runs: DataFrame | None = None,
-          force: bool = False, fit_rows: int = DEFAULTS.attack_cap, seed: int = DEFAULTS.seed) -> DataFrame:
-    """Attack records of the runs not in ``done`` (all runs with ``force``).
-
-    ``runs`` lists the runs (one row each, as training returns them); without it they are taken from ``results``.
-    """
+def _todo(results: DataFrame, done: DataFrame, runs: DataFrame | None, force: bool) -> DataFrame:
     runs = results if runs is None else runs
     runs = runs.select("run_id", "dataset", "label_type", "model_name", "epsilon").distinct()
     if not force:
         runs = ledger.pending(runs, done, [
             ("dataset", "dataset"), ("label_type", "label_type"), ("model_name", "target_model"),
             ("epsilon", "epsilon")])
-    todo = preds.join(runs.select("run_id"), "run_id", "left_semi")
+    return runs
+
+
+def sweep(preds: DataFrame, rows: DataFrame, results: DataFrame, done: DataFrame, runs: DataFrame | None = None,
+          force: bool = False, fit_rows: int = DEFAULTS.attack_cap, seed: int = DEFAULTS.seed) -> DataFrame:
+    """Attack records of the runs not in ``done`` (all runs with ``force``).
+
+    ``runs`` lists the runs (one row each, as training returns them); without it they are taken from ``results``.
+    """
+    todo = preds.join(_todo(results, done, runs, force).select("run_id"), "run_id", "left_semi")
     return attack_records(attack_runs(todo, rows, fit_rows, seed), results)
+
+
+NO_ROWS, NO_RESULT = "no predictions of sampled rows", "no test results of the target"
+
+
+def failures(runs: DataFrame, attackers: DataFrame, results: DataFrame) -> DataFrame:
+    """(run_id, dataset, label_type, model_name, epsilon, problem) of the runs that have no attack record, with the reason."""
+    tested = results.where("split = 'test'").select("run_id", F.lit(True).alias("_tested"))
+    joined = runs.join(attackers.select("run_id", "problem", F.lit(True).alias("_fitted")), "run_id", "left").join(tested, "run_id", "left")
+    reason = F.when(F.col("_fitted").isNull(), NO_ROWS).when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("_tested").isNull(), NO_RESULT)
+    return joined.withColumn("problem", reason).where("problem IS NOT NULL").select(*runs.columns, "problem")
+
+
+def run_sweep(preds: DataFrame, rows: DataFrame, results: DataFrame, root: str, runs: DataFrame | None = None, force: bool = False,
+              fit_rows: int = DEFAULTS.attack_cap, seed: int = DEFAULTS.seed) -> DataFrame:
+    """Attack the runs that the store at ``root`` lacks, save their records there, and return the runs that failed with the reason."""
+    done = ledger.load(preds.sparkSession, root, ATTACK_SCHEMA)
+    todo = cut_lineage(_todo(results, done, runs, force))
+    if todo.isEmpty():
+        return todo.withColumn("problem", F.lit(None).cast("string"))
+    sampled = _sampled(preds.join(todo.select("run_id"), "run_id", "left_semi"), rows, fit_rows, seed)
+    metrics, attackers = _attacked(sampled)
+    ledger.save(attack_records(metrics, results), root, ATTACK_SCHEMA, ledger.ATTACK_KEY)
+    return failures(todo, attackers, results)
