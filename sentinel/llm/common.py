@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 COPY_CHUNK = 10_000
@@ -26,6 +27,27 @@ def row_key(*cols: Column | str) -> Column:
     return F.concat(F.hex(F.xxhash64(*parts, *flags)), F.hex(F.xxhash64(F.lit(17), *parts, *flags)))
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, MapType) or (isinstance(kind, StructType) and any(_has_map(f.dataType) for f in kind.fields))
+
+
+def whole_row_key(df: DataFrame) -> Column:
+    """128 bits that identify all values of a row; maps, which cannot be hashed, count by their text."""
+    return row_key(*(F.to_json(F.struct(f"`{f.name}`")) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
+def whole_row(df: DataFrame, name: str = "_doc") -> Column:
+    """All columns in one struct, so that columns of any name can be carried beside an operator's own."""
+    return F.struct(*(f"`{c}`" for c in df.columns)).alias(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None, name: str = "_doc") -> list[Column]:
+    """The columns of :func:`whole_row` again, some of them changed."""
+    return [(changed or {}).get(c, F.col(name).getField(c)).alias(c) for c in columns]
+
+
 def numbered_copies(df: DataFrame, keys: list[str], copy: str = "copy") -> DataFrame:
     """The rows of ``keys`` with a number from 0 that tells equal rows apart.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentinel.functions.storage import cut_lineage
-from sentinel.llm.common import n_words, numbered_copies, row_key, unit
+from sentinel.llm.common import n_words, numbered_copies, unit, unpacked, whole_row, whole_row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_ROWS = 4096
@@ -122,7 +122,7 @@ def rounded(rows: DataFrame, total: int, block_rows: int = BLOCK_ROWS, fan_in: i
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target (of the source), taken (words) and copies for every row of ``docs``, and its row key."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_key(*docs.columns).alias("key"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), whole_row_key(docs).alias("key"))
     rows = cut_lineage(numbered_copies(sized, ["doc_id", "source", "size", "key"]))
     plan = targets(cycled_weights(rows, weights), share, most)
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
@@ -137,6 +137,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     taken = mix(docs, **settings).groupBy("key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    once = docs.withColumn("_key", row_key(*docs.columns)).groupBy("_key").agg(*(F.first(F.col(c)).alias(c) for c in docs.columns))
+    once = docs.select(whole_row_key(docs).alias("_key"), whole_row(docs)).groupBy("_key").agg(F.first("_doc").alias("_doc"))
     found = once.join(taken.withColumnRenamed("key", "_key"), "_key")
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_")).drop("_")
+    each = found.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_number"))
+    return each.select(*unpacked(each, docs.columns))

@@ -12,8 +12,9 @@ need little of the index, isotropic data much of it. Every row is indexed.
 Equal vectors are one entry with their k+1 smallest ids, which is all that any answer of k can use, so a
 vector that occurs a million times costs one row. Equal query vectors are searched once.
 
-Defined cases: vectors that are null, empty, all zero, hold null or non-finite components, or differ in
-length from the first sampled one, and rows without id, take no part. A repeated id counts once per distinct
+Vectors of different lengths have no cosine; each length has an index of its own and its queries are answered from it.
+
+Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components, and rows without id, take no part. A repeated id counts once per distinct
 vector. Queries with fewer candidates than k return them all. Other columns are ignored. An empty table gives no rows.
 """
 
@@ -22,10 +23,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,12 +146,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
            recall: float = 0.97, sample_rows: int = 20_000, per_cell: int = 500) -> DataFrame:
     """query_id, rank, the neighbour's id and score for every usable row that ``is_query`` marks, against all rows."""
     rows = usable_rows(vectors, is_query, id_col, vector)
-    sample = rows.select("id", "h", "v").orderBy(F.xxhash64("id"), "id", "h").limit(sample_rows).select("v").toArrow()
-    if not sample.num_rows:
+    asked = F.max("q").alias("asked")
+    widths = sorted(r["w"] for r in rows.groupBy(F.size("v").alias("w")).agg(asked).collect() if r["asked"])  # one row per length
+    if not widths:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).where("false")
-    width = len(sample.column("v")[0].as_py())
-    rows = rows.where(F.size("v") == width)
-    kept = sample.filter(pc.equal(pc.list_value_length(sample.column("v")), width))
+    parts = [_search_width(rows.where(F.size("v") == w), k, id_col, recall, sample_rows, per_cell) for w in widths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search_width(rows: DataFrame, k: int, id_col: str, recall: float, sample_rows: int, per_cell: int) -> DataFrame:
+    """The answers of all queries among usable rows of one length."""
+    kept = rows.select("id", "h", "v").orderBy(F.xxhash64("id"), "id", "h").limit(sample_rows).select("v").toArrow()
     entries = cut_lineage(_indexed(rows, k))
     total = entries.count()
     books = fit_codebooks(_unit(_matrix(kept.column("v"))), total, k, recall, per_cell)

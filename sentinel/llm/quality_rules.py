@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.llm.common import Texts, bounded_slices, codes, seen_before
+from sentinel.llm.common import Texts, bounded_slices, codes, row_key, seen_before
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share",
@@ -181,12 +181,18 @@ def _grow(nodes, binned, edges, grad, hess, rows, monotone, depth, rate, ridge,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, allowed: Column | None = None) -> DataFrame:
-    """Texts and labels (``_y``) of at most ``max_rows`` labelled rows, those with the smallest keyed hashes."""
+    """Distinct texts of labelled documents with their labels (doc_id, text, ``_y`` and the key of the row, ``_key``).
+
+    Of the labels those with the smallest keyed hashes are taken, and so are the rows that they belong to: at most ``max_rows`` of either, however
+    often an id occurs in ``docs``. A row with two labels is listed with each.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if allowed is not None:
         known = known.where(allowed)
     picked = known.select("doc_id", F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("_key", row_key("doc_id", "text"))
+    chosen = rows.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
+    return rows.join(F.broadcast(chosen), "_key", "left_semi").dropDuplicates(["_key", "_y"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000, **settings) -> Trees:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinel.functions.storage import cut_lineage
-from sentinel.llm.common import row_key
+from sentinel.llm.common import row_key, unpacked, whole_row
 
 # The kinds of spans in the order of the report, their patterns, the group that is the value, its least length.
 # A run of one character class is long enough or holds no match at all, so access and hex carry their length in the pattern.
@@ -157,13 +157,15 @@ def redact(docs: DataFrame, owner: Column, repo: Column, mark: str = "[SECRET]")
     hidden = scan(docs, owner, repo).select("_key", F.filter("spans", lambda s: s["verdict"] != "example").alias("_spans")).where(F.size("_spans") > 0)
     # Only rows that can hold a candidate are shuffled with their texts.
     may = F.coalesce(F.col("text").rlike("|".join(f"(?:{p})" for p, _, _ in PATTERNS.values())), F.lit(False))
-    rest, suspects = docs.where(~may), docs.where(may).withColumn("_key", row_key("doc_id", "text"))
+    rest, suspects = docs.where(~may), docs.where(may).select(row_key("doc_id", "text").alias("_key"), whole_row(docs))
+    text = F.col("_doc.text")
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(
-        F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].cast("int").alias("at"),
+        F.concat(a["out"], F.substring(text, a["at"] + 1, (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].cast("int").alias("at"),
     )).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"].cast("int")).alias("at")))
     done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
-                       lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    changed = suspects.join(hidden, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
+                       lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    joined = suspects.join(hidden, "_key", "left").select("_doc", F.when(F.col("_spans").isNull(), text).otherwise(done).alias("_text"), F.col("_spans").isNull().alias("_same"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rest.unionByName(changed.select(*docs.columns))
+        changed["n_chars"] = F.when(F.col("_same"), F.col("_doc.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return rest.unionByName(joined.select(*unpacked(joined, docs.columns, changed)))

@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentinel.functions.storage import cut_lineage
 from sentinel.llm.common import Texts, bounded_slices, codes, mix64
 from sentinel.llm.quality_rules import labelled_sample
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 PRIOR = 30.0
+MAX_ENTRIES = 40_000_000  # buckets of all bags at the driver, some 500 MB
 SAME = 0
 _PRIME = np.uint64(0x100000001B3)
 
@@ -139,18 +141,23 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4_000, **settings) -> Subword:
-    """Learn from at most ``max_rows`` labelled documents that are not held out; only their bags come to the driver."""
+    """Learn from at most ``max_rows`` labelled documents that are not held out; only their bags come to the driver, those with the smallest
+    hashes up to ``MAX_ENTRIES`` buckets in all."""
     sample = labelled_sample(docs, labels, label, max_rows, ~held_out())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded_slices(batches, "text"):
             found = bags(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.string()), part.column("_y"), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())),
-                 pa.array([c.astype(np.float32) for _, c in found], pa.list_(pa.float32()))], ["doc_id", "_y", "ids", "counts"])
-
-    table = sample.mapInArrow(rows, "doc_id string, _y int, ids array<int>, counts array<float>").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("_y", "ascending")])
+                [part.column("doc_id").cast(pa.string()), part.column("_key"), part.column("_y"), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())),
+                 pa.array([c.astype(np.float32) for _, c in found], pa.list_(pa.float32()))], ["doc_id", "_key", "_y", "ids", "counts"])
+
+    made = cut_lineage(sample.mapInArrow(rows, "doc_id string, _key string, _y int, ids array<int>, counts array<float>"))
+    sizes = made.select("_key", F.size("ids").alias("n")).orderBy(F.xxhash64("_key"), "_key").toArrow()  # one number per sampled row
+    fits = np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), MAX_ENTRIES, side="right")
+    if fits < sizes.num_rows:
+        made = made.where(F.col("_key").isin(sizes.column("_key").slice(0, int(fits)).to_pylist()))
+    table = made.toArrow().sort_by([("doc_id", "ascending"), ("_y", "ascending"), ("_key", "ascending")])
     found = list(zip((x.values.to_numpy() for x in table.column("ids")), (x.values.to_numpy().astype(float) for x in table.column("counts"))))
     return train(found, table.column("_y").to_numpy(), **settings)
 

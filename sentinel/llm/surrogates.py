@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinel.functions.storage import cut_lineage
-from sentinel.llm.common import row_key
+from sentinel.llm.common import row_key, unpacked, whole_row
 
 # Given names by gender and script, titles before names, and syllables of surnames by script.
 GIVEN = {
@@ -197,7 +197,7 @@ def mention_table(mentions: DataFrame, secret: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, secret: str, salts: int = 16) -> DataFrame:
-    """``docs`` with surrogates in the texts, and n_entities. Only rows with entities are shuffled; a mention that very many rows hold is joined in parts."""
+    """``docs`` with surrogates in the texts, and n_entities (in place of such a column of ``docs``). Only rows with entities are shuffled; a mention that very many rows hold is joined in parts."""
     may = F.coalesce(F.col("text").rlike(MARKS), F.lit(False))
     found = docs.where(may).select(row_key("doc_id", "text").alias("_key"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_all"))
     found = cut_lineage(found.where(F.size("_all") > 0).groupBy("_key").agg(F.first("_all").alias("_all")))
@@ -205,12 +205,14 @@ def replace(docs: DataFrame, secret: str, salts: int = 16) -> DataFrame:
     table = cut_lineage(mention_table(single, secret)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lists = single.join(table, ["mention", "_salt"]).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "replacement"))).alias("_new"))
     lists = lists.select("_key", F.transform("_new", lambda x: x["replacement"]).alias("_new"))
-    rest = docs.where(~may).withColumn("n_entities", F.lit(0).cast("long"))
-    changed = docs.where(may).withColumn("_key", row_key("doc_id", "text")).join(lists, "_key", "left")
-    pieces = F.split(F.col("text"), ANY, -1)
+    columns = [c for c in docs.columns if c != "n_entities"]
+    rest = docs.where(~may).select(*(f"`{c}`" for c in columns), F.lit(0).cast("long").alias("n_entities"))
+    text, suspects = F.col("_doc.text"), docs.where(may).select(row_key("doc_id", "text").alias("_key"), whole_row(docs))
+    pieces = F.split(text, ANY, -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_new")), "_new", lambda p, r: F.concat(p, r)), ""), F.element_at(pieces, -1))
-    changed = changed.withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(new))
-    changed = changed.withColumn("n_entities", F.coalesce(F.size("_new"), F.lit(0)).cast("long"))
+    joined = suspects.join(lists, "_key", "left").select("_doc", "_new", F.when(F.col("_new").isNull(), text).otherwise(new).alias("_text"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rest.unionByName(changed.select(*docs.columns, "n_entities"))
+        changed["n_chars"] = F.when(F.col("_new").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    found_in = F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities")
+    return rest.unionByName(joined.select(*unpacked(joined, columns, changed), found_in))
