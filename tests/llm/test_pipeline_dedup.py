@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_minhash import brute, shingles, words
 
@@ -24,3 +26,13 @@ def test_pairs_between_80_and_85_are_linked(spark, documents):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()}
     assert kept == {i for i, _, group in brute(rows, 80) if i == group}
     assert len(kept) == len(rows) - between
+
+
+def test_texts_under_one_id_are_judged_each_on_their_own(spark, documents):
+    rng = random.Random(3)
+    one, two, three = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, three), (5, three), (None, two), (None, None), (7, ""), (8, "")]
+    df = documents(rows, extra=("_key", "_doc", "kept")).withColumn("tags", F.create_map(F.lit("k"), F.lit("v")))
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, one), (1, two), (5, three), (None, None), (7, ""), (8, "")], key=str)
