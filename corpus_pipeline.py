@@ -1,8 +1,7 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
-last return the columns of documents. Rows without doc_id are kept by the dedup stage; of rows that share a
-doc_id it keeps the one with the smallest text.
+last return the columns of documents. The dedup stage keeps one row of those equal in doc_id and text.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sentinel.functions.storage import shared_dir
 from sentinel.llm import minhash, mixing, packing, quality_rules, secret_scan
+from sentinel.llm.common import row_key, unpacked, whole_row
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +23,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays. Near means a similarity of 0.8 or more; the bands miss 7e-6 of the pairs at 0.8."""
-    kept = minhash.near_duplicates(docs, percent=80, bands=30).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row"))
-    named = named.select(*(F.col(c) if c == "doc_id" else F.col("_row").getField(c).alias(c) for c in docs.columns))
-    return named.union(docs.where("doc_id IS NULL"))
+    """One document of each near-duplicate group stays. Near means a similarity of 0.8 or more; the bands miss 7e-6 of the pairs at 0.8.
+
+    Texts are told apart by doc_id and text, so different texts under one doc_id are judged each on their own. The one that stays has the smallest
+    doc_id of its group; rows without one come last.
+    """
+    number = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_key("doc_id", "text").alias("key"))
+    kept = minhash.near_duplicates(docs.select(number.alias("doc_id"), "text"), percent=80, bands=30).where("kept").select(F.col("doc_id.key").alias("_key")).distinct()
+    rows = docs.select(row_key("doc_id", "text").alias("_key"), whole_row(docs))
+    once = rows.join(kept, "_key").groupBy("_key").agg(F.first("_doc").alias("_doc"))
+    return once.select(*unpacked(once, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,5 @@
 """Every registered query runs; those with SQL agree with DuckDB."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
@@ -21,14 +19,8 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-#: Full-size fits without SQL, minutes in all; their operators are tested in test_private. SENTINEL_SLOW=1 runs them here, too.
-SLOW = {"dp_mlp_training", "gbt", "gbt_one_vs_rest", "experiment"}
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    if name in SLOW and not os.environ.get("SENTINEL_SLOW"):
-        pytest.skip("slow")
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     assert len(set(df.columns)) == len(df.columns)

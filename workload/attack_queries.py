@@ -175,3 +175,17 @@ def mia_sweep(spark: SparkSession, sf: str) -> DataFrame:
     swept = mia.sweep(preds, _rows(spark, sf), res, done, I.run_table(spark, sf), fit_rows=FIT_ROWS, seed=I.SEED)
     return swept.select("run_id", "target_model", "epsilon", "n_members", "n_attack_train", "n_attack_test",
                         *[rnd(c, 4).alias(c) for c in ATTACK_METRICS])
+
+
+@query(ctes(I.sql_rows(), I.sql_runs()) + """SELECT 'events/' || run_id AS run_id, model_name, epsilon, CASE no % 3
+WHEN 0 THEN 'features are not finite' ELSE 'no predictions of sampled rows' END AS problem FROM runs WHERE no % 3 < 2""")
+def attack_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all runs a third has probabilities that are no numbers and a third has no predictions: they are listed, the rest is attacked."""
+    number = F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int") % 3
+    preds = I.predictions(spark, sf, EVERY).where(number != 1)
+    preds = preds.withColumn("probs", F.when(number == 0, F.transform("probs", lambda p: F.lit(float("nan")))).otherwise(F.col("probs")))
+    runs = I.run_table(spark, sf).select("run_id", "dataset", "label_type", "model_name", "epsilon")
+    sampled = mia.sampled_features(preds, attack.attack_sample(_rows(spark, sf), "row_id", ["dataset"], FIT_ROWS, I.SEED).where("part = 'train'"))
+    tested = runs.withColumn("split", F.lit("test"))
+    found = mia.failures(runs, attack.fit_attackers(sampled, ["run_id"], "row_id"), tested)
+    return found.select("run_id", "model_name", "epsilon", "problem")

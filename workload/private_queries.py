@@ -18,7 +18,7 @@ from sentinel.operators.scale import norm_bound
 from sentinel.plans import evaluate as evaluate_runs
 from sentinel.plans import train
 from sentinel.schema import DEFAULTS, EPSILON_GRID
-from sentinel.sources import ledger
+from sentinel.sources import ledger, models
 from workload import inputs as I
 from workload.registry import ctes, query
 
@@ -434,22 +434,45 @@ def dp_mlp_training(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("actual_epsilon", rnd("actual", 4)).drop("actual")
 
 
-SMALL = replace(DEFAULTS, epsilons=(0.1, 1.0, 10.0), n_trees=20, tree_depth=5)
+def _experiment_data(spark: SparkSession, sf: str) -> train.Prepared:
+    """Flows with a label that depends on the features, so that the budget's effect shows."""
+    hit = F.col("f_value") / 50 + F.col("f_k") / 100 > 1.2
+    rows = I.flows(spark, sf).withColumn("label_multiclass", F.when(hit, "DoS").otherwise("BENIGN")).withColumn(
+        "label_binary", hit.cast("tinyint"))
+    return train.prepare(add_split(rows, "row_id", seed=I.SEED))
 
 
 @query()
 def experiment(spark: SparkSession, sf: str) -> DataFrame:
-    """Flows to split, scaling, two baselines and two private families, and their test metrics.
-
-    The label depends on the features here, so that the budget's effect shows.
-    """
-    hit = F.col("f_value") / 50 + F.col("f_k") / 100 > 1.2
-    rows = I.flows(spark, sf).withColumn("label_multiclass", F.when(hit, "DoS").otherwise("BENIGN")).withColumn(
-        "label_binary", hit.cast("tinyint"))
-    data = train.prepare(add_split(rows, "row_id", seed=I.SEED))
-    preds, runs = train.run_models(
-        data, "events", "binary", ("logistic_regression", "random_forest", "dp_logistic_regression", "dp_random_forest"),
-        SMALL, seed=I.SEED)
+    """Flows to split, scaling, all six families at full size and all 13 budgets, and their test metrics."""
+    preds, runs = train.run_models(_experiment_data(spark, sf), "events", "binary", seed=I.SEED)
+    failed = runs.where("status = 'failed'").select("run_id", "error").collect()
+    if failed:
+        raise RuntimeError(f"runs failed: {failed}")
     res = evaluate_runs.result_rows(preds.where("split = 'test'"), runs)
     return res.select("model_name", "epsilon", "split", *[
         rnd(m, 4).alias(m) for m in ("accuracy", "f1_macro", "mcc", "roc_auc", "false_positive_rate", "detection_rate")])
+
+
+_STORED = replace(DEFAULTS, epsilons=EPSILON_GRID)
+_LIN = len(I.FLOW_FEATURES) + 1
+
+
+@query(f"""SELECT m.model_name, epsilon, n_parameters, 'trained' AS first_status, 'loaded' AS second_status, true AS untimed,
+(SELECT count(*) FROM events) AS n_equal FROM (SELECT 'logistic_regression' AS model_name, CAST(NULL AS DOUBLE) AS epsilon, CAST({_LIN} AS BIGINT) AS n_parameters
+UNION ALL SELECT 'dp_random_forest', epsilon, CAST({FOREST.n_trees * FOREST.n_leaves} AS BIGINT) FROM (VALUES {_EPS}) e(step, epsilon)
+UNION ALL SELECT 'dp_logistic_regression', epsilon, CAST({_LIN} AS BIGINT) FROM (VALUES {_EPS}) e(step, epsilon)) m""")
+def model_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A sweep that stores its models, and the same sweep again: nothing is trained, and every row gets the same class."""
+    data = _experiment_data(spark, sf)
+    store = models.ModelStore(spark, f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}")
+    families = ("logistic_regression", "dp_logistic_regression", "dp_random_forest")
+    runs = [train.run_models(data, "events", "binary", families, _STORED, I.SEED, store) for _ in range(2)]
+    (first, one), (second, two) = runs
+    key = ["run_id", "row_id"]
+    equal = first.select(*key, F.col("y_pred").alias("_a")).join(second.select(*key, F.col("y_pred").alias("_b")), key).groupBy("run_id").agg(
+        F.count_if(F.col("_a") == F.col("_b")).alias("n_equal"))
+    listed = store.listing().select(F.concat_ws("/", "dataset", "label_type", "model_name", F.col("epsilon").cast("string")).alias("run_id"), "n_parameters")
+    both = one.select("run_id", "model_name", "epsilon", F.col("status").alias("first_status")).join(
+        two.select("run_id", F.col("status").alias("second_status"), F.col("train_time_s").isNull().alias("untimed")), "run_id")
+    return both.join(listed, "run_id").join(equal, "run_id").drop("run_id")
