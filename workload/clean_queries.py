@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sentinel.functions.cols import normalize_columns, rnd
 from sentinel.functions.storage import list_dir, shared_dir
-from sentinel.operators import clean, labels
+from sentinel.operators import clean, labels, sketches
 from sentinel.plans import preprocess
 from sentinel.schema import DEFAULTS
 from sentinel.sources import raw, tables
@@ -285,6 +285,45 @@ def stream_ingest_quoted(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("note").alias("n_notes"), F.coalesce(F.max(F.length("note")), F.lit(0)).cast("long").alias("longest"))
 
 
+@query(CLEAN + f"SELECT DISTINCT {CLEAN_COLUMNS} FROM cleaned")
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that arrive one by one: the table holds every distinct row once, wherever its copies were."""
+    root = _write_raw_csv(spark, sf)
+    ingest.ingest_distinct(spark, root, "cic_ids2018", f"{root}/out", f"{root}/state", files_per_batch=2)
+    return ingest.read_ingested(spark, f"{root}/out").drop("dataset_source", "label_binary")
+
+
+_LAYOUT_DISTINCT = f"""SELECT DISTINCT coalesce(label, 'nan') AS label_raw, CAST(flow_value AS FLOAT) AS flow_value, CAST(user_id AS FLOAT) AS user_id,
+CAST(flow_id AS FLOAT) AS flow_id FROM ({_LAYOUT_ROWS})"""
+
+
+@query(_LAYOUT_DISTINCT)
+def stream_dedup_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """As stream_dedup, with files of three layouts: a column that a file lacks is equal to one that is empty."""
+    root = _write_layouts(spark, sf)
+    ingest.ingest_distinct(spark, root, "cic_ids2018", f"{root}/out", f"{root}/state", files_per_batch=1)
+    rows = ingest.read_ingested(spark, f"{root}/out")
+    extra = [c for c in rows.columns if c == "src_ip"]
+    return rows.drop(*extra).select("label_raw", "flow_value", "user_id", "flow_id").distinct()
+
+
+_SKETCH_PROBS = (0.01, 0.25, 0.5, 0.75, 0.99)
+_WITHIN = 0.02
+
+
+@query(ctes(I.SQL_FLOWS) + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST(p AS DOUBLE) AS prob, count({f}) AS n, true AS within FROM flows CROSS JOIN (VALUES {', '.join(f'({p}e0)' for p in _SKETCH_PROBS)}) v(p) GROUP BY p"
+    for f in I.FLOW_FEATURES))
+def sketch_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles from stored sketches of four batches, and whether their ranks in the whole table are within 2 % of the wanted ones."""
+    root = f"{shared_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    flows = I.flows(spark, sf)
+    for batch in range(4):
+        sketches.add_batch(flows.where(F.col("row_id") % 4 == batch), I.FLOW_FEATURES, root, batch)
+    found = sketches.quantiles(sketches.merged(spark, root), _SKETCH_PROBS)
+    return sketches.rank_error(flows, I.FLOW_FEATURES, found).select("feature", "prob", "n", (F.col("rank_error") <= _WITHIN).alias("within"))
+
+
 SUBSET_ROWS = 500
 _QUOTA = f""", u AS (SELECT DISTINCT {CLEAN_COLUMNS} FROM cleaned),
 c AS (SELECT label_multiclass, count(*) AS n FROM u GROUP BY 1),
