@@ -1,29 +1,32 @@
 """Oversampling of small classes between near neighbours, with exact neighbours at scale.
 
-The neighbour join partitions the rows by nearest pivot and uses the triangle inequality to send a
-row only to the cells that can hold one of its k nearest (Lu et al., 2012). A cell with many rows is
-cut into chunks of bounded size, so no group depends on the share of a hot cell. Only k candidates
+The neighbour join partitions the rows by pivots at two levels and uses the triangle inequality to send a
+row only to the cells that can hold one of its k nearest (after Lu et al., 2012). The pivots of the first level are at most
+``MAX_PIVOTS`` and known to the driver; those of the second level split each cell into leaves of about ``chunk_rows`` rows and stay in
+tables. Work on a cell or leaf is cut into groups of bounded size, so none depends on the share of a hot cell or on equal rows. Only k candidates
 per row leave a group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sentinel.functions.joins import explode_copies
-from sentinel.functions.rand import uniform
+from sentinel.functions.rand import fast_uniform, uniform
 from sentinel.functions.storage import cut_lineage
 from sentinel.operators.gradients import batch_matrix
 from sentinel.operators.ranking import mark_smallest
 
 CHUNK_ROWS = 4000
+MAX_PIVOTS = 1024
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,6 +34,38 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _matrix(table: pa.Table, column: str = "x") -> np.ndarray:
+    """A list<double> column of equal lengths as a matrix."""
+    values = table.column(column).combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _met(run: Callable[[pa.Table, pa.Table], pa.Table], columns: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``run`` for groups that both sides have; no rows for others."""
+    none = to_arrow_schema(StructType.fromDDL(columns)).empty_table()
+    return lambda a, b: run(a, b) if a.num_rows and b.num_rows else none
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """The same table with columns of its own, so that it can meet a relative in a cogroup."""
+    return df.toDF(*df.columns)
+
+
+def _parts(rows: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """(by, parts): in how many groups of about ``size`` rows the rows of each key are cut."""
+    return rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row in one part of its key."""
+    return rows.join(parts, list(by)).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+
+
+def _repeated(rows: DataFrame, parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row once in each part of its key."""
+    return rows.join(parts, list(by)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def nearest_neighbors(rows: DataFrame, key: str, features: str, label: str, k: int = 5,
                       n_pivots: int | None = None, chunk_rows: int = CHUNK_ROWS, seed: int = 42) -> DataFrame:
     """(key, label, rank, neighbor, distance): the k nearest other rows of the same class."""
@@ -38,11 +73,13 @@ def nearest_neighbors(rows: DataFrame, key: str, features: str, label: str, k: i
         F.col(key).alias("id"), F.col(label).cast("int").alias("cls"),
         F.transform(features, lambda v: v.cast("double")).alias("x")))
     if n_pivots is None:
-        n_pivots = math.isqrt(base.count()) + 1  # as many cells as a cell has rows; small enough for the driver
+        n_pivots = min(math.isqrt(base.count()) + 1, MAX_PIVOTS)
     drawn = base.orderBy(uniform(seed, "pivot", "id"), "id").limit(n_pivots).collect()
     if not drawn:
         raise ValueError("no rows to search")
     pivots = np.array([r["x"] for r in drawn])
+    id_type = base.schema["id"].dataType.simpleString()
+    row = f"id {id_type}, cls int, x array<double>"
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,92 +91,121 @@ def nearest_neighbors(rows: DataFrame, key: str, features: str, label: str, k: i
                      pa.array(d[np.arange(len(cell)), cell], pa.float64())],
                     names=["id", "cls", "x", "cell", "away"])
 
-    id_type = base.schema["id"].dataType.simpleString()
-    placed = cut_lineage(base.mapInArrow(
-        to_cells, f"id {id_type}, cls int, x array<double>, cell int, away double"))
-    stats = placed.groupBy("cls", "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()
-    cells: dict[int, list[tuple[int, int, float]]] = {}
-    for r in stats:
-        cells.setdefault(r["cls"], []).append((r["cell"], r["n"], r["radius"]))
-    chunks = {(r["cls"], r["cell"]): -(-r["n"] // chunk_rows) for r in stats}
+    placed = cut_lineage(base.mapInArrow(to_cells, f"{row}, cell int, away double"))
+    # classes times MAX_PIVOTS rows
+    stats = placed.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).toArrow()
+    of_class, cell_of, n, radius = (stats.column(c).to_numpy() for c in ("cls", "cell", "n", "radius"))
     between = _distances(pivots, pivots)
 
     # within[cls][cell]: a distance from the cell's pivot that surely covers k + 1 rows of the class
-    within: dict[int, dict[int, float]] = {}
-    for cls, members in cells.items():
-        for cell, _, _ in members:
-            reach, covered = np.inf, 0
-            for far, n in sorted((between[cell, c] + radius, n) for c, n, radius in members):
-                covered += n
-                if covered >= k + 1:
-                    reach = far
-                    break
-            within.setdefault(cls, {})[cell] = reach
+    within: dict[int, np.ndarray] = {}
+    members: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for cls in np.unique(of_class):
+        own = of_class == cls
+        cells, sizes, radii = cell_of[own], n[own], radius[own]
+        far = between[:, cells] + radii
+        order = np.argsort(far, axis=1)
+        covered = np.cumsum(sizes[order], axis=1) >= k + 1
+        first = np.take_along_axis(order, covered.argmax(axis=1)[:, None], 1)
+        within[cls] = np.where(covered.any(axis=1), np.take_along_axis(far, first, 1)[:, 0], np.inf)
+        members[cls] = cells, radii
+
+    cell = ["cls", "cell"]
+    leaves, leaf_stats = _leaves(placed, pivots, chunk_rows, seed, row)
+    own_leaf = F.when(F.col("n") >= k + 1, F.col("near") + F.col("radius"))  # a leaf of k + 1 rows lies within this distance of each of them
+    searching = leaves.join(leaf_stats.select(*cell, "leaf", "n", "radius"), [*cell, "leaf"]).select("id", "cls", "x", "cell", "away", own_leaf.alias("close"))
 
     def to_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, cls = batch_matrix(b, "x"), b.column("cls").to_numpy()
-            cell, away = b.column("cell").to_numpy(), b.column("away").to_numpy()
-            d = _distances(x, pivots)
-            reach = np.array([within[c][p] for c, p in zip(cls, cell)]) + away
+            cls, at = b.column("cls").to_numpy(), b.column("cell").to_numpy()
+            d = _distances(batch_matrix(b, "x"), pivots)
+            coarse = np.array([within[c][p] for c, p in zip(cls, at)]) + b.column("away").to_numpy()
+            reach = np.fmin(coarse, b.column("close").to_numpy(zero_copy_only=False).astype(float)) * (1 + 1e-9) + 1e-9
             for c in np.unique(cls):
-                for target, _, radius in cells[c]:
-                    near = np.where((cls == c) & (d[:, target] - radius <= reach * (1 + 1e-9) + 1e-9))[0]
-                    if len(near):
-                        at = pa.array(near)
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column("id").take(at), b.column("cls").take(at), b.column("x").take(at),
-                             pa.array(np.full(len(near), target), pa.int32())],
-                            names=["id", "cls", "x", "target"])
-
-    sent = cut_lineage(placed.mapInArrow(
-        to_targets, f"id {id_type}, cls int, x array<double>, target int"))
-    searchers = {(r["cls"], r["target"]): -(-r["count"] // chunk_rows)
-                 for r in sent.groupBy("cls", "target").count().collect()}
-
-    def per_cell(numbers: dict[tuple[int, int], int]) -> Column:
-        entries = F.create_map(*[v for (c, t), n in numbers.items() for v in (F.lit(f"{c}:{t}"), F.lit(n))])
-        return F.element_at(entries, F.concat_ws(":", "cls", "target"))
-
-    # rows of a cell are cut into chunks, its searchers into parts; each (chunk, part) is one group
-    chunk_no = F.sequence(F.lit(0), per_cell(chunks) - 1)
-    part_no = F.sequence(F.lit(0), per_cell(searchers) - 1)
-    part_of = F.pmod(F.xxhash64("id"), per_cell(searchers)).cast("int")
-    chunk_of = F.pmod(F.xxhash64("id", F.lit(1)), per_cell(chunks)).cast("int")
-    queries = sent.withColumn("chunk", F.explode(chunk_no)).withColumn("part", part_of)
-    refs = placed.select("id", "cls", "x", F.col("cell").alias("target")).withColumn(
-        "chunk", chunk_of).withColumn("part", F.explode(part_no))
-    group = ["cls", "target", "chunk", "part"]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "cls": [], "neighbor": [], "distance": []})
-        if left.empty or right.empty:
-            return empty
-        ref, ref_ids = np.stack(right["x"].to_numpy()), right["id"].to_numpy()
-        out = []
-        for start in range(0, len(left), 1000):
-            part = left.iloc[start:start + 1000]
-            ids = part["id"].to_numpy()
-            d = _distances(np.stack(part["x"].to_numpy()), ref)
+                cells, radii = members[c]
+                mine = np.flatnonzero(cls == c)
+                who, target = np.nonzero(d[np.ix_(mine, cells)] - radii <= reach[mine][:, None])
+                take = pa.array(mine[who])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(take), b.column("cls").take(take), b.column("x").take(take), pa.array(reach[mine][who]),
+                     pa.array(cells[target], pa.int32())], names=["id", "cls", "x", "reach", "cell"])
+
+    sent = cut_lineage(searching.mapInArrow(to_targets, f"{row}, reach double, cell int"))
+
+    def to_leaves(asking: pa.Table, near: pa.Table) -> pa.Table:
+        ok = _distances(_matrix(asking), _matrix(near, "p")) - near.column("radius").to_numpy() <= asking.column("reach").to_numpy()[:, None]
+        who, which = np.nonzero(ok)
+        take = pa.array(who)
+        return pa.table({"id": asking.column("id").take(take), "cls": asking.column("cls").take(take), "x": asking.column("x").take(take),
+                         "cell": asking.column("cell").take(take), "leaf": near.column("leaf").take(pa.array(which))})
+
+    parts = _parts(sent, cell, chunk_rows)
+    sides = _dealt(sent, parts, cell).groupBy(*cell, "part").cogroup(_own(_repeated(leaf_stats, parts, cell)).groupBy(*cell, "part"))
+    columns = f"{row}, cell int, leaf long"
+    queries = cut_lineage(sides.applyInArrow(_met(to_leaves, columns), columns))
+
+    # rows of a leaf are cut into chunks, its searchers into parts; each (chunk, part) is one group
+    leaf = [*cell, "leaf"]
+    asked = _parts(queries, leaf, chunk_rows)
+    held = _parts(leaves, leaf, chunk_rows).withColumnRenamed("parts", "chunks")
+    plan = asked.join(held, leaf)
+    left = queries.join(plan, leaf).select("id", "cls", "x", *leaf[1:], F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"),
+                                           F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = leaves.join(plan, leaf).select(F.col("id").alias("other"), "cls", "x", *leaf[1:], F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("int").alias("chunk"),
+                                           F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    group = [*leaf, "chunk", "part"]
+
+    def search(asking: pa.Table, rows_of: pa.Table) -> pa.Table:
+        ref, ref_ids = _matrix(rows_of), rows_of.column("other").to_numpy()
+        out: list[pa.Table] = []
+        for start in range(0, asking.num_rows, 1000):
+            part = asking.slice(start, 1000)
+            ids = part.column("id").to_numpy()
+            d = _distances(_matrix(part), ref)
             d[ids[:, None] == ref_ids[None, :]] = np.inf
             take = np.lexsort((np.broadcast_to(ref_ids, d.shape), d), axis=1)[:, :k]
             found = np.take_along_axis(d, take, 1)
             ok = np.isfinite(found)
-            out.append(pd.DataFrame({
-                "id": np.repeat(ids, take.shape[1])[ok.ravel()], "cls": left["cls"].iloc[0],
-                "neighbor": ref_ids[take][ok], "distance": found[ok]}))
-        return pd.concat(out)
+            who = np.broadcast_to(np.arange(len(ids))[:, None], take.shape)[ok]
+            out.append(pa.table({"id": part.column("id").take(pa.array(who)), "cls": part.column("cls").take(pa.array(who)),
+                                 "neighbor": rows_of.column("other").take(pa.array(take[ok])), "distance": pa.array(found[ok])}))
+        return pa.concat_tables(out)
 
-    candidates = queries.groupBy(*group).cogroup(refs.groupBy(*group)).applyInPandas(
-        search, f"id {id_type}, cls int, neighbor {id_type}, distance double")
+    result = f"id {id_type}, cls int, neighbor {id_type}, distance double"
+    candidates = left.groupBy(*group).cogroup(_own(right).groupBy(*group)).applyInArrow(_met(search, result), result)
     w = Window.partitionBy("id").orderBy("distance", "neighbor")
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         F.col("id").alias(key), F.col("cls").alias(label), "rank", "neighbor", "distance")
 
 
+def _leaves(placed: DataFrame, pivots: np.ndarray, chunk_rows: int, seed: int, row: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their leaf and their distance from its pivot (``near``), and per leaf its pivot ``p``, radius and number of rows.
+
+    A cell's pivot is the pivot of its leaf 0; of its rows one in ``chunk_rows``, by keyed draw, is the pivot of a leaf of its own.
+    """
+    spark, cell = placed.sparkSession, ["cls", "cell"]
+    first = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pivots)], "cell int, p array<double>")
+    cells = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(first), "cell")
+    drawn = placed.where(fast_uniform(str(seed), F.lit("leaf"), F.col("id")) < 1.0 / chunk_rows).select(*cell, F.xxhash64("id").alias("leaf"), F.col("x").alias("p"))
+    seconds = cut_lineage(cells.select(*cell, F.lit(0).cast("long").alias("leaf"), "p").unionByName(drawn))
+
+    def assign(members: pa.Table, near: pa.Table) -> pa.Table:
+        near = near.sort_by("leaf")
+        d = _distances(_matrix(members), _matrix(near, "p"))
+        at = d.argmin(1)
+        return pa.table({"id": members.column("id"), "cls": members.column("cls"), "x": members.column("x"), "cell": members.column("cell"),
+                         "away": members.column("away"), "leaf": near.column("leaf").take(pa.array(at)), "near": pa.array(d[np.arange(len(at)), at])})
+
+    parts = _parts(placed, cell, 4 * chunk_rows)
+    sides = _dealt(placed, parts, cell).groupBy(*cell, "part").cogroup(_own(_repeated(seconds, parts, cell)).groupBy(*cell, "part"))
+    columns = f"{row}, cell int, away double, leaf long, near double"
+    leaves = cut_lineage(sides.applyInArrow(_met(assign, columns), columns))
+    stats = leaves.groupBy(*cell, "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius"))
+    return leaves, cut_lineage(stats.join(seconds, [*cell, "leaf"]))
+
+
 def smote(rows: DataFrame, key: str, features: str, label: str, k: int = 5, seed: int = 42,
           **search: int) -> DataFrame:
     """Synthetic rows (label, features, origin, neighbor) that lift every class to the largest one.

@@ -148,6 +148,30 @@ def test_neighbors_match_brute_force(spark, pivots, chunk):
         assert len(got[i]) == len(want)
 
 
+def test_neighbors_of_equal_rows_and_work_that_grows_in_proportion(spark, monkeypatch):
+    """A third of the rows is one point; with pivots bounded, twice the rows compare about twice as many pairs."""
+    compared = []
+    for n in (3000, 6000):
+        rng = np.random.default_rng(n)
+        x = rng.uniform(0, 100, (n, 2))
+        x[: n // 3] = 50.0
+        df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(n)], "id long, x array<double>, y int")
+        got = {}
+        for r in smote.nearest_neighbors(df, "id", "x", "y", 3, n_pivots=8, chunk_rows=50).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = (r["neighbor"], r["distance"])
+        assert len(got) == n and all(len(v) == 3 for v in got.values())
+        for i in [0, n // 3 - 1, *rng.integers(n // 3, n, 40).tolist()]:
+            d = np.linalg.norm(x - x[i], axis=1)
+            d[i] = np.inf
+            want = sorted(zip(d, range(n)))[:3]
+            assert [round(got[i][r][1], 6) for r in (1, 2, 3)] == [round(float(v), 6) for v, _ in want]
+        spread = df.where(f"id >= {n // 3}")
+        leaves, stats = smote._leaves(spread.select("id", F.col("y").alias("cls"), "x", F.lit(0).alias("cell"), F.lit(0.0).alias("away")), np.array([[50.0, 50.0]]), 50, 42,
+                                      "id long, cls int, x array<double>")
+        compared.append(stats.agg(F.sum(F.col("n") * F.col("n"))).first()[0])
+    assert compared[1] < 3 * compared[0]
+
+
 def test_smote_fills_all_classes(spark):
     rng = np.random.default_rng(1)
     y = [0] * 50 + [1] * 20 + [2] * 7
