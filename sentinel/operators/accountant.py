@@ -1,18 +1,23 @@
 """Privacy accounting for noisy gradient steps with Poisson-sampled lots, as a table job.
 
-Rényi divergence of the sampled Gaussian mechanism at integer orders, after Mironov, Talwar and
-Zhang (2019); conversion to (epsilon, delta) after Balle et al. (2020).
+Rényi divergence of the sampled Gaussian mechanism at integer and at real orders, after Mironov, Talwar and
+Zhang (2019); conversion to (epsilon, delta) after Balle et al. (2020). Orders between 1 and 2 and between integers matter where
+epsilon is large.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDERS = (*range(2, 65), 80, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
+LEAST_TERM = math.log(1e-10)
+REAL_ORDERS = (1.05, 1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9, *(i + 0.5 for i in range(2, 16)))
 
 
 def rdp(settings: DataFrame, orders: Sequence[int] = ORDERS,
@@ -43,6 +48,62 @@ def rdp(settings: DataFrame, orders: Sequence[int] = ORDERS,
     return grid.select("rate", "sigma", "alpha", (log_sum / (a - 1)).alias("rdp"))
 
 
+def _log_erfc(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the complementary error function; by its asymptotic series where the function itself underflows."""
+    small = np.minimum(x, 25.0)
+    near = np.log(np.array([math.erfc(v) for v in small.ravel()])).reshape(x.shape)
+    far = np.maximum(x, 25.0)
+    return np.where(x < 25.0, near, -far**2 - np.log(far * math.sqrt(math.pi)) + np.log1p(-0.5 / far**2 + 0.75 / far**4))
+
+
+def log_moment(q: np.ndarray, sigma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """log E[(density ratio)^alpha] of one step at real orders above 1, for rates below 1.
+
+    The two halves of the integral, left and right of the point where both densities meet, are binomial series with a factor of erfc each. Their
+    terms alternate beyond alpha and fall like a power of their number. A row is done when its next term is below ``LEAST_TERM``, which is more than all
+    that follow, and is added, so the sum is not too small. Positive and negative terms are added up apart, as logarithms.
+    """
+    out, left = np.full(len(q), np.nan), np.arange(len(q))
+    plus, minus = np.full(len(q), -np.inf), np.full(len(q), -np.inf)
+    choose, positive, i = np.zeros(len(q)), np.ones(len(q), bool), 0
+    while len(left):
+        rate, s, a = q[left], sigma[left], alpha[left]
+        j, meet, width = a - i, s**2 * np.log(1 / rate - 1) + 0.5, math.sqrt(2) * s
+        low = i * np.log(rate) + j * np.log1p(-rate) + (i * i - i) / (2 * s**2) + _log_erfc((i - meet) / width)
+        high = j * np.log(rate) + i * np.log1p(-rate) + (j * j - j) / (2 * s**2) + _log_erfc((meet - j) / width)
+        term = choose + np.logaddexp(low, high) - math.log(2)
+        last = (i > a) & (term < LEAST_TERM)
+        plus = np.where(positive | last, np.logaddexp(plus, term), plus)
+        minus = np.where(positive | last, minus, np.logaddexp(minus, term))
+        out[left[last]] = (plus + np.log1p(-np.exp(minus - plus)))[last]
+        with np.errstate(divide="ignore"):
+            choose = choose + np.log(np.abs(a - i)) - math.log(i + 1)
+        positive = positive == (a - i >= 0)
+        left, plus, minus, choose, positive = (v[~last] for v in (left, plus, minus, choose, positive))
+        i += 1
+    return out
+
+
+def rdp_real(settings: DataFrame, orders: Sequence[float] = REAL_ORDERS, rate: str = "rate", sigma: str = "sigma") -> DataFrame:
+    """(rate, sigma, alpha, rdp) as :func:`rdp`, at real orders above 1."""
+    if min(orders) <= 1:
+        raise ValueError("orders must be above 1")
+    grid = settings.select(F.col(rate).cast("double").alias("rate"), F.col(sigma).cast("double").alias("sigma")).distinct()
+    wanted = np.array(orders, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, s = (np.repeat(b.column(c).to_numpy(), len(wanted)) for c in ("rate", "sigma"))
+            alpha = np.tile(wanted, b.num_rows)
+            out = alpha / (2 * s**2)  # every row takes part
+            some = q < 1
+            if some.any():
+                out[some] = log_moment(q[some], s[some], alpha[some]) / (alpha[some] - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q, s, alpha, out)], ["rate", "sigma", "alpha", "rdp"])
+
+    return grid.mapInArrow(run, "rate double, sigma double, alpha double, rdp double")
+
+
 def epsilon_at(total_rdp: Column, alpha: Column, delta: float) -> Column:
     a = alpha.cast("double")
     return F.greatest(
@@ -50,15 +111,18 @@ def epsilon_at(total_rdp: Column, alpha: Column, delta: float) -> Column:
 
 
 def spent_epsilon(steps: DataFrame, keys: Sequence[str], delta: float,
-                  orders: Sequence[int] = ORDERS) -> DataFrame:
+                  orders: Sequence[int] = ORDERS, real_orders: Sequence[float] = ()) -> DataFrame:
     """(keys, epsilon, best_alpha) for ``steps(keys, rate, sigma, steps)``.
 
     Steps with different rates or noise compose by adding their Rényi divergences. The steps should
-    come pre-counted per (keys, rate, sigma).
+    come pre-counted per (keys, rate, sigma). With ``real_orders`` the best of those, too, is taken.
     """
     keys = list(keys)
+    curve = rdp(steps, orders)
+    if real_orders:
+        curve = curve.withColumn("alpha", F.col("alpha").cast("double")).unionByName(rdp_real(steps, real_orders))
     per_order = (
-        steps.join(rdp(steps, orders), ["rate", "sigma"])
+        steps.join(curve, ["rate", "sigma"])
         .groupBy(*keys, "alpha").agg(F.sum(F.col("steps") * F.col("rdp")).alias("total"))
     )
     best = F.min(F.struct(epsilon_at(F.col("total"), F.col("alpha"), delta).alias("epsilon"), "alpha"))

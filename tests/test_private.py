@@ -205,6 +205,27 @@ def test_lots_are_poisson_samples(spark):
     assert len(sizes) == 20 and all(130 < n < 270 for n in sizes) and len(set(sizes)) > 1
 
 
+def test_real_orders(spark):
+    """Whole orders agree with the finite sum; others with numerical integration; the epsilon is never larger."""
+    q, s = np.array([0.01, 0.2, 0.6, 0.01]), np.array([1.1, 0.7, 2.0, 0.3])
+    for a in (2, 3, 8, 32):
+        got = accountant.log_moment(q, s, np.full(4, float(a))) / (a - 1)
+        assert got == pytest.approx([closed_rdp(x, y, a) for x, y in zip(q, s)], rel=1e-7)
+    x = np.linspace(-60, 60, 2_000_001)
+    for rate, sigma, a in ((0.3, 1.0, 1.5), (0.05, 2.0, 2.5), (0.9, 1.5, 1.1), (0.5, 3.0, 7.3)):
+        ratio = (1 - rate) + rate * np.exp((2 * x - 1) / (2 * sigma**2))
+        want = np.log(np.trapezoid(np.exp(-x**2 / (2 * sigma**2)) / (sigma * np.sqrt(2 * np.pi)) * ratio**a, x))
+        assert accountant.log_moment(np.array([rate]), np.array([sigma]), np.array([a]))[0] == pytest.approx(want, rel=1e-6)
+    df = spark.createDataFrame([("a", 0.5, 0.4, 3), ("b", 1.0, 0.5, 2), ("c", 0.01, 4.0, 10)], "k string, rate double, sigma double, steps long")
+    whole, real = ({r["k"]: r for r in accountant.spent_epsilon(df, ["k"], 1e-5, real_orders=o).collect()} for o in ((), accountant.REAL_ORDERS))
+    assert all(real[k]["epsilon"] <= whole[k]["epsilon"] + 1e-12 for k in whole)
+    assert real["a"]["epsilon"] < whole["a"]["epsilon"] and real["a"]["best_alpha"] < 2
+    ones = accountant.rdp_real(df.where("rate = 1"), (1.5, 2.25)).collect()
+    assert sorted(r["rdp"] for r in ones) == pytest.approx([1.5 / 0.5, 2.25 / 0.5])
+    with pytest.raises(ValueError):
+        accountant.rdp_real(df, (1.0,))
+
+
 # -- baselines ----------------------------------------------------------------------------
 
 def test_baselines_agree_on_an_easy_problem(points):

@@ -239,6 +239,26 @@ def rdp_epsilon(spark: SparkSession, sf: str) -> DataFrame:
     return spent.select("l_suppkey", rnd("epsilon", 6).alias("epsilon"))
 
 
+_WHOLE = (2, 3, 5, 9, 17, 33)
+
+
+@query(ctes(_STEPS, sql_rdp("steps", f"SELECT unnest([{', '.join(map(str, _WHOLE))}])")) +
+       f"SELECT rate, sigma, CAST(alpha AS DOUBLE) AS alpha, {I.sql_round('rdp', 6)} AS rdp FROM rdp")
+def rdp_real_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The series for real orders, taken at whole ones, where a finite sum gives the same."""
+    return accountant.rdp_real(_steps(spark, sf), [float(a) for a in _WHOLE]).withColumn("rdp", rnd("rdp", 6))
+
+
+@query(ctes(_STEPS, sql_spent("l_suppkey", "steps", SQL_ORDERS)) +
+       f"SELECT l_suppkey, {I.sql_round('epsilon')} AS whole_epsilon, true AS not_above FROM spent")
+def epsilon_real_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Real orders never make the spent epsilon larger."""
+    steps = _steps(spark, sf)
+    whole = accountant.spent_epsilon(steps, ["l_suppkey"], 1e-5).select("l_suppkey", F.col("epsilon").alias("whole"))
+    real = accountant.spent_epsilon(steps, ["l_suppkey"], 1e-5, real_orders=accountant.REAL_ORDERS)
+    return whole.join(real, "l_suppkey").select("l_suppkey", rnd("whole", 6).alias("whole_epsilon"), (F.col("epsilon") <= F.col("whole")).alias("not_above"))
+
+
 @query(ctes("""steps AS (SELECT l_returnflag, epoch, 0.01e0 AS rate, 1.1e0 AS sigma,
   CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY epoch) AS BIGINT) AS steps FROM (
   SELECT l_returnflag, year(l_shipdate) AS epoch, count(*) AS n FROM lineitem GROUP BY ALL))""",
