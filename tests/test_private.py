@@ -216,7 +216,7 @@ def test_real_orders(spark):
         ratio = (1 - rate) + rate * np.exp((2 * x - 1) / (2 * sigma**2))
         want = np.log(np.trapezoid(np.exp(-x**2 / (2 * sigma**2)) / (sigma * np.sqrt(2 * np.pi)) * ratio**a, x))
         assert accountant.log_moment(np.array([rate]), np.array([sigma]), np.array([a]))[0] == pytest.approx(want, rel=1e-6)
-    df = spark.createDataFrame([("a", 0.5, 0.4, 3), ("b", 1.0, 0.5, 2), ("c", 0.01, 4.0, 10)], "k string, rate double, sigma double, steps long")
+    df = spark.createDataFrame([("a", 0.5, 0.3, 30), ("b", 1.0, 0.5, 2), ("c", 0.01, 4.0, 10)], "k string, rate double, sigma double, steps long")
     whole, real = ({r["k"]: r for r in accountant.spent_epsilon(df, ["k"], 1e-5, real_orders=o).collect()} for o in ((), accountant.REAL_ORDERS))
     assert all(real[k]["epsilon"] <= whole[k]["epsilon"] + 1e-12 for k in whole)
     assert real["a"]["epsilon"] < whole["a"]["epsilon"] and real["a"]["best_alpha"] < 2
