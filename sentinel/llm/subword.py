@@ -1,8 +1,7 @@
 """Quality classifier on subword embeddings.
 
-Every word and its character n-grams are hashed to rows of one embedding table; of the word pairs, only
-the pair of a word with itself is kept, as one row for all words, since other pairs of rare words are seen
-once. A document is the mean of its rows and of ``PRIOR`` zero rows, which keeps short texts near the bias,
+Every word, its character n-grams and every pair of neighbouring words are hashed to rows of one embedding table. A word
+that follows itself also counts in one row for all words: each such pair of rare words is seen once, so its own row is not learned. A document is the mean of its rows and of ``PRIOR`` zero rows, which keeps short texts near the bias,
 and a softmax layer gives the label probabilities. Table and layer are learned together by numpy stochastic
 gradient descent on a bounded sample of labelled documents (``max_rows``). For scoring, the layer is
 multiplied into the table: each hashed row adds one number, and a document's logit is their mean.
@@ -35,17 +34,32 @@ SAME = 0
 _PRIME = np.uint64(0x100000001B3)
 
 
+def _spelled(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all words, each between < and >, and the lengths."""
+    text = "".join(f"<{w}>" for w in vocabulary.to_pylist())
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return chars, pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+
+
+def _whole(chars: np.ndarray, place: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """One number per word, from its characters and their places."""
+    return np.add.reduceat(mix64(chars + (place.astype(np.uint64) << np.uint64(24))), begins) if len(begins) else np.zeros(0, np.uint64)
+
+
+def _word_hashes(vocabulary: pa.Array) -> np.ndarray:
+    chars, lengths = _spelled(vocabulary)
+    begins = np.cumsum(lengths) - lengths
+    return mix64(_whole(chars, np.arange(len(chars)) - np.repeat(begins, lengths), begins))
+
+
 def subwords(vocabulary: pa.Array, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers (bucket 0 is left for doubled words) of each word and of its character n-grams (with < and > around it), and the word of each."""
     n = len(vocabulary)
-    text = "".join(f"<{w}>" for w in vocabulary.to_pylist())
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    chars, lengths = _spelled(vocabulary)
     ends = np.cumsum(lengths)
     word = np.repeat(np.arange(n), lengths)
     place = np.arange(len(chars)) - np.repeat(ends - lengths, lengths)
-    whole = np.add.reduceat(mix64(chars + (place.astype(np.uint64) << np.uint64(24))), ends - lengths) if n else np.zeros(0, np.uint64)
-    ids, owners = [mix64(whole)], [np.arange(n)]
+    ids, owners = [mix64(_whole(chars, place, ends - lengths))], [np.arange(n)]
     for g in grams:
         if len(chars) < g:
             continue
@@ -58,6 +72,14 @@ def subwords(vocabulary: pa.Array, buckets: int = BUCKETS, grams: tuple[int, ...
     return (np.concatenate(ids) % np.uint64(buckets - 1)).astype(np.int64) + 1, np.concatenate(owners)
 
 
+def word_pairs(vocabulary: pa.Array, code: np.ndarray, row: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every pair of neighbouring words of a text, and its text; ``code`` numbers the words of all texts, ``row`` their texts."""
+    word = _word_hashes(vocabulary)
+    together = row[1:] == row[:-1]
+    first, second = word[code[:-1][together]], word[code[1:][together]]
+    return (mix64(first * _PRIME + second) % np.uint64(buckets - 1)).astype(np.int64) + 1, row[1:][together]
+
+
 def _doubled(code: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Flags for words (from the second on) that repeat the word before them in the same text."""
     return (code[1:] == code[:-1]) & (row[1:] == row[:-1])
@@ -73,6 +95,8 @@ def bags(texts: pa.Array, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.n
     size = np.bincount(owner, minlength=len(vocabulary))
     heads = np.concatenate([[0], np.cumsum(size)])
     doubled = np.bincount(row[1:][_doubled(code, row)], minlength=len(texts))
+    pairs, pair_row = word_pairs(vocabulary, code, row, buckets)
+    pair_cuts = np.searchsorted(pair_row, np.arange(len(texts) + 1))
     cuts = np.searchsorted(row, np.arange(len(texts) + 1))
     out = []
     for i in range(len(texts)):
@@ -80,6 +104,7 @@ def bags(texts: pa.Array, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.n
         at = np.repeat(heads[mine] - np.concatenate([[0], np.cumsum(size[mine])])[:-1], size[mine]) + np.arange(size[mine].sum())
         total = np.bincount(ids[at], np.repeat(times, size[mine]), buckets) if len(at) else np.zeros(buckets)
         total[SAME] += doubled[i]
+        total += np.bincount(pairs[pair_cuts[i]:pair_cuts[i + 1]], minlength=buckets)
         found = np.flatnonzero(total)
         out.append((found, total[found]))
     return out
@@ -100,7 +125,9 @@ class Subword:
         size = np.bincount(owner, minlength=len(vocabulary)).astype(float)
         n = len(texts)
         doubled = np.bincount(row[1:][_doubled(code, row)], minlength=n)
-        mean = (np.bincount(row, total[code], n) + doubled * self.weight[SAME]) / (np.bincount(row, size[code], n) + doubled + PRIOR)
+        pairs, pair_row = word_pairs(vocabulary, code, row, len(self.weight))
+        added = np.bincount(row, total[code], n) + np.bincount(pair_row, self.weight[pairs], n) + doubled * self.weight[SAME]
+        mean = added / (np.bincount(row, size[code], n) + np.bincount(pair_row, minlength=n) + doubled + PRIOR)
         return 1 / (1 + np.exp(-np.clip(self.bias + mean, -700, 700)))
 
 

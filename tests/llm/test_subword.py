@@ -46,3 +46,30 @@ def test_odd_rows(documents, spark):
     none = s.fit(df, labels.limit(0))
     assert {r["score"] for r in s.score(df, none).collect()} == {0.5}
     assert s.score(documents([]), none).count() == 0
+
+
+def test_word_pairs_stay_inside_texts():
+    texts = pa.array(["a b a b", "b", "", "x x"])
+    words, row = s.Texts(texts).words()
+    code, vocabulary = s.codes(words)
+    ids, owner = s.word_pairs(vocabulary, code, row)
+    assert owner.tolist() == [0, 0, 0, 3] and ids[0] == ids[2] != ids[1] and (ids > 0).all()
+    again = s.word_pairs(*(lambda w, r: (lambda c: (c[1], c[0], r))(s.codes(w)))(*s.Texts(pa.array(["z q", "a b"])).words()))
+    assert again[0][1] == ids[0]
+
+
+def test_order_of_words_can_be_learned(documents, spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(600):
+        words = [f"w{k}" for k in rng.permutation(12)]
+        at = words.index("w3")
+        words = [w for w in words if w != "w5"]
+        at = words.index("w3")
+        words.insert(at + 1 if i % 2 else at, "w5")  # "w3 w5" or "w5 w3"
+        rows.append((i, " ".join(words * 3)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    docs = documents(rows)
+    out = s.score(docs, s.fit(docs, labels)).where("held_out").collect()
+    bad, good = (np.array([r["score"] for r in out if r["doc_id"] % 2 == k]) for k in (0, 1))
+    assert (bad[:, None] < good[None, :]).mean() > 0.95
