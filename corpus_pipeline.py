@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinel.functions.storage import shared_dir
+from sentinel.functions.storage import remove_dir, shared_dir
 from sentinel.llm import minhash, mixing, packing, quality_rules, secret_scan
 from sentinel.llm.common import row_key, unpacked, whole_row
 
@@ -63,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; stage tables go to a folder of their own below the shared folder."""
+    """All stages on documents; stage tables go to a folder of their own below the shared folder, and each is deleted once the next is complete."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_dir(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

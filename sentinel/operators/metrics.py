@@ -16,6 +16,7 @@ from sentinel.functions.cols import ratio, rnd
 from sentinel.functions.joins import join_null_safe
 from sentinel.functions.storage import cut_lineage
 from sentinel.operators.ranking import auc_of_counts, mean_over_classes
+from sentinel.schema import check_label_type
 
 SCALARS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "mcc")
 BINARY_RATES = ("false_positive_rate", "detection_rate", "false_negative_rate")
@@ -121,8 +122,7 @@ def binary_counts(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
 def evaluate(preds: DataFrame, keys: Sequence[str], label_type: str = "binary",
              auc: bool = True) -> DataFrame:
     """The metric suite, one row per run. ``roc_auc`` is NULL without a ``probs`` column."""
-    if label_type not in ("binary", "multiclass"):
-        raise ValueError(f"label_type must be 'binary' or 'multiclass', got '{label_type}'")
+    check_label_type(label_type)
     keys = list(keys)
     if label_type == "binary":
         return _evaluate_binary(preds, keys, auc and "probs" in preds.columns)

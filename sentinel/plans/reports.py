@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 from sentinel.functions.cols import display_name, ratio, rnd, title_name
 from sentinel.operators.metrics import utility_loss
 from sentinel.operators.ranking import exact_quantiles, to_long
-from sentinel.schema import COMPARISON_METRICS
+from sentinel.schema import COMPARISON_METRICS, DEGRADATION_METRICS, HEAT_METRICS
 
 CELL = ["dataset", "label_type"]
 LR, SGD, FOREST = "dp_logistic_regression", "dp_sgd", "dp_random_forest"
-HEAT_METRICS = ("f1_macro", "f1_weighted", "precision_macro", "recall_macro", "roc_auc", "mcc",
-                "detection_rate", "false_positive_rate")
-DEGRADATION_METRICS = ("f1_macro", "roc_auc", "mcc", "detection_rate")
 
 
 def private(results: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from sentinel.functions.cols import feature_columns
 from sentinel.functions.storage import training_table
 from sentinel.operators import baselines, dp_forest, dp_linear, dp_mlp, labels, scale
 from sentinel.plans.evaluate import score_runs
-from sentinel.schema import DEFAULTS, DP_MODELS, MODEL_ORDER, Settings
+from sentinel.schema import DEFAULTS, DP_MODELS, MODEL_ORDER, Settings, check_label_type
 from sentinel.sources.models import ModelStore, PrivateForest, Stored, label_vectors, predict_forests
 from sentinel.sources.tables import fingerprint
 
@@ -42,8 +42,7 @@ def prepare(subset: DataFrame, key: str = "row_id", label_type: str = "binary",
             scaled: bool = True) -> Prepared:
     """Features scaled by the training rows and an integer label; nothing is collected but the
     scaler and the class names."""
-    if label_type not in ("binary", "multiclass"):
-        raise ValueError(f"label_type must be 'binary' or 'multiclass', got '{label_type}'")
+    check_label_type(label_type)
     features = [c for c in feature_columns(subset.columns) if c != key]
     is_train = F.col("split") == "train"
     scaler = scale.fit_scaler(subset.where(is_train), features)

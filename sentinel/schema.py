@@ -82,6 +82,10 @@ COMPARISON_METRICS = (
     "roc_auc", "mcc", "false_positive_rate", "detection_rate",
 )
 
+HEAT_METRICS = ("f1_macro", "f1_weighted", "precision_macro", "recall_macro", "roc_auc", "mcc",
+                "detection_rate", "false_positive_rate")
+DEGRADATION_METRICS = ("f1_macro", "roc_auc", "mcc", "detection_rate")
+
 ATTACK_METRICS = (
     "attack_accuracy", "attack_precision", "attack_recall", "attack_f1",
     "attack_roc_auc", "attack_advantage", "tpr_at_fpr_0_01", "tpr_at_fpr_0_10",
@@ -93,6 +97,15 @@ TARGET_METRICS = (
 )
 
 
+LABEL_TYPES = ("binary", "multiclass")
+
+
+def check_label_type(label_type: str) -> None:
+    """Two classes, or all of them."""
+    if label_type not in LABEL_TYPES:
+        raise ValueError(f"unknown kind of label '{label_type}'; known are {', '.join(LABEL_TYPES)}")
+
+
 @dataclass(frozen=True)
 class Dialect:
     """How the raw CSV files of one data set are read."""
