@@ -140,7 +140,7 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, buckets
     if not len(y):
         return Subword(np.zeros(buckets), 0.0)
     bias[1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    shares = [(c / (c.sum() + PRIOR)).astype(np.float32) for _, c in documents]
+    shares = [(c / (c.sum(dtype=float) + PRIOR)).astype(np.float32) for _, c in documents]
     step, steps = 0, epochs * len(y)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     if fits < sizes.num_rows:
         made = made.where(F.col("_key").isin(sizes.column("_key").slice(0, int(fits)).to_pylist()))
     table = made.toArrow().sort_by([("doc_id", "ascending"), ("_y", "ascending"), ("_key", "ascending")])
-    found = list(zip((x.values.to_numpy() for x in table.column("ids")), (x.values.to_numpy().astype(float) for x in table.column("counts"))))
+    found = list(zip((x.values.to_numpy() for x in table.column("ids")), (x.values.to_numpy() for x in table.column("counts"))))
     return train(found, table.column("_y").to_numpy(), **settings)
 
 
