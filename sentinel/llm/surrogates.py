@@ -3,10 +3,17 @@
 Detected entities (mail and IP addresses, phone, card, bank and social security numbers, personal names) are replaced by values of
 the same kind and format. A surrogate is a function of a secret key and the entity's canonical form (case and
 separators taken out), so an entity has one surrogate in the whole corpus, and every detected mention of it gets that surrogate in its own
-case and separators. Given names keep their gender and script: each list of names is put into a ring by keyed hashes
+case and separators. Listed given names keep their gender and script: each list of names is put into a ring by keyed hashes
 and a name is replaced by the next one. All other surrogates are checked: where two entities meet in one
 surrogate, or a surrogate equals a detected entity, all but one try again with the next number until none meet.
 
+Names are found in two passes. ``PERSON`` finds whole names: after a title; a listed given name (also in capitals) before a capitalised word;
+and two or three capitalised words that stand in a list of such names, or beside a word that goes with people (``AFTER``, ``BEFORE``). Initials and
+particles may stand between the words. Then every capitalised word of the same text that equals a word of such a name, in any
+case, is replaced, so that later mentions by one name keep pointing at the same person. Parts of names with hyphens or apostrophes are words of their own.
+Not seen: a name in lower case, a single name without a title, and two unlisted words with nothing beside them that tells a person. Initials
+and particles stay. A listed word that is also a common one (``STOP``) is never a name.
+
 Defined cases: a null text stays null, an empty one empty. Equal entities have equal surrogates in all rows. Rows equal in
 doc_id and text get equal results. Other columns pass through unchanged (n_chars follows the text). An empty table gives no rows.
 """
@@ -31,7 +38,8 @@ GIVEN = {
     ("f", "greek"): ("Μαρία", "Ελένη", "Αικατερίνη", "Σοφία", "Άννα", "Ειρήνη"),
     ("m", "greek"): ("Γιώργος", "Δημήτρης", "Νίκος", "Κώστας", "Παναγιώτης", "Ιωάννης"),
 }
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "господин", "госпожа", "κύριος", "κυρία")
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Sir", "Dr", "Prof", "Doctor", "Professor", "Herr", "Herrn", "Frau", "Doktor", "Señor", "Señora", "Sr", "Sra", "Monsieur",
+          "Madame", "Mme", "Mlle", "господин", "госпожа", "κύριος", "κυρία")
 SYLLABLES = {
     "latin": (("Bar", "Cor", "Den", "Fal", "Gar", "Hol", "Kel", "Lan", "Mor", "Nor", "Pel", "Ros", "Sel", "Tor", "Val", "Wen"),
               ("a", "be", "di", "ga", "la", "me", "ni", "ra", "ri", "so", "ta", "ve", "wi", "lo", "ke", "mo"),
@@ -54,8 +62,45 @@ def _any_of(words: Iterable[str]) -> str:
     return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
 
 
+# Particles within names; words that end or begin no name; words that only people do or have done to them.
+PARTICLES = ("von", "van", "der", "den", "de", "da", "di", "del", "la", "le", "bin", "al")
+STOP = ("The", "This", "That", "These", "Those", "And", "But", "For", "From", "With", "When", "Where", "While", "What", "Who", "Why", "How", "Then", "There", "Here",
+        "His", "Her", "Their", "Our", "Your", "My", "He", "She", "They", "We", "You", "It", "In", "On", "At", "By", "Of", "To", "As", "Is", "Are", "Was", "If", "Or",
+        "Not", "No", "Yes", "Der", "Die", "Das", "Den", "Dem", "Des", "Ein", "Eine", "Und", "Aber", "Wenn", "Ich", "Wir", "Sie", "Er", "Es", "Ist", "Im", "Am", "Mit",
+        "Le", "La", "Les", "Un", "Une", "Et", "Mais", "Il", "Elle", "Nous", "Vous", "Dans", "El", "Los", "Las", "Una", "Pero", "Que", "Del", "Su", "Para", "Por",
+        "Later", "Yesterday", "Today", "Tomorrow", "Now", "Once", "Soon", "Finally", "Meanwhile", "However", "Perhaps", "Maybe", "Also", "Even", "Only", "Some", "Many",
+        "All", "Every", "After", "Before", "Since", "Because", "So", "Dear", "Hello", "Please", "Gestern", "Heute", "Später", "Dann", "Auch", "Hier", "Hoy", "Ayer",
+        "New", "North", "South", "East", "West", "United", "Saint", "San", "Great", "City", "River", "Street", "Road", "University", "Institute", "Company",
+        "Foundation", "License", "Licence", "Public", "General", "Software", "Version", "President", "Minister", "Monday", "Tuesday", "Wednesday",
+        "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December")
+DETERMINERS = ("the", "a", "an", "this", "that", "our", "der", "die", "das", "den", "dem", "des", "ein", "eine", "le", "les", "un", "une", "el", "los", "las", "una")
+AFTER = ("said", "says", "told", "asked", "called", "wrote", "spoke", "speaks", "lives", "lived", "replied", "answered", "married", "met", "smiled", "died", "was born",
+         "sagte", "sagt", "fragte", "schrieb", "wohnt", "lebt", "antwortete", "traf", "starb", "dit", "habite", "demanda", "répondit", "écrivit",
+         "dijo", "dice", "vive", "escribió", "preguntó", "respondió", "сказал", "сказала", "живёт", "ответил", "ответила")
+BEFORE = ("met", "told", "asked", "called", "married", "named", "name is", "I am", "Dear", "traf", "fragte", "namens", "heißt", "Name ist", "rencontra",
+          "nommé", "nommée", "appelle", "conoció", "llamado", "llamada", "llamo")
+AND = ("and", "und", "et", "y", "и", "και")
 _GIVEN_NAMES = [name for names in GIVEN.values() for name in names]
-_NAMES, _LEAD = _any_of(_GIVEN_NAMES), _any_of([*TITLES, *_GIVEN_NAMES])
+
+
+def _both_cases(words: Iterable[str]) -> list[str]:
+    return sorted({form for w in words for form in (w, w.upper())})
+
+
+_END = r"(?!\p{L})"
+_NO_STOP = rf"(?!(?:{_any_of(_both_cases((*STOP, *TITLES)))}){_END})"
+_NAME = rf"(?=\p{{Lu}}['’]?\p{{L}}){_NO_STOP}\p{{L}}++(?:['’-](?!s(?!\p{{L}}))\p{{L}}++)*+"
+_CASED = rf"(?=\p{{Lu}}(?:['’]\p{{Lu}})?\p{{Ll}}){_NAME}"
+_MIDDLE = rf"(?:\p{{Lu}}\. ?|(?:{_any_of(PARTICLES)}) ){{0,3}}+"
+_TITLE = rf"(?:{_any_of(_both_cases(TITLES))})\.? "
+_FULL = rf"{_CASED} {_MIDDLE}(?!(?:{_any_of(_GIVEN_NAMES)}){_END}){_CASED}(?: {_MIDDLE}{_CASED})?+"
+_UNLISTED = rf"(?<!\p{{Lu}}\p{{L}}{{0,30}} )(?<!(?<!\p{{L}})(?:{_any_of(DETERMINERS)}) )(?!(\p{{L}}++) \1{_END})"
+_TOGETHER = rf"(?:, | (?:{_any_of(AND)}) |, (?:{_any_of(AND)}) )"
+PERSON = (rf"(?=\p{{Lu}}|[{''.join(sorted({w[0] for w in TITLES if w[0].islower()}))}])(?<![\p{{L}}0-9])(?:"
+          rf"(?:{_TITLE})++{_MIDDLE}{_NAME}(?: {_MIDDLE}{_NAME}){{0,2}}+"
+          rf"|(?:{_any_of(_both_cases(_GIVEN_NAMES))}){_END} {_MIDDLE}{_NAME}(?: {_MIDDLE}{_CASED})?+"
+          rf"|{_UNLISTED}{_FULL}(?:(?:{_TOGETHER}{_FULL})++|(?= (?:{_any_of(AFTER)}){_END}|['’]s{_END}|, (?:born|aged|geboren){_END}))"
+          rf"|{_UNLISTED}(?<=(?<!\p{{L}})(?:{_any_of(BEFORE)}) ){_FULL})")
 # What counts as an entity, in order of preference at one position. An entity does not begin inside a word
 # or number, which ``ANY`` checks once for all; every part is linear in the text.
 PATTERNS = {
@@ -66,12 +111,14 @@ PATTERNS = {
     "phone": r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
              r"|(?<!\+)\+[0-9]{1,3}(?:[ .-]?[0-9]){7,12}(?![0-9A-Za-z])",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "given": rf"(?=\p{{Lu}})(?:{_NAMES})(?= \p{{Lu}}\p{{Ll}})",
-    "surname": rf"(?=\p{{Lu}}\p{{Ll}})(?<=(?:\p{{L}}|[rs]\.) )(?<=(?<!\p{{L}})(?:{_LEAD})\.? )\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+",
 }
-ANY = r"(?=[A-Za-z0-9(+._%\p{L}-])(?<![\p{L}0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-# A cheap test that holds for every text with an entity: all kinds but names have a digit or an @, names follow a title or given name.
-MARKS = "[0-9@]|(?=[" + "".join(sorted({x[0] for x in (*TITLES, *_GIVEN_NAMES)})) + rf"])(?<!\p{{L}})(?:{_LEAD})\.? \p{{Lu}}\p{{Ll}}"
+ANY = r"(?=[A-Za-z0-9(+._%-])(?<![\p{L}0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+WORD = r"\p{Lu}\p{L}++"
+# For texts with names: an entity, or else a capitalised word. No entity begins within a word, so both patterns see the same entities.
+WIDE = ANY + rf"|(?<![\p{{L}}0-9]){WORD}"
+# A cheap test that holds for every text with an entity: all kinds but names have a digit or an @, and a name goes on after a capitalised word or title.
+_LOWER_TITLES = _any_of([w for w in TITLES if w[0].islower()])
+MARKS = rf"[0-9@]|(?=\p{{L}})(?<!\p{{L}})(?:\p{{Lu}}[\p{{L}}'’-]*+|{_LOWER_TITLES})\.? (?:\p{{Lu}}|(?:{_any_of(PARTICLES)}) )"
 MAX_ROUNDS = 40
 
 
@@ -79,12 +126,12 @@ def _kind(value: Column) -> Column:
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return (F.when(value.contains("@"), "email").when(value.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban").when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
             .when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(value.rlike(r"^[0-9][0-9 -]*$") & (digits >= 13), "card")
-            .when(value.rlike("[0-9]"), "phone").when(value.rlike(f"^(?:{_NAMES})$"), "given").otherwise("surname"))
+            .when(value.rlike("[0-9]"), "phone").when(F.lower(value).isin([n.lower() for n in _GIVEN_NAMES]), "given").otherwise("surname"))
 
 
 def _canonical(value: Column, kind: Column) -> Column:
     return (F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
-            .when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind == "surname", F.lower(value)).otherwise(value))
+            .when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind.isin("given", "surname"), F.lower(value)).otherwise(value))
 
 
 def _script(value: Column) -> Column:
@@ -189,30 +236,51 @@ def mention_table(mentions: DataFrame, secret: str) -> DataFrame:
     """mention, kind and replacement for every distinct mention."""
     kinds = cut_lineage(mentions.select("mention").distinct().withColumn("kind", _kind(F.col("mention"))).withColumn(
         "canonical", _canonical(F.col("mention"), F.col("kind"))))
-    pairs = [F.lit(x) for pair in rings(secret).items() for x in pair]
-    names = kinds.where("kind = 'given'").select("mention", "kind", F.element_at(F.create_map(*pairs), F.col("mention")).alias("replacement"))
+    pairs = [F.lit(x) for name, other in rings(secret).items() for x in (name.lower(), other)]
+    other, capitals = F.element_at(F.create_map(*pairs), F.col("canonical")), F.upper("mention") == F.col("mention")
+    names = kinds.where("kind = 'given'").select("mention", "kind", F.when(capitals, F.upper(other)).otherwise(other).alias("replacement"))
     rest = kinds.where("kind <> 'given'")
     found = rest.join(entity_surrogates(rest, secret), ["kind", "canonical"])
     return names.union(found.select("mention", "kind", _in_form(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("replacement")))
 
 
+def name_words(text: Column) -> Column:
+    """Distinct words, in lower case, of the whole names in a text."""
+    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), lambda span: F.regexp_extract_all(span, F.lit(WORD), F.lit(0))))
+    no_names = [w.lower() for w in (*TITLES, *STOP)]
+    return F.array_distinct(F.filter(F.transform(words, F.lower), lambda w: ~w.isin(no_names)))
+
+
 def replace(docs: DataFrame, secret: str, salts: int = 16) -> DataFrame:
     """``docs`` with surrogates in the texts, and n_entities (in place of such a column of ``docs``). Only rows with entities are shuffled; a mention that very many rows hold is joined in parts."""
     may = F.coalesce(F.col("text").rlike(MARKS), F.lit(False))
-    found = docs.where(may).select(row_key("doc_id", "text").alias("_key"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("_all"))
-    found = cut_lineage(found.where(F.size("_all") > 0).groupBy("_key").agg(F.first("_all").alias("_all")))
-    single = found.select("_key", F.posexplode("_all").alias("_at", "mention")).withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int"))
+    named = docs.where(may).select(row_key("doc_id", "text").alias("_key"), "text", name_words(F.col("text")).alias("_names"))
+    wide = F.size("_names") > 0
+    tokens = F.when(wide, F.regexp_extract_all("text", F.lit(WIDE), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    found = named.select("_key", "_names", tokens.alias("_all")).groupBy("_key").agg(F.first("_names").alias("_names"), F.first("_all").alias("_all"))
+    # Filtered after the grouping: before it, the optimizer would compute the patterns a second time for the filter.
+    found = cut_lineage(found.where(F.size("_all") > 0))
+    every = found.select("_key", (F.size("_names") > 0).alias("_wide"), F.posexplode("_all").alias("_at", "mention"))
+    every = every.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int"))
+    word = F.col("mention").rlike(rf"^{WORD}$")
+    persons = found.select("_key", F.explode("_names").alias("_word"), F.lit(True).alias("_person"))
+    words = every.where(word).withColumn("_word", F.lower("mention")).join(persons, ["_key", "_word"], "left").drop("_word")
+    marked = cut_lineage(every.where(~word).withColumn("_person", F.lit(True)).unionByName(words))
+    single = marked.where("_person").drop("_person")
     table = cut_lineage(mention_table(single, secret)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lists = single.join(table, ["mention", "_salt"]).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "replacement"))).alias("_new"))
-    lists = lists.select("_key", F.transform("_new", lambda x: x["replacement"]).alias("_new"))
+    new = single.join(table, ["mention", "_salt"]).select("_key", "_wide", "_at", "replacement", F.lit(1).alias("_hit"))
+    stay = marked.where("_person IS NULL").select("_key", "_wide", "_at", F.col("mention").alias("replacement"), F.lit(0).alias("_hit"))
+    lists = new.unionByName(stay).groupBy("_key", "_wide").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "replacement"))).alias("_new"), F.sum("_hit").alias("_hits"))
+    lists = lists.select("_key", "_wide", "_hits", F.transform("_new", lambda x: x["replacement"]).alias("_new"))
     columns = [c for c in docs.columns if c != "n_entities"]
     rest = docs.where(~may).select(*(f"`{c}`" for c in columns), F.lit(0).cast("long").alias("n_entities"))
     text, suspects = F.col("_doc.text"), docs.where(may).select(row_key("doc_id", "text").alias("_key"), whole_row(docs))
-    pieces = F.split(text, ANY, -1)
+    pieces = F.when(F.col("_wide"), F.split(text, WIDE, -1)).otherwise(F.split(text, ANY, -1))
     new = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_new")), "_new", lambda p, r: F.concat(p, r)), ""), F.element_at(pieces, -1))
-    joined = suspects.join(lists, "_key", "left").select("_doc", "_new", F.when(F.col("_new").isNull(), text).otherwise(new).alias("_text"))
+    joined = suspects.join(lists, "_key", "left").select("_doc", "_new", "_hits", F.when(F.col("_new").isNull(), text).otherwise(new).alias("_text"))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_new").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
-    found_in = F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities")
+    found_in = F.coalesce("_hits", F.lit(0)).cast("long").alias("n_entities")
     return rest.unionByName(joined.select(*unpacked(joined, columns, changed), found_in))
