@@ -11,6 +11,7 @@ from sentinel.schema import ATTACK_SCHEMA, DEFAULTS
 from sentinel.sources import ledger
 
 RUN = ["run_id"]
+ROW = ["dataset", "row_id", "split"]  # key of a record in predictions, rows and sample; stored in buckets of it they join without a shuffle
 
 
 def sampled_features(preds: DataFrame, sample: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.functions.cols import rnd
+from sentinel.functions.storage import cut_lineage, remove_dir, shared_dir
 from sentinel.operators import attack
 from sentinel.plans import evaluate, mia, reports
 from sentinel.schema import ATTACK_METRICS, ATTACK_SCHEMA, TARGET_METRICS
-from sentinel.sources import ledger
+from sentinel.sources import buckets, ledger
 from workload import inputs as I
 from workload.metric_queries import SQL_AUC, SQL_CLASS, SQL_CONF, SQL_RATES, SQL_SCALARS, sql_auc
 from workload.registry import ctes, query
@@ -118,15 +121,36 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return mia.attack_records(m.join(mia.sample_sizes(sampled), ["run_id"]), results(spark, sf, True))
 
 
-@query(RECORDS + "SELECT run_id, dataset, label_type, model_name AS target_model, epsilon, delta, n_members, "
-       "'black_box_confidence' AS attack_type, " + ", ".join(
-           f"{r4(c)} AS {c}" for c in (*ATTACK_METRICS, *TARGET_METRICS)) + " FROM attacks")
-def attack_records(spark: SparkSession, sf: str) -> DataFrame:
-    r = records(spark, sf)
+_RECORDS_SQL = RECORDS + "SELECT run_id, dataset, label_type, model_name AS target_model, epsilon, delta, n_members, " \
+    "'black_box_confidence' AS attack_type, " + ", ".join(f"{r4(c)} AS {c}" for c in (*ATTACK_METRICS, *TARGET_METRICS)) + " FROM attacks"
+
+
+def _rounded(r: DataFrame) -> DataFrame:
     return r.select("run_id", "dataset", "label_type", "target_model", "epsilon", "delta", "n_members",
                     "attack_type", *[rnd(c, 4).alias(c) for c in (*ATTACK_METRICS, *TARGET_METRICS)])
 
 
+@query(_RECORDS_SQL)
+def attack_records(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(records(spark, sf))
+
+
+@query(_RECORDS_SQL)
+def attack_records_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records from stored predictions: written once, in buckets, and joined with the sample without a shuffle."""
+    root = f"{shared_dir(spark)}/attack-{uuid.uuid4().hex}"
+    rows = buckets.write_bucketed(_rows(spark, sf, True), f"{root}/rows", mia.ROW)
+    preds = buckets.write_bucketed(I.predictions(spark, sf, EVERY, True), f"{root}/predictions", mia.ROW)
+    sampled = preds.join(attack.attack_sample(rows, "row_id", ["dataset"], FIT_ROWS, I.SEED), mia.ROW)
+    m = attack.attack_metrics(threshold_scores(spark, sf, sampled), ["run_id"])
+    tested = evaluate.result_rows(preds.where("split = 'test'"), I.run_table(spark, sf, True))
+    out = cut_lineage(_rounded(mia.attack_records(m.join(mia.sample_sizes(sampled), ["run_id"]), tested)))
+    for name in ("rows", "predictions"):
+        buckets.drop_bucketed(spark, f"{root}/{name}")
+    remove_dir(spark, root)
+    return out
+
+
 @query(RECORDS + f"SELECT dataset, label_type, {SQL_NAME} AS model, epsilon, n_members, " + ", ".join(
     f"{r4(c)} AS {c}" for c in (*ATTACK_METRICS, *TARGET_METRICS)) + " FROM attacks")
 def attack_table(spark: SparkSession, sf: str) -> DataFrame:
