@@ -52,9 +52,9 @@ def content_key(df: DataFrame) -> Column:
 
 
 def _seen_keys(spark: SparkSession, keys: str, before: int) -> DataFrame | None:
-    """Keys of all earlier batches. A batch that is repeated does not meet its own."""
+    """Keys of all earlier batches, of which some may hold no file. A batch that is repeated does not meet its own."""
     parts = [n for n in list_dir(spark, keys) if n.startswith("batch=") and int(n[6:]) < before]
-    return spark.read.option("basePath", keys).parquet(*[f"{keys}/{p}" for p in parts]).drop("batch") if parts else None
+    return spark.read.schema(f"key binary, {PREFIX} string").option("basePath", keys).parquet(*[f"{keys}/{p}" for p in parts]).drop("batch") if parts else None
 
 
 def ingest_distinct(spark: SparkSession, raw_dir: str, dataset: str, path: str, checkpoint: str, files_per_batch: int = 4) -> None:
