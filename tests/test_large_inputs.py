@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sentinel.operators import accountant
 from sentinel.plans import mia
+from workload import inputs as I
 
 
 def test_predictions_are_not_broadcast_to_a_large_sample(spark, monkeypatch):
@@ -34,3 +35,12 @@ def test_whole_and_real_orders_are_compared_on_the_same_sums(spark, partitions):
     alone = {r["k"]: r["epsilon"] for r in accountant.spent_epsilon(steps, ["k"], 1e-5).collect()}
     assert len(both) == 40 and all(r["epsilon"] <= r["whole_epsilon"] for r in both)
     assert [r["whole_epsilon"] for r in both] == pytest.approx([alone[r["k"]] for r in both])
+
+
+def test_stored_lists_give_the_same_predictions(spark):
+    """One stored row per record, not per record and run."""
+    sf = "/root/testdata/sf0.001"
+    lists = I.prediction_lists(spark, sf, ("val", "test"), True)
+    assert lists.count() == I.labelled_rows(spark, sf, True).where("split <> 'train'").count()
+    got, want = I.listed_predictions(lists), I.predictions(spark, sf, ("val", "test"), True)
+    assert got.schema.names == want.schema.names and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
