@@ -142,3 +142,17 @@ def test_round_trip(spark, data, tmp_path):
     with pytest.raises(FileNotFoundError):
         b.load(spark, f"{tmp_path}/none")
     assert b.nodes(spark, model).where(F.col("feature") < 0).count() > 0
+
+
+def test_histograms_stay_on_the_cluster(data, monkeypatch):
+    """However small the driver's share is, the trees are the same; above it no histogram is sent to the driver."""
+    _, _, df = data
+    monkeypatch.setattr(b, "LOCAL_ROWS", 20)
+    order = lambda m: [sorted(zip(t.feature, t.bin, t.threshold, t.value, t.gain)) for g in m.trees for t in g]
+    monkeypatch.setattr(b, "DRIVER_BYTES", 1 << 30)
+    at_driver = order(b.train(df, "features", "y", 3, rounds=2, depth=5))
+    monkeypatch.setattr(b, "DRIVER_BYTES", 2 * 4 * 64 * 24)
+    mixed = order(b.train(df, "features", "y", 3, rounds=2, depth=5))
+    monkeypatch.setattr(b, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(b._Grower, "_sums", lambda *_: pytest.fail("a histogram came to the driver"))
+    assert order(b.train(df, "features", "y", 3, rounds=2, depth=5)) == at_driver == mixed
