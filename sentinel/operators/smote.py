@@ -270,10 +270,9 @@ def smote(rows: DataFrame, key: str, features: str, label: str, k: int = 5, seed
     alone = sorted(str(c) for c, n in small.items() if n < 2)
     if alone:
         raise ValueError(f"classes without a second row have no neighbours: {', '.join(alone)}")
-    slim = rows.select(F.col(key).alias("id"), F.col(label).cast("int").alias("cls"),
-                       F.transform(features, lambda v: v.cast("double")).alias("x"))
+    slim = rows.select(F.col(key).alias("id"), F.col(label).cast("int").alias("cls"), F.col(features).alias("x"))
     minority = slim.where(F.col("cls").isin(list(small)))
-    near = nearest_neighbors(minority, "id", "x", "cls", k, seed=seed, **search)
+    near = cut_lineage(nearest_neighbors(minority, "id", "x", "cls", k, seed=seed, **search))  # read twice
     extra = lambda n: F.pmod(F.lit(most) - n, n)
     drawn = minority.withColumn("_draw", uniform(seed, "smote", "id"))
     origin = mark_smallest(drawn, ["cls"], "_draw", "id", {"_more": extra})
@@ -288,5 +287,5 @@ def smote(rows: DataFrame, key: str, features: str, label: str, k: int = 5, seed
     step = uniform(seed, "step", "id", "copy")
     return joined.withColumn("_step", step).select(
         F.col("cls").alias(label),
-        F.zip_with("x", "_nx", lambda a, b: a + F.col("_step") * (b - a)).alias(features),
+        F.zip_with("x", "_nx", lambda a, b: a.cast("double") + F.col("_step") * (b.cast("double") - a.cast("double"))).alias(features),
         F.col("id").alias("origin"), "neighbor", "copy")

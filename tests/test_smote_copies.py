@@ -28,3 +28,11 @@ def test_stored_rows_are_bounded_where_distances_prune_nothing(spark, monkeypatc
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[i] = np.inf
         assert [got[i, r] for r in (1, 2, 3)] == [int(j) for _, j in sorted(zip(d, range(len(x))))[:3]]
+
+
+def test_new_rows_do_not_search_twice(spark):
+    """The neighbours are stored; their two uses do not plan the search again, and values of type float give doubles."""
+    df = spark.createDataFrame([(i, [float(i), float(i % 7)], int(i < 20)) for i in range(60)], "id long, x array<float>, y int")
+    out = smote.smote(df, "id", "x", "y")
+    assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.schema["x"].dataType.simpleString() == "array<double>" and out.count() == 20
