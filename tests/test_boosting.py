@@ -156,3 +156,30 @@ def test_histograms_stay_on_the_cluster(data, monkeypatch):
     monkeypatch.setattr(b, "DRIVER_BYTES", 0)
     monkeypatch.setattr(b._Grower, "_sums", lambda *_: pytest.fail("a histogram came to the driver"))
     assert order(b.train(df, "features", "y", 3, rounds=2, depth=5)) == at_driver == mixed
+
+
+def test_nodes_with_few_features_leave_the_levels_earlier(spark):
+    """One pass a round: a task may grow a node from as many cells as rows of many features would have."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(6000, 4)), 2)
+    df = spark.createDataFrame([([float(v) for v in r], int(r[0] * r[1] > 0.1)) for r in x], "features array<double>, y int")
+    assert b.train(df, "features", "y", 2, rounds=2, depth=4).passes == 2
+
+
+def test_places_follow_the_splits():
+    rng = np.random.default_rng(4)
+    tree, open_nodes = b.Tree.leaf(), [0]
+    for _ in range(9):
+        node = open_nodes.pop(0)
+        open_nodes += tree.split(node, int(rng.integers(3)), 0, float(rng.normal()), 1.0)
+    values = rng.normal(size=(3, b.PLACED_ROWS + 50))
+    values[1, ::10] = np.nan
+
+    def leaf(column):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.right[node] if column[tree.feature[node]] > tree.threshold[node] else tree.left[node]
+        return node
+
+    assert tree.places(values, tree.threshold).tolist() == [leaf(c) for c in values.T]
+    assert b.Tree.leaf().places(values, [0.0]).tolist() == [0] * values.shape[1]
